@@ -41,12 +41,14 @@ def written(df: DataFrame, name: str, *, by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ddl(text: str) -> T.StructType:
+    return T.StructType.fromDDL(text)
+
+
 def arrow_map(df: DataFrame, keep: list[str], text: str, added: list[tuple[str, str]], make: Callable) -> DataFrame:
     """df's kept columns and the added ones, which make(text array) returns as Arrow arrays."""
     inside = [(c, df.schema[c].dataType) for c in keep]
-    schema = T.StructType([T.StructField(c, t) for c, t in inside])
-    for name, kind in added:
-        schema = schema.add(name, kind)
+    schema = T.StructType([*(T.StructField(c, t) for c, t in inside), *ddl(", ".join(f"{c} {t}" for c, t in added)).fields])
     names = [*keep, *(c for c, _ in added)]
     place = len(keep)
 

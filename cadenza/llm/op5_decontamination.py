@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import others, quoted, written
+from .common import ddl, others, quoted, written
 from .words import ALNUM, LOWER, steps, word_hashes, word_spans
 
 WINDOW = 13
@@ -117,7 +117,7 @@ RANGES = "array<struct<first:int,end:int>>"
 
 def scan(docs: DataFrame, keep: list[str], text: str, vocabulary, tables, carried: bool) -> DataFrame:
     """keep, n_words, hits (word ranges) and item_ids; with `carried`, added to what docs' hits and item_ids hold."""
-    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep]).add("n_words", "bigint").add("hits", RANGES).add("item_ids", "array<string>")
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), *ddl(f"n_words bigint, hits {RANGES}, item_ids array<string>").fields])
     kind = [pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())]
     at = len(keep)
 
