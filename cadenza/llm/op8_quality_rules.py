@@ -120,6 +120,11 @@ def covers(x: dict[str, np.ndarray], rule: list[Condition], n: int) -> np.ndarra
     return out
 
 
+def thresholds(v: np.ndarray, live: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Quantiles of the bad rows, and the tails of the good ones."""
+    return np.unique(np.concatenate([np.quantile(v[live & bad], np.linspace(0, 1, 33), method="lower"), np.quantile(v[live & ~bad], [0, 0.005, 0.02, 0.98, 0.995, 1], method="lower")]))
+
+
 def grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int) -> list[Condition]:
     """Adds the condition of most FOIL gain until only bad rows are covered."""
     rule: list[Condition] = []
@@ -138,17 +143,20 @@ def grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int) -> list[Condition
                             best, chosen = gain, (f, op, float(t))
         if chosen is None:
             break
+        f, op, t = chosen  # halfway to the nearest row on the other side of the threshold
+        beyond = x[f][live & (bad if op == ">" else ~bad) & (x[f] > t)]
+        chosen = (f, op, float((t + beyond.min()) / 2) if len(beyond) else t)
         rule.append(chosen)
         live &= holds(x, chosen)
     return rule
 
 
 def prune(x: dict[str, np.ndarray], bad: np.ndarray, rule: list[Condition]) -> tuple[list[Condition], float]:
-    """The start of the rule that is best on rows not grown on, and its smoothed precision there."""
+    """The start of the rule that is best on rows not grown on, and its precision there."""
     def worth(r):
         c = covers(x, r, len(bad))
         p, n = (c & bad).sum(), (c & ~bad).sum()
-        return (p - n) / max(p + n, 1), p, p / (p + n + 1)
+        return (p - n) / max(p + n, 1), p, p / max(p + n, 1)
 
     cut = max(range(1, len(rule) + 1), key=lambda k: (*worth(rule[:k])[:2], -k))
     return rule[:cut], worth(rule[:cut])[2]
@@ -167,7 +175,7 @@ def learn(x: dict[str, np.ndarray], quality: np.ndarray, precision: float = 0.97
             break
         rule, sure = prune({k: v[q] for k, v in x.items()}, bad[q], rule)
         c = covers(x, rule, len(bad))
-        if sure < precision or (c & left & bad).sum() < least:
+        if sure < precision or (c & q & bad).sum() < 3 or (c & left & bad).sum() < least:
             left &= ~(c & bad)  # what no sure rule finds is left alone
             if not (c & bad).any():
                 break
@@ -189,9 +197,9 @@ def rejects(rules: list[list[Condition]]) -> Column:
 
 
 def learn_from(counts: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> list[list[Condition]]:
-    """Rules from labelled rows outside the held-out third, `most` at most."""
+    """Rules from labelled rows outside the held-out third that the base rule passes, `most` at most."""
     told = labels.where("doc_id is not null and quality is not null and crc32(cast(doc_id as string)) % 3 <> 1").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = counts.join(told, "doc_id").select("doc_id", "quality", *[F.expr(v).alias(k) for k, v in FEATURES.items()])
+    rows = counts.where(~base_failed()).join(told, "doc_id").select("doc_id", "quality", *[F.expr(v).alias(k) for k, v in FEATURES.items()])
     sample = rows.orderBy(F.xxhash64("doc_id"), *FEATURES).limit(most).toPandas()
     return learn({f: sample[f].to_numpy(float) for f in FEATURES}, sample["quality"].to_numpy())
 
