@@ -6,8 +6,9 @@ spaced, truncated to 16 bits): registers merge by maximum, and two sets agree in
 register with a probability close to their Jaccard similarity J.
 
 1. Texts of one set are one class (128-bit hash of the set); all else works on classes.
-2. Bands of registers are keys. In each key's bucket the class of least hash of (class, key),
-   another one in each bucket, is paired with the others: a star, no pairs within groups.
+2. Bands of registers are keys. In each key's bucket one class is paired with the others,
+   a star, no pairs within groups: at first the class that meets most others in all its
+   buckets, in later rounds one by hash of (component, key), another in each bucket.
 3. J of a pair is estimated from its registers and set sizes by maximum likelihood;
    pairs that can't reach the threshold go. The best pair of each class is verified on
    the full sets; then all pairs between what is not yet connected, in rounds, with new
@@ -31,9 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import arrow_map, ddl, quoted, written
+from .common import arrow_map, quoted, written
 from .components import components
 from .words import BASE as HASH_BASE
 from .words import SPACED, gram_hashes, mix, steps, word_hashes, word_spans
@@ -197,7 +197,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def stars(bands: DataFrame, round_: int) -> DataFrame:
     """a < b: in each bucket with more than one component (group), a class of one and all classes of the others."""
-    order = F.xxhash64("group", "key", F.lit(round_))
+    order = -F.col("mates") if round_ == 0 else F.xxhash64("group", "key", F.lit(round_))
     heads = bands.groupBy("key").agg(F.min_by(F.struct("node", "group", "n"), F.struct(order, "node")).alias("head"), F.min("group").alias("g0"), F.max("group").alias("g1"))
     heads = heads.where("g0 <> g1").select("key", "head")
     met = bands.join(heads, "key").where("group <> head.group").select("node", "n", "head")
@@ -211,8 +211,10 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds:
     classes = written(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("regs").alias("regs"), F.any_value("n_shingles").alias("n_shingles")), "classes")
     keys = F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})))"))
     bands = classes.select("node", F.col("n_shingles").alias("n"), keys.alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    bands = written(bands.join(shared, "key", "left_semi"), "bands")
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    bands = written(bands.join(shared, "key"), "bands")
+    mates = bands.groupBy("node").agg(F.sum("c").alias("mates"))
+    bands = written(bands.drop("c").join(mates, "node"), "bands")
     links, tried, sets = None, None, None
     grouped = bands.withColumn("group", F.col("node"))
     for k in range(rounds):
