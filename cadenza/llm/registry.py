@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from . import op1_quality_classifier as op1
 from . import op5_decontamination as op5
+from . import op6_packing as op6
 from . import op7_near_dedup as op7
 from . import op8_quality_rules as op8
 from . import op9_url_filters as op9
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable]:
     return {
         "op1_quality_classifier": op1.op1_quality_classifier,
         "op5_decontamination": op5.op5_decontamination,
+        "op6_packing": op6.op6_packing,
         "op7_near_dedup": op7.op7_near_dedup,
         "op8_quality_rules": op8.op8_quality_rules,
         "op9_url_filters": op9.op9_url_filters,
