@@ -17,7 +17,7 @@ def large_star(links: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is linked to the node's least neighbour (or itself)."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def small_star(links: DataFrame) -> DataFrame:

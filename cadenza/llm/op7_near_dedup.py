@@ -46,6 +46,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 PERCENT = 85
 #: Standard deviations of the estimate (about 0.037 at J = 0.85) that a linked pair may lie low.
 SLACK = 6
+#: Rounds of stars; each takes other heads in each bucket.
+ROUNDS = 3
 
 U = np.uint64
 FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * U(0xA0761D6478BD642F)) | U(1)
@@ -204,7 +206,13 @@ def stars(bands: DataFrame, round_: int) -> DataFrame:
     return met.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"), F.least("n", "head.n").alias("lo"), F.greatest("n", "head.n").alias("hi"))
 
 
-def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds: int = 3) -> DataFrame:
+def nearest(links: DataFrame) -> DataFrame:
+    """node, label: the least of a node and its neighbours, a first guess at its component."""
+    both = links.select(F.col("a").alias("node"), "b").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("b")))
+    return both.groupBy("node").agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label"))
+
+
+def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     sketch = written(sketches(docs, text), "sketches")
     full = sketch.where("n_shingles > 0")
@@ -214,36 +222,30 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds:
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     bands = written(bands.join(shared, "key"), "bands")
     mates = bands.groupBy("node").agg(F.sum("c").alias("mates"))
+    sets = written(full_sets(docs, classes, mates.select("node"), text), "sets")
     bands = written(bands.drop("c").join(mates, "node"), "bands")
-    links, tried, sets = None, None, None
-    grouped = bands.withColumn("group", F.col("node"))
+    links, label, tried = None, None, None
     for k in range(rounds):
+        grouped = bands.withColumn("group", F.col("node")) if label is None else bands.join(label, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label")
         pairs = stars(grouped, k).where(f"100 * lo >= {percent} * hi").select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(estimated(pairs, classes, percent), "pairs")
-        if pairs.isEmpty():
-            break
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        new = nodes if sets is None else nodes.join(sets, "node", "left_anti")
-        more = written(full_sets(docs, classes, new, text), "sets")
-        sets = more if sets is None else sets.unionByName(more)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         # one pair of each class first: they connect most, and what is connected needs no other pair
         best = pairs.groupBy("a").agg(F.max_by("b", F.struct("j", "b")).alias("b")).unionByName(pairs.groupBy("b").agg(F.max_by("a", F.struct("j", "a")).alias("a")).select("a", "b")).distinct()
         found = written(verified(best, sets, percent), "found")
-        links = found if links is None else links.unionByName(found)
+        near = nearest(found)
+        rest = pairs.join(near.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+        rest = rest.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+        found = found.unionByName(written(verified(rest, sets, percent), "found"))
+        if found.isEmpty():
+            break
+        links = found if links is None else label.withColumnsRenamed({"node": "a", "label": "b"}).unionByName(found)
         label = components(links)
-        rest = pairs.join(best, ["a", "b"], "left_anti").join(label.withColumnRenamed("node", "a").withColumnRenamed("label", "la"), "a", "left").join(label.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b", "left")
-        rest = written(rest.where("la IS NULL OR lb IS NULL OR la <> lb").select("a", "b"), "rest")
-        if not rest.isEmpty():
-            links = written(links.unionByName(verified(rest, sets, percent)), "linked")
-            label = components(links)
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        if k + 1 < rounds:
-            grouped = bands.join(label, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label")
     ends = classes.select("node", "rep")
-    if links is not None:
-        of = written(label, "labels").join(ends, "node")
+    if label is not None:
+        of = label.join(ends, "node")
         ids = of.groupBy("label").agg(F.min("rep").alias("component"))
         ends = ends.join(of.select("node", "label").join(ids, "label").select("node", "component"), "node", "left").select("node", F.coalesce("component", "rep").alias("rep"))
     out = sketch.select("doc_id", "n_shingles", "node").join(ends, "node", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from . import op1_quality_classifier as op1
+from . import op10_repeats as op10
 from . import op5_decontamination as op5
 from . import op6_packing as op6
 from . import op7_near_dedup as op7
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable]:
         "op7_near_dedup": op7.op7_near_dedup,
         "op8_quality_rules": op8.op8_quality_rules,
         "op9_url_filters": op9.op9_url_filters,
+        "op10_repeats": op10.op10_repeats,
     }
 
 
