@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from . import op1_quality_classifier as op1
 from . import op10_repeats as op10
+from . import op2_line_dedup as op2
+from . import op3_licenses as op3
+from . import op4_warc as op4
 from . import op5_decontamination as op5
 from . import op6_packing as op6
 from . import op7_near_dedup as op7
@@ -16,6 +19,9 @@ from . import op9_url_filters as op9
 def queries() -> dict[str, Callable]:
     return {
         "op1_quality_classifier": op1.op1_quality_classifier,
+        "op2_line_dedup": op2.op2_line_dedup,
+        "op3_licenses": op3.op3_licenses,
+        "op4_warc": op4.op4_warc,
         "op5_decontamination": op5.op5_decontamination,
         "op6_packing": op6.op6_packing,
         "op7_near_dedup": op7.op7_near_dedup,
@@ -26,4 +32,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": op5.SQL, "op9_url_filters": op9.SQL}
+    return {"op2_line_dedup": op2.SQL, "op5_decontamination": op5.SQL, "op9_url_filters": op9.SQL}
