@@ -6,9 +6,10 @@ the input alone: what an earlier line is compared with doesn't depend on what st
 
 Two lines within one edit share a half, and all but one block of about sqrt(n) characters:
 
-1. Lines whose halves (prefix or suffix, by length class) occur once repeat nothing;
-   counting hashed halves settles most lines without their text.
-2. The rest are grouped to distinct lines, each with its first place.
+1. Lines are grouped to distinct lines by 128 bits of hash, each with its first place;
+   no text moves.
+2. Distinct lines whose halves (prefix or suffix, by length class) occur once have no
+   near partner. Only the others' texts are fetched.
 3. Deletion variants, coarse: each line less one block, hashed. Fine, where two lines
    share a coarse variant: the block less each one character, and the block itself.
    Equal variants join: lines of one length that lack the same character differ by a
@@ -26,52 +27,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import others, quoted
+from .common import others, quoted, written
 
 #: Characters from which a line may differ by one edit.
 FUZZY_FROM = 20
 LEAST_BLOCK = 16
+#: Lines whose places are sent to all tasks to fetch their texts; more are joined by a shuffle.
+SMALL = 200_000
 
 
 def half_keys() -> Column:
-    """Hashes of the line's halves as the shorter (or equal) and as the longer line of a pair; short lines' own hash."""
+    """Hashes of the line's halves as the shorter (or equal) and as the longer line of a pair."""
     def halves(n: str) -> str:
         q = f"4 * ({n} div 8)"
         return f"array(xxhash64('p', {n} div 8, left(line, {q})), xxhash64('s', {n} div 8, right(line, {q})))"
 
     return F.expr(f"""
-        CASE WHEN n < {FUZZY_FROM} THEN array(xxhash64('e', line))
-             WHEN n % 8 = 0 AND n > {FUZZY_FROM} THEN concat({halves("n")}, {halves("(n - 1)")})
+        CASE WHEN n % 8 = 0 AND n > {FUZZY_FROM} THEN concat({halves("n")}, {halves("(n - 1)")})
              ELSE {halves("n")} END""")
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th, line_no, line, n (characters) of lines that aren't blank. docs: doc_id, th, text."""
     lines = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(r"\S")).withColumn("n", F.length("line"))
+    return lines.where(r"trim(BOTH ' \t\r\f\u000b' FROM line) <> ''").withColumn("n", F.length("line"))
+
+
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, th, line_no, f1, f2 (a line's 128 bits) and its half keys, null under FUZZY_FROM characters."""
+    lines = with_lines(docs).withColumn("halves", F.when(F.col("n") >= FUZZY_FROM, half_keys()))
+    return lines.select("doc_id", "th", "line_no", F.xxhash64("line").alias("f1"), F.xxhash64(F.lit(1), "line").alias("f2"), *(F.get("halves", F.lit(k)).alias(f"h{k}") for k in range(4)))
 
 
 def shared(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
 
 
-def suspects(docs: DataFrame) -> DataFrame:
-    """doc_id, th, line_no, line of lines that share a half with another line."""
-    keys = with_lines(docs).select("doc_id", "th", "line_no", F.explode(half_keys()).alias("key"))
-    found = keys.join(shared(keys), "key", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set("line_no").alias("nos"))
-    home = docs.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    # docs may hold a row twice: each of its lines is one line
-    lines = home.select("doc_id", "th", F.split("text", "\n").alias("lines"), F.explode("nos").alias("line_no"))
-    return lines.select("doc_id", "th", "line_no", F.expr("lines[line_no]").alias("line"))
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """f1, f2, half keys, first (place) and c (copies) of each distinct line."""
+    halves = [F.min(f"h{k}").alias(f"h{k}") for k in range(4)]
+    return hashed_lines(docs).groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count(F.lit(1)).alias("c"), *halves)
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """line, n and first (place) of each distinct line."""
-    return lines.groupBy("line").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first")).withColumn("n", F.length("line"))
+def alike_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """first, line, n of distinct lines that share a half with another one."""
+    keys = distinct.select("first", F.explode(F.array_compact(F.array(*(f"h{k}" for k in range(4))))).alias("key"))
+    found = written(keys.join(shared(keys), "key", "left_semi").select("first").distinct(), "op2-alike")
+    home = found.groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("t")).agg(F.collect_list("first").alias("firsts"))
+    if found.count() <= SMALL:
+        home = F.broadcast(home)
+    lines = docs.join(home, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select(F.split("text", "\n").alias("lines"), F.explode("firsts").alias("first"))
+    # a row that docs holds twice gives its lines twice
+    return lines.select("first", F.expr("lines[first.line_no]").alias("line")).dropDuplicates(["first"]).withColumn("n", F.length("line"))
 
 
 def coarse(lines: DataFrame) -> DataFrame:
-    """first, part ('short' or 'long'), key, block: each line less one block, as the shorter and as the longer of a pair."""
+    """first, short (or long), key, block: each line less one block, as the shorter and as the longer of a pair."""
     both = lines.select("line", "first", "n", F.explode(F.expr(f"IF(n > {FUZZY_FROM}, array(n, n - 1), array(n))")).alias("m"))
     both = both.withColumn("b", F.expr(f"greatest({LEAST_BLOCK}, cast(ceil(sqrt(m)) as int))"))
     cut = both.select("line", "first", "n", "m", "b", F.explode(F.expr("sequence(0, (m - 1) div b)")).alias("j"))
@@ -94,29 +105,25 @@ def variants(blocks: DataFrame) -> DataFrame:
     return swapped.unionByName(dropped).unionByName(whole)
 
 
-def near_firsts(distinct: DataFrame) -> DataFrame:
-    """line, near: first place of the earliest other line within one edit, where it is before the line's own."""
-    long = distinct.where(f"n >= {FUZZY_FROM}")
-    keys = long.select("first", F.explode(half_keys()).alias("key"))
-    alike = keys.join(shared(keys), "key", "left_semi").select("first").distinct()
-    blocks = coarse(long.join(alike, "first", "left_semi"))
-    blocks = blocks.join(shared(blocks), "key", "left_semi")
+def near_firsts(lines: DataFrame) -> DataFrame:
+    """first, near: place of the earliest other line within one edit, where it is before the line's own."""
+    blocks = coarse(lines)
+    blocks = written(blocks.join(shared(blocks), "key", "left_semi"), "op2-blocks")
     v = variants(blocks)
     least = v.groupBy("v").agg(*(F.min(F.when(F.col("kind") == k, F.col("first"))).alias(k) for k in ("swap", "less", "whole")), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     met = v.join(least, "v").select("first", F.when(F.col("kind") == "swap", F.col("swap")).when(F.col("kind") == "less", F.col("whole")).otherwise(F.col("less")).alias("near"))
     best = met.where("near < first").groupBy("first").agg(F.min("near").alias("near"))
-    own = distinct.select("first", "line")
-    other = distinct.select(F.col("first").alias("near"), F.col("line").alias("near_line"))
-    return best.join(own, "first").join(other, "near").where("levenshtein(line, near_line, 1) BETWEEN 0 AND 1").select("line", "near")
+    other = lines.select(F.col("first").alias("near"), F.col("line").alias("near_line"))
+    return best.join(lines.select("first", "line"), "first").join(other, "near").where("levenshtein(line, near_line, 1) BETWEEN 0 AND 1").select("first", "near")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th, line_no, kept (the earliest line's place) of each line that repeats an earlier one. docs: doc_id, th, text."""
-    lines = suspects(docs)
-    distinct = distinct_lines(lines)
-    told = distinct.join(near_firsts(distinct), "line", "left").select("line", F.least("first", "near").alias("kept"))
+    distinct = written(distinct_lines(docs), "op2-distinct")
+    near = near_firsts(written(alike_lines(docs, distinct), "op2-lines"))
+    told = distinct.join(near, "first", "left").where("c > 1 OR near IS NOT NULL").select("f1", "f2", F.least("first", "near").alias("kept"))
     place = F.struct("doc_id", "th", "line_no")
-    return lines.join(told, "line").where(place > F.col("kept")).select("doc_id", "th", "line_no", "kept")
+    return hashed_lines(docs).drop(*(f"h{k}" for k in range(4))).join(told, ["f1", "f2"]).where(place > F.col("kept")).select("doc_id", "th", "line_no", "kept")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
