@@ -50,7 +50,7 @@ def half_keys() -> Column:
 def with_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th, line_no, line, n (characters) of lines that aren't blank. docs: doc_id, th, text."""
     lines = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(r"trim(BOTH ' \t\r\f\u000b' FROM line) <> ''").withColumn("n", F.length("line"))
+    return lines.where(F.btrim("line", F.lit(" \t\r\f\v")) != "").withColumn("n", F.length("line"))
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
