@@ -395,7 +395,7 @@ def a_29_status_share(s, d):
 
 @query
 def a_30_latest_sync(s, d):
-    return E.events(s, d).agg(F.max("ts").cast("string").alias("latest"))
+    return E.events(s, d).agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("latest"))
 
 
 @query

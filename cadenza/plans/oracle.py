@@ -31,7 +31,7 @@ accounts AS (SELECT c_custkey AS id, ({SRC})[c_custkey % 2 + 1] AS source_system
 entries AS (SELECT event_type AS metric, user_id, CAST(date_trunc('week', ts) AS DATE) AS period_start, count(*) AS count FROM events GROUP BY 1, 2, 3),
 musers AS (SELECT DISTINCT user_id, ({ROLE})[user_id % 6 + 1] AS role FROM events),
 metrics AS (SELECT DISTINCT event_type AS metric, length(event_type) AS target, (['developers', 'all', 'others'])[length(event_type) % 3 + 1] AS applies_to FROM events),
-weeks AS (SELECT CAST(date_trunc('week', {KPI}) AS DATE) - 7 * k AS period_start FROM range(6) w(k)),
+weeks AS (SELECT CAST(date_trunc('week', {KPI}) AS DATE) - CAST(7 * k AS INTEGER) AS period_start FROM range(6) w(k)),
 filled AS (SELECT m.metric, u.user_id, w.period_start, m.target, coalesce(e.count, 0) AS count FROM metrics m JOIN musers u ON m.applies_to <> 'developers' OR u.role IN ('member', 'lead') CROSS JOIN weeks w
   LEFT JOIN entries e ON e.metric = m.metric AND e.user_id = u.user_id AND e.period_start = w.period_start),
 current AS (SELECT * FROM filled WHERE period_start = DATE '2024-01-22'),
@@ -129,6 +129,7 @@ BODIES = {
     "a_24_weekly_totals": f"SELECT metric, user_id, CAST(sum(count) AS BIGINT) AS total, {share('sum(count)', 'sum(target)')} AS percent FROM filled GROUP BY GROUPING SETS ((metric, user_id), (metric))",
     "a_26_people_totals": "SELECT CAST(sum(open) AS BIGINT) AS open, CAST(sum(overdue) AS BIGINT) AS overdue, count(*) FILTER (overdue > 0) AS people_overdue FROM work",
     "a_29_status_share": "SELECT s.status, count(t.status) AS n, CAST(floor(count(t.status) * 100 / greatest(sum(count(t.status)) OVER (), 1) + 0.5) AS BIGINT) AS share FROM (SELECT unnest(['Not Started', 'In Progress', 'Waiting on Someone', 'Blocked', 'Pending Review', 'Complete']) AS status) s LEFT JOIN tasks t ON s.status = t.status GROUP BY 1",
+    "a_30_latest_sync": "SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest FROM events",
     "a_31_moved_counts": "SELECT 'assignee_id' AS column_name, count(*) AS moved FROM tasks WHERE assignee_id = 3 HAVING count(*) > 0 UNION ALL SELECT 'blocked_by_id', count(*) FROM tasks WHERE blocked_by_id = 3 HAVING count(*) > 0 UNION ALL SELECT 'escalated_to_id', count(*) FROM tasks WHERE escalated_to_id = 3 HAVING count(*) > 0",
     "a_33_distinct": "SELECT DISTINCT type FROM accounts",
     "a_34_task_report": "SELECT coalesce(CAST(blocked_by_id AS VARCHAR), '—') AS dim, count(*) AS n, floor(avg(percent_complete) * 100 + 0.5) / 100 AS avg_percent FROM tasks GROUP BY 1",
