@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, others, quoted
+from .common import arrow_map, least_hashes, others, quoted
 from .words import SPACED, byte_values, gram_hashes, mix, powers, steps, word_hashes, word_spans
 
 #: Bound of the labelled rows that the learner reads.
@@ -123,7 +123,7 @@ def feature_columns(texts: pa.Array) -> list[pa.Array]:
 def fitted(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> np.ndarray:
     """Weights learnt from at most `most` labelled rows outside the held-out third; zeros (score 0.5) without any."""
     told = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    told = least_hashes(told, "doc_id", most)
     rows = arrow_map(docs.join(F.broadcast(told), "doc_id").select("doc_id", "quality", "text"), ["doc_id", "quality"], "text", [("buckets", "array<int>"), ("weights", "array<float>")], feature_columns)
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.hash("buckets")).limit(most).toArrow()
     columns = [[x.values.to_numpy(zero_copy_only=False) for x in sample[c]] for c in ("buckets", "weights")]

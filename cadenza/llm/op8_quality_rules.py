@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, others, quoted, written
+from .common import arrow_map, least_hashes, others, quoted, written
 from .words import SPACED, gram_hashes, mix, row_counts, steps, word_hashes, word_spans
 
 #: Bound of the labelled rows that the learner reads.
@@ -200,7 +200,7 @@ def learn_from(counts: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS)
     """Rules from labelled rows outside the held-out third that the base rule passes, `most` at most."""
     told = labels.where("doc_id is not null and quality is not null and crc32(cast(doc_id as string)) % 3 <> 1").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = counts.where(~base_failed()).join(told, "doc_id").select("doc_id", "quality", *[F.expr(v).alias(k) for k, v in FEATURES.items()])
-    sample = rows.orderBy(F.xxhash64("doc_id"), *FEATURES).limit(most).toPandas()
+    sample = least_hashes(rows, "doc_id", most).toPandas().sort_values(["doc_id", *FEATURES], ignore_index=True)
     return learn({f: sample[f].to_numpy(float) for f in FEATURES}, sample["quality"].to_numpy())
 
 
