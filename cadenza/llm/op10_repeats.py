@@ -193,6 +193,7 @@ def repeated_spans(docs: DataFrame, keep: str = "none") -> DataFrame:
     found = places(docs)
     mine = F.struct(F.col("doc_id"), F.col("th"), F.col("at"))
     tally = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("rh").alias("r0"), F.max("rh").alias("r1"), *([F.min(mine).alias("origin")] if keep == "first" else [])).where("n > 1")
+    tally = written(tally, "op10-tally")  # so that a common anchor's places are no aggregate's and can be split between tasks
     live = found.join(tally, "anchor").withColumn("mixed", F.expr("r0 <> r1"))
     if keep == "first":
         live = live.withColumn("lone", mine == F.col("origin")).drop("origin")
