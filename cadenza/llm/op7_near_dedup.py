@@ -13,7 +13,9 @@ register with a probability close to their Jaccard similarity J.
    pairs that can't reach the threshold go. The best pair of each class is verified on
    the full sets; then all pairs between what is not yet connected, in rounds, with new
    stars between the components that share a bucket.
-4. Components of the verified links give each document its group.
+4. Components that still share a bucket are compared in full, block by block: what a
+   star's heads missed is found, and nothing is tried within a component.
+5. Components of the verified links give each document its group.
 
 With BANDS bands of ROWS registers a pair at J = 0.85 misses all bands with a
 probability of (1 - 0.85**4)**24 < 1e-7.
@@ -47,7 +49,9 @@ PERCENT = 85
 #: Standard deviations of the estimate (about 0.037 at J = 0.85) that a linked pair may lie low.
 SLACK = 6
 #: Rounds of stars; each takes other heads in each bucket.
-ROUNDS = 3
+ROUNDS = 2
+#: Classes of a block that meets others in the last pass.
+BLOCK = 128
 
 U = np.uint64
 FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * U(0xA0761D6478BD642F)) | U(1)
@@ -212,6 +216,73 @@ def nearest(links: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label"))
 
 
+def with_groups(bands: DataFrame, label: DataFrame | None) -> DataFrame:
+    """bands with group: the component of each class so far."""
+    if label is None:
+        return bands.withColumn("group", F.col("node"))
+    return bands.join(label, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label")
+
+
+def missed_links(grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between components that still share a bucket, which no star has tried.
+
+    The classes of such buckets form clusters. A cluster's classes are dealt to blocks of
+    about BLOCK, each of one large component or of small ones; each two blocks that aren't
+    of one component meet in a task of their own, and only verified links come out.
+    """
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.min("node").alias("b")).where("g0 <> g1").select("key", "b")
+    rows = grouped.join(mixed, "key").select(F.col("node").alias("a"), "b", "group")
+    cluster = components(rows.select("a", "b"))
+    nodes = written(rows.select(F.col("a").alias("node"), "group").distinct().join(cluster.withColumnRenamed("label", "cluster"), "node"), "clustered")
+    sizes = nodes.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("size"))
+    pools = sizes.withColumn("pool", F.when(F.col("size") >= BLOCK, F.col("group")))
+    parts = pools.groupBy(F.col("cluster").alias("c"), F.col("pool").alias("p")).agg(F.ceil(F.sum("size") / BLOCK).alias("parts"))
+    pools = pools.join(parts, (F.col("cluster") == F.col("c")) & F.col("pool").eqNullSafe(F.col("p"))).select("cluster", "group", "pool", "parts")
+    dealt = nodes.join(pools, ["cluster", "group"]).withColumn("block", F.struct("pool", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).alias("part")))
+    dealt = written(dealt.select("cluster", "block", "node", "group"), "blocks")
+    blocks = dealt.select("cluster", "block").distinct()
+    pairs = blocks.join(blocks.select("cluster", F.col("block").alias("other")), "cluster").where("block <= other AND (block.pool IS NULL OR other.pool IS NULL OR block.pool <> other.pool)")
+    left = pairs.select("cluster", "block", "other", F.col("block").alias("mine"), F.lit(0).alias("side"))
+    right = pairs.where("block <> other").select("cluster", "block", "other", F.col("other").alias("mine"), F.lit(1).alias("side"))
+    asked = left.unionByName(right).withColumn("meeting", F.xxhash64("cluster", "block", "other"))
+    members = asked.join(dealt.withColumnRenamed("block", "mine"), ["cluster", "mine"]).select("meeting", "side", "node", "group")
+    return members.join(sets, "node").select("meeting", "side", "node", "group", "items").groupBy("meeting").applyInArrow(lambda t: meet(t, percent), "a binary, b binary")
+
+
+def meet(t: pa.Table, percent: int) -> pa.Table:
+    """Verified links between the two blocks of a meeting (or within its one block) that connect more."""
+    side, node, group = (t.column(k).to_pylist() for k in ("side", "node", "group"))
+    items = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
+    one = 1 not in side
+    right = [k for k, s in enumerate(side) if s == 1 or one]
+    sizes = np.array([len(items[k]) for k in right])
+    owner = np.repeat(np.arange(len(right)), sizes)
+    pool = np.concatenate([items[k] for k in right])
+    order = np.argsort(pool, kind="stable")
+    pool, owner = pool[order], owner[order]
+    root = {g: g for g in group}
+
+    def top(g):
+        while root[g] != g:
+            root[g] = g = root[root[g]]
+        return g
+
+    a, b = [], []
+    for k in (k for k, s in enumerate(side) if s == 0):
+        p = items[k]
+        lo, hi = np.searchsorted(pool, p, "left"), np.searchsorted(pool, p, "right")
+        n = hi - lo
+        at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        both = np.bincount(owner[at], minlength=len(right))
+        for j in np.flatnonzero(100 * both >= percent * (len(p) + sizes - both)).tolist():
+            x, y = top(group[k]), top(group[right[j]])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                a.append(min(node[k], node[right[j]]))
+                b.append(max(node[k], node[right[j]]))
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
 def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     sketch = written(sketches(docs, text), "sketches")
@@ -226,8 +297,7 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds:
     bands = written(bands.drop("c").join(mates, "node"), "bands")
     links, label, tried = None, None, None
     for k in range(rounds):
-        grouped = bands.withColumn("group", F.col("node")) if label is None else bands.join(label, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label")
-        pairs = stars(grouped, k).where(f"100 * lo >= {percent} * hi").select("a", "b").distinct()
+        pairs = stars(with_groups(bands, label), k).where(f"100 * lo >= {percent} * hi").select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(estimated(pairs, classes, percent), "pairs")
@@ -243,6 +313,10 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds:
             break
         links = found if links is None else label.withColumnsRenamed({"node": "a", "label": "b"}).unionByName(found)
         label = components(links)
+    if label is not None or not bands.isEmpty():
+        last = written(missed_links(with_groups(bands, label), sets, percent), "missed")
+        if not last.isEmpty():
+            label = components(last if label is None else label.withColumnsRenamed({"node": "a", "label": "b"}).unionByName(last))
     ends = classes.select("node", "rep")
     if label is not None:
         of = label.join(ends, "node")
