@@ -32,7 +32,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
     links: columns a and b of one type. Loops, repeated and null links don't matter.
     """
-    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
     said = None
     for _ in range(most):
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

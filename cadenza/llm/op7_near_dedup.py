@@ -48,8 +48,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 PERCENT = 85
 #: Standard deviations of the estimate (about 0.037 at J = 0.85) that a linked pair may lie low.
 SLACK = 6
-#: Rounds of stars; each takes other heads in each bucket.
-ROUNDS = 2
+#: Rounds of stars, each with other heads in each bucket, before the last pass.
+ROUNDS = 1
 #: Classes of a block that meets others in the last pass.
 BLOCK = 128
 
