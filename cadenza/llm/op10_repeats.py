@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ddl, others, quoted, written
+from .common import ddl, quoted, written
 from .words import byte_values, mix, powers, steps
 
 MIN, K = 200, 40
