@@ -52,6 +52,8 @@ SLACK = 6
 ROUNDS = 1
 #: Classes of a block that meets others in the last pass.
 BLOCK = 128
+#: A class of more than one in HOT rows is joined by broadcast: there are fewer than HOT of them.
+HOT = 1024
 
 U = np.uint64
 FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * U(0xA0761D6478BD642F)) | U(1)
@@ -287,7 +289,7 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     sketch = written(sketches(docs, text), "sketches")
     full = sketch.where("n_shingles > 0")
-    classes = written(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("regs").alias("regs"), F.any_value("n_shingles").alias("n_shingles")), "classes")
+    classes = written(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("regs").alias("regs"), F.any_value("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies")), "classes")
     keys = F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})))"))
     bands = classes.select("node", F.col("n_shingles").alias("n"), keys.alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -317,12 +319,16 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds:
         last = written(missed_links(with_groups(bands, label), sets, percent), "missed")
         if not last.isEmpty():
             label = components(last if label is None else label.withColumnsRenamed({"node": "a", "label": "b"}).unionByName(last))
-    ends = classes.select("node", "rep")
+    ends = classes.select("node", "rep", "copies")
     if label is not None:
         of = label.join(ends, "node")
         ids = of.groupBy("label").agg(F.min("rep").alias("component"))
-        ends = ends.join(of.select("node", "label").join(ids, "label").select("node", "component"), "node", "left").select("node", F.coalesce("component", "rep").alias("rep"))
-    out = sketch.select("doc_id", "n_shingles", "node").join(ends, "node", "left")
+        ends = ends.join(of.select("node", "label").join(ids, "label").select("node", "component"), "node", "left").select("node", F.coalesce("component", "rep").alias("rep"), "copies")
+    ends = written(ends, "ends")
+    rows = full.select("doc_id", "n_shingles", "node")
+    hot = ends.where(F.col("copies") * HOT > rows.count()).select("node", "rep")
+    out = rows.join(F.broadcast(hot), "node").unionByName(rows.join(F.broadcast(hot.select("node")), "node", "left_anti").join(ends.select("node", "rep"), "node"))
+    out = out.unionByName(sketch.where("n_shingles = 0").select("doc_id", "n_shingles", "node", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("rep")))
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
