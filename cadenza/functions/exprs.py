@@ -191,3 +191,13 @@ def applies_to(applies: Column, role: Column) -> Column:
 def applies_this_week(applies: Column, role: Column) -> Column:
     """This-week form: an unknown word means nobody."""
     return F.when(applies == "all", True).when(applies == "developers", role.isin("member", "lead")).otherwise(False)
+
+
+def canonical_type(name: Column) -> Column:
+    """X-30: one spelling for each SQL type; the size stays, without blanks."""
+    size = F.replace(F.regexp_extract(name, r"\(.*\)", 0), F.lit(" "), F.lit(""))
+    word = F.lower(F.trim(F.regexp_replace(name, r"\(.*\)", "")))
+    # Short names of SQL types.
+    known = {"serial": "integer", "int": "integer", "int4": "integer", "int8": "bigint", "bool": "boolean", "varchar": "character varying", "timestamptz": "timestamp with time zone", "timestamp": "timestamp without time zone", "decimal": "numeric"}
+    full = F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), word)
+    return F.concat(F.coalesce(full, word), size)

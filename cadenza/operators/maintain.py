@@ -133,3 +133,9 @@ def week_editable(periods: DataFrame, overrides: DataFrame, now: Column) -> Data
     open_ = overrides.select("period_start").distinct().withColumn("__o", F.lit(True))
     out = periods.join(F.broadcast(open_), "period_start", "left").withColumn("locked", X.week_locked(F.col("period_start"), now))
     return out.withColumn("editable", ~F.col("locked") | F.col("__o").isNotNull()).drop("__o")
+
+
+def claim_action(asked: DataFrame, users: DataFrame) -> DataFrame:
+    """M-9: asked (id, email) with action and user_id; users: user_id, known (an address), is_active. A null address is new."""
+    met = asked.join(users, F.lower("email") == F.lower("known"), "left")
+    return met.withColumn("action", F.when(F.col("user_id").isNull(), "insert").when(F.col("is_active"), "reject").otherwise("claim"))

@@ -146,10 +146,12 @@ def run_report(tables: dict[str, DataFrame], spec: Spec) -> DataFrame:
     for i, m in enumerate(spec.metrics):
         total = F.sum(as_number(df, m.field).cast("decimal(28,6)")).cast("double")
         found[metric_key(m, i)[0]] = {"count": F.count(F.lit(1)).cast("double"), "sum": total, "avg": total / F.count(F.lit(1))}[m.agg]
-    grouped = df.groupBy(*(dims or [F.lit(1).alias("__one")])).agg(*(c.alias(k) for k, c in found.items()))
-    first = metric_key(spec.metrics[0], 0)[0]
-    keep = [*(d for d in spec.dimensions if d not in found), *found]
-    return grouped.select(*keep).orderBy(F.col(first).desc(), *(F.col(d).asc_nulls_first() for d in spec.dimensions if d not in found))
+    # a metric whose key is a dimension's name, written later, wins; inside, metrics have names of their own
+    inner = {k: f"__m{i}" for i, k in enumerate(found)}
+    grouped = df.groupBy(*(dims or [F.lit(1).alias("__one")])).agg(*(c.alias(inner[k]) for k, c in found.items()))
+    first = inner[metric_key(spec.metrics[0], 0)[0]]
+    ordered = grouped.orderBy(F.col(first).desc(), *(F.col(d).asc_nulls_first() for d in spec.dimensions))
+    return ordered.select(*(d for d in spec.dimensions if d not in found), *(F.col(inner[k]).alias(k) for k in found))
 
 
 # The four presets.

@@ -117,6 +117,46 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.alias("id"), pick(SOURCES, k % 2).alias("source_system"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"))
 
 
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("id"), pick(SOURCES, k % 2).alias("source_system"), F.col("c_name").alias("last_name"), F.col("c_nationkey").alias("account_id"))
+
+
+def email_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select(k.alias("id"), pick(SOURCES, k % 2).alias("source_system"), (k % 200).alias("campaign_id"), F.col("ts").cast("timestamp").alias("sent_at"))
+
+
+def connections(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(x, "connected") for x in SOURCES], "source_system string, status string")
+
+
+def adapter(spark: SparkSession, sf_dir: str, source: str) -> dict[str, DataFrame]:
+    """S-11: what one source offers, all read alike."""
+    offered = {"opportunities": opportunities, "campaigns": campaigns, "email_activity": email_activity}
+    return {name: read_filtered(f(spark, sf_dir), source_system=source) for name, f in offered.items()}
+
+
+def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return users(spark, sf_dir).select((F.col("user_id") % 5).alias("group_id"), "user_id")
+
+
+def access_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        k.alias("id"), pick(["pending", "approved", "denied"], k % 3).alias("status"), F.when(k % 3 != 0, F.col("user_id")).alias("decided_by_id"),
+        pick(["account", "access"], k % 2).alias("kind"), F.col("user_id").alias("requester_user_id"),
+    )
+
+
+def invitations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        k.alias("id"), F.col("user_id").alias("target_user_id"), pick(["pending", "accepted", "revoked"], k % 3).alias("status"),
+        (F.col("ts").cast("timestamp") + F.expr("INTERVAL 7 DAYS")).alias("expires_at"), F.when(k % 4 != 0, F.concat(F.lit("USER"), k % 40, F.lit("@example.com"))).alias("email"),
+    )
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 

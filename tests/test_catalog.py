@@ -5,9 +5,10 @@ import re
 import duckdb
 import pytest
 
-from cadenza.plans import catalog, oracle
+from cadenza.plans import catalog, oracle, views
 
 SF = "/root/testdata/sf0.001"
+QUERIES, SQL = catalog.QUERIES | views.QUERIES, oracle.SQL | views.SQL
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
@@ -26,15 +27,16 @@ def plain(v):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(oracle.SQL)
+    assert set(QUERIES) == set(SQL)
+    assert not set(catalog.QUERIES) & set(views.QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = df.select(*sorted(df.columns))
     assert not re.search("BatchEvalPython|ArrowEvalPython|MapIn", got._jdf.queryExecution().executedPlan().toString())
-    cur = duck.execute(oracle.SQL[name])
+    cur = duck.execute(SQL[name])
     names = [x[0] for x in cur.description]
     rows = cur.fetchall()
     assert sorted(names) == sorted(df.columns)
