@@ -120,11 +120,6 @@ def covers(x: dict[str, np.ndarray], rule: list[Condition], n: int) -> np.ndarra
     return out
 
 
-def thresholds(v: np.ndarray, live: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """Quantiles of the bad rows, and the tails of the good ones."""
-    return np.unique(np.concatenate([np.quantile(v[live & bad], np.linspace(0, 1, 33), method="lower"), np.quantile(v[live & ~bad], [0, 0.005, 0.02, 0.98, 0.995, 1], method="lower")]))
-
-
 def grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int) -> list[Condition]:
     """Adds the condition of most FOIL gain until only bad rows are covered."""
     rule: list[Condition] = []
