@@ -203,3 +203,15 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.timestamp_seconds(F.lit(1_600_000_000) + F.coalesce("page_id", F.lit(0)))  # the table has no times
     out = capture_histories(pages, at)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
+SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url FROM pages),
+q AS (SELECT *, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, strlen(payload) >= 1000 AND page_id IS NOT NULL AS large FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS last FROM q)
+SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest, CASE WHEN large AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN large AND page_id < last THEN last END AS refers_to,
+  CASE WHEN split_part(rest, '/', 1) = '' THEN url ELSE array_to_string(list_reverse(string_split(split_part(lower(split_part(rest, '/', 1)), ':', 1), '.')), ',') || ')' || CASE WHEN contains(rest, '/') THEN substr(rest, strpos(rest, '/')) ELSE '' END END AS url_key,
+  strftime(make_timestamp((1600000000 + coalesce(page_id, 0)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+FROM r
+"""

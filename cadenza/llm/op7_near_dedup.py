@@ -342,3 +342,18 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group, with its own columns; rows of one doc_id and group are one document."""
     gone = groups(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+
+
+#: All pairs of texts that share a shingle, and all nodes that a node reaches: for tables of thousands of rows.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' ')) END) AS g FROM w),
+c AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS node FROM s GROUP BY doc_id),
+k AS (SELECT node, min(doc_id) AS rep, any_value(n) AS n FROM c GROUP BY node),
+t AS (SELECT k.node, rep, n, g FROM k JOIN s ON s.doc_id = rep),
+l AS (SELECT x.rep AS a, y.rep AS b FROM t x JOIN t y ON x.g = y.g AND x.rep <> y.rep AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+r AS (SELECT rep, rep AS root FROM k UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.rep),
+m AS (SELECT rep, min(root) AS component FROM r GROUP BY rep)
+SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(component, w.doc_id) AS component_id, coalesce(component, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN c ON w.doc_id = c.doc_id LEFT JOIN k ON c.node = k.node LEFT JOIN m ON m.rep = k.rep
+"""
