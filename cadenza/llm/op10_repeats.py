@@ -207,7 +207,10 @@ def repeated_spans(docs: DataFrame, keep: str = "none") -> DataFrame:
     at_home = at_home.dropDuplicates(["doc_id", "th"]).select(F.encode("text", "UTF-8").alias("raw"), F.explode("asked").alias("r")).select("r.*", "raw")
     sent = at_home.select("anchor", "rh", "first", "n", F.expr("cast(first.at & 255 as int)").alias("windows"), F.expr(f"substring(raw, cast(shiftright(first.at, 8) as int) + 1, cast(first.at & 255 as int) + {MIN - 1})").alias("bytes"))
     told = compared(sent.where(f"n <= {CROWD}")).unionByName(counted(sent.where(f"n > {CROWD}")))
-    told = regions.select("anchor", "rh", "copies", "first").join(told, ["anchor", "rh"], "left")
+    # what repeats only, written so that a common region's places can be split between tasks, as for the tally
+    runs = "earlier" if keep == "first" else "again"
+    told = regions.select("anchor", "rh", "copies", *(["first"] if keep == "first" else [])).join(told.select("anchor", "rh", runs), ["anchor", "rh"], "left")
+    told = written(told.where(F.expr(f"copies > 1 OR size({runs}) > 0")), "op10-told")
     met = live.where("mixed").select("doc_id", "th", "at", "anchor", "rh").join(told, ["anchor", "rh"])
     if keep == "first":
         ours = F.when(mine == F.col("first"), F.col("earlier")).otherwise(whole)
