@@ -18,7 +18,7 @@ register with a probability close to their Jaccard similarity J.
 5. Components of the verified links give each document its group.
 
 With BANDS bands of ROWS registers a pair at J = 0.85 misses all bands with a
-probability of (1 - 0.85**4)**24 < 1e-7.
+probability of (1 - 0.85**4)**24 < 1e-7, one at the pipeline's J = 0.8 of less than 1e-5.
 
 Null, empty and wordless texts have an empty set and link to nothing; with fewer
 than five words the whole sequence is the one shingle. Equal texts are one class.
@@ -46,6 +46,8 @@ BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: The same for the pipeline's stage.
+STAGE_PERCENT = 80
 #: Standard deviations of the estimate (about 0.037 at J = 0.85) that a linked pair may lie low.
 SLACK = 6
 #: Rounds of stars, each with other heads in each bucket, before the last pass.
@@ -340,7 +342,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, with its own columns; rows of one doc_id and group are one document."""
-    gone = groups(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = groups(docs, percent=STAGE_PERCENT).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
 
 

@@ -72,6 +72,17 @@ def test_near_dedup_leaves_one_of_each_group(kept):
     assert sorted(r["doc_id"] for r in kept[3].collect()) == sorted(set(group.values()))
 
 
+def test_near_dedup_takes_a_similarity_of_four_fifths(spark):
+    """One changed word of 55: J = 46 / 56; one of 45 has J = 36 / 46 and stays."""
+    text = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    rows = [(1, text(1, 55)), (2, text(1, 55)), (3, text(2, 45)), (4, text(2, 45))]
+    for _, w in rows[1::2]:
+        w[20] = "changed"
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in op7.stage_near_dedup(spark, docs, SF).collect()) == [1, 3, 4]
+    assert op7.groups(docs).where("kept").count() == 4
+
+
 def test_decontamination(spark, kept):
     left = {r["doc_id"] for r in kept[4].collect()}
     told = {r["doc_id"]: r["contaminated"] for r in op5.contamination(kept[3], spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
