@@ -122,9 +122,9 @@ def sketch_columns(texts: pa.Array) -> list[pa.Array]:
     return [pa.array(n, pa.int64()), binary(ids), binary(regs)]
 
 
-def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (the set's class), regs."""
-    return arrow_map(docs, ["doc_id"], text, [("n_shingles", "bigint"), ("node", "binary"), ("regs", "binary")], sketch_columns)
+def sketches(docs: DataFrame, text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, more, n_shingles, node (the set's class), regs."""
+    return arrow_map(docs, ["doc_id", *more], text, [("n_shingles", "bigint"), ("node", "binary"), ("regs", "binary")], sketch_columns)
 
 
 def likelihood_jaccard(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray) -> np.ndarray:
@@ -289,7 +289,12 @@ def meet(t: pa.Table, percent: int) -> pa.Table:
 
 def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
-    sketch = written(sketches(docs, text), "sketches")
+    return grouped(docs, text, percent, rounds).drop("node", "lead")
+
+
+def grouped(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds: int = ROUNDS, more: tuple[str, ...] = ()) -> DataFrame:
+    """groups with the columns more of docs, node (the set's class) and lead (the least class of the group)."""
+    sketch = written(sketches(docs, text, more), "sketches")
     full = sketch.where("n_shingles > 0")
     classes = written(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("regs").alias("regs"), F.any_value("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies")), "classes")
     keys = F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})))"))
@@ -321,17 +326,17 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds:
         last = written(missed_links(with_groups(bands, label), sets, percent), "missed")
         if not last.isEmpty():
             label = components(last if label is None else label.withColumnsRenamed({"node": "a", "label": "b"}).unionByName(last))
-    ends = classes.select("node", "rep", "copies")
+    ends = classes.select("node", "rep", "copies", F.col("node").alias("lead"))
     if label is not None:
         of = label.join(ends, "node")
         ids = of.groupBy("label").agg(F.min("rep").alias("component"))
-        ends = ends.join(of.select("node", "label").join(ids, "label").select("node", "component"), "node", "left").select("node", F.coalesce("component", "rep").alias("rep"), "copies")
+        ends = ends.join(of.select("node", "label").join(ids, "label"), "node", "left").select("node", F.coalesce("component", "rep").alias("rep"), "copies", F.coalesce("label", "lead").alias("lead"))
     ends = written(ends, "ends")
-    rows = full.select("doc_id", "n_shingles", "node")
-    hot = ends.where(F.col("copies") * HOT > rows.count()).select("node", "rep")
-    out = rows.join(F.broadcast(hot), "node").unionByName(rows.join(F.broadcast(hot.select("node")), "node", "left_anti").join(ends.select("node", "rep"), "node"))
-    out = out.unionByName(sketch.where("n_shingles = 0").select("doc_id", "n_shingles", "node", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("rep")))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = full.select("doc_id", *more, "n_shingles", "node")
+    hot = ends.where(F.col("copies") * HOT > rows.count()).select("node", "rep", "lead")
+    out = rows.join(F.broadcast(hot), "node").unionByName(rows.join(F.broadcast(hot.select("node")), "node", "left_anti").join(ends.select("node", "rep", "lead"), "node"))
+    out = out.unionByName(sketch.where("n_shingles = 0").select("node", "doc_id", *more, "n_shingles", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("rep"), F.col("node").alias("lead")))
+    out = out.select("doc_id", *more, "n_shingles", "node", "lead", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -341,9 +346,21 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, with its own columns; rows of one doc_id and group are one document."""
-    gone = groups(docs, percent=STAGE_PERCENT).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """One document of each group, with its own columns; rows of one doc_id and group are one document.
+
+    Rows are told apart by doc_id and text. A row without an id is a document of its own: in a
+    group of nothing but such rows one stays, of the least text hash in the least class.
+    """
+    rows = docs.withColumn("__text_hash", F.unhex(F.md5(F.col("text").cast("string"))))
+    of = grouped(rows, percent=STAGE_PERCENT, more=("__text_hash",))
+    gone = of.where("doc_id IS NOT NULL AND NOT kept").select("doc_id", "__text_hash").distinct()
+    out = rows.where("doc_id IS NOT NULL").join(gone, ["doc_id", "__text_hash"], "left_anti")
+    bare = rows.where("doc_id IS NULL")
+    filled = of.where("doc_id IS NULL AND n_shingles > 0")
+    alone = filled.where("component_id IS NULL").groupBy("lead").agg(F.min(F.struct("node", "__text_hash")).alias("least"))
+    one = bare.join(alone.select("least.__text_hash"), "__text_hash", "left_semi").dropDuplicates(["__text_hash"])
+    blank = bare.join(filled.select("__text_hash").distinct(), "__text_hash", "left_anti")
+    return out.select(docs.columns).unionByName(one.select(docs.columns)).unionByName(blank.select(docs.columns))
 
 
 #: All pairs of texts that share a shingle, and all nodes that a node reaches: for tables of thousands of rows.

@@ -83,6 +83,21 @@ def test_near_dedup_takes_a_similarity_of_four_fifths(spark):
     assert op7.groups(docs).where("kept").count() == 4
 
 
+def test_near_dedup_with_repeated_and_null_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(90))
+    near = lambda k: text(k).replace(f"w{k}x40", "changed")
+    rows = [(1, text(1)), (5, near(1)), (5, text(5)), (None, text(1)), (None, text(6)), (7, text(7)), (7, text(7))]
+    rows += [(None, text(8)), (None, text(8)), (None, near(8)), (None, text(8).upper()), (None, None), (None, ""), (None, ""), (9, None)]
+    docs = spark.createDataFrame([(t, i, "en") for i, t in rows], "text string, doc_id bigint, lang string").repartition(3)
+    out = op7.stage_near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    eighth = [x for x in got if x[1] in (text(8), near(8), text(8).upper())]
+    assert len(eighth) == 1 and eighth[0][0] is None
+    want = [(1, text(1)), (5, text(5)), (None, text(6)), (7, text(7)), (7, text(7)), (None, None), (None, ""), (None, ""), (9, None)]
+    assert collections.Counter(got) - collections.Counter(eighth) == collections.Counter(want)
+
+
 def test_decontamination(spark, kept):
     left = {r["doc_id"] for r in kept[4].collect()}
     told = {r["doc_id"]: r["contaminated"] for r in op5.contamination(kept[3], spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
