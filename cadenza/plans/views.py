@@ -453,6 +453,13 @@ def o_4_locale_names(s, d):
     return placed(names, F.collate("name", "UNICODE"))
 
 
+@query("SELECT area_id, project_id, code, 'P' || lpad(CAST(project_id % 7 + 1 AS VARCHAR), 20, '0') || '-' || lpad(CAST(project_id AS VARCHAR), 20, '0') AS natural_key FROM projects")
+def o_5_natural_order_all(s, d):
+    """All projects by area and natural order of their codes, with the key; o_5_natural_order has those up to id 200."""
+    p = E.projects(s, d).select("area_id", "project_id", "code", X.natural_key(F.col("code")).alias("natural_key"))
+    return p.orderBy(F.col("area_id").asc_nulls_last(), "natural_key", "project_id")
+
+
 @query("SELECT user_id, row_number() OVER (ORDER BY total DESC, user_id) AS place FROM work QUALIFY place <= 20")
 def o_6_by_total(s, d):
     """The twenty busiest."""
