@@ -80,6 +80,13 @@ def s_17_definitions(s, d):
     return top.select("name", "is_preset", F.row_number().over(Window.orderBy(F.col("is_preset").desc(), F.col("o_orderdate").desc(), F.col("o_orderkey").desc())).alias("place"))
 
 
+@query("SELECT 'definition ' || o_orderkey AS name, o_orderkey % 5 = 0 AS is_preset, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS created, o_orderkey AS id FROM orders")
+def s_17_definitions_all(s, d):
+    """All saved definitions, presets first, newest first; s_17_definitions has the first fifty."""
+    o = E.table(s, d, "orders").select(F.concat(F.lit("definition "), "o_orderkey").alias("name"), (F.col("o_orderkey") % 5 == 0).alias("is_preset"), "o_orderdate", F.col("o_orderkey").alias("id"))
+    return o.orderBy(F.col("is_preset").desc(), F.col("o_orderdate").desc(), F.col("id").desc()).select("name", "is_preset", F.col("o_orderdate").cast("date").cast("string").alias("created"), "id")
+
+
 # --- sinks --------------------------------------------------------------------------
 
 
@@ -473,6 +480,18 @@ def o_8_open_then_name(s, d):
     return placed(top, F.col("open").desc(), "user_name").select("user_id", "place")
 
 
+@query("SELECT user_id, total FROM work")
+def o_6_by_total_all(s, d):
+    """The whole workload, busiest first; o_6_by_total has the first twenty."""
+    return A.workload(E.users(s, d), E.tasks(s, d), E.as_of()).select("user_id", "total").orderBy(F.col("total").desc(), "user_id")
+
+
+@query("SELECT user_id, open, user_name FROM work")
+def o_8_open_then_name_all(s, d):
+    """All users by open tasks, then name; o_8_open_then_name has the first twenty."""
+    return A.workload(E.users(s, d), E.tasks(s, d), E.as_of()).select("user_id", "open", "user_name").orderBy(F.col("open").desc(), F.collate("user_name", "UNICODE"), "user_id")
+
+
 @query("SELECT project_id, line_no, part_id FROM tasks WHERE escalated_at IS NOT NULL ORDER BY escalated_at DESC, project_id, line_no, part_id LIMIT 10")
 def o_7_o_9_o_10_newest(s, d):
     """The ten newest escalations, by time."""

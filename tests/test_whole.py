@@ -1,5 +1,6 @@
 """Queries that return whole tables, in order."""
 
+import collections
 import re
 
 from cadenza.plans import views
@@ -11,3 +12,16 @@ def test_natural_order_holds_all_projects(spark):
     got = [(r["area_id"], [int(x) for x in re.findall(r"\d+", r["code"])]) for r in views.o_5_natural_order_all(spark, SF).collect()]
     assert len(got) == spark.read.parquet(f"{SF}/orders.parquet").count() > 200
     assert got == sorted(got, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def test_orders_without_caps_hold_all_rows(spark):
+    rows = lambda f: [tuple(r) for r in f(spark, SF).collect()]
+    count = lambda t: spark.read.parquet(f"{SF}/{t}.parquet").count()
+    many = "/root/testdata/sf0.01"
+    assert views.o_6_by_total_all(spark, many).count() == views.o_8_open_then_name_all(spark, many).count() == spark.read.parquet(f"{many}/supplier.parquet").count() > 20
+    total, open_, defs = rows(views.o_6_by_total_all), rows(views.o_8_open_then_name_all), rows(views.s_17_definitions_all)
+    assert len(defs) == count("orders") > 50
+    assert total == sorted(total, key=lambda r: (-r[1], r[0]))
+    assert open_ == sorted(open_, key=lambda r: (-r[1], r[2], r[0]))
+    newest = sorted(sorted(defs, key=lambda r: (r[2], r[3]), reverse=True), key=lambda r: not r[1])
+    assert defs == newest
