@@ -6,6 +6,8 @@ state changes and policies. Each takes (spark, sf_dir) and reads whole tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,13 +104,66 @@ def k_2_csv(s, d):
 
 @query(f"SELECT 'cover' AS sheet, 1 AS n UNION ALL SELECT 'initiatives', count(*) FROM areas UNION ALL SELECT 'completed', count(*) FROM tasks WHERE status = 'Complete' AND completed_at >= {NOW} - INTERVAL 30 DAY UNION ALL SELECT 'weekly', count(*) FROM (SELECT DISTINCT metric, user_id FROM filled)")
 def k_3_sheets(s, d):
-    """The rows of each sheet of the workbook."""
-    sheets = {
-        "cover": A.cover(rollup(s, d)), "initiatives": A.initiatives(E.focus_areas(s, d), rollup(s, d), E.targets(s, d)),
+    """The rows of four sheets of the workbook; k_3_all_sheets has those of all five."""
+    return sheet_rows({name: df for name, df in sheets(s, d).items() if name != "drill_down"})
+
+
+def sheets(s, d) -> dict[str, DataFrame]:
+    """The sheets of the workbook, as sinks.write_sheets takes them."""
+    return {
+        "cover": A.cover(rollup(s, d)), "initiatives": A.initiatives(E.focus_areas(s, d), rollup(s, d), E.targets(s, d)), "drill_down": v_15_drill_down_rows(s, d),
         "completed": completed(s, d), "weekly": filled(s, d).select("metric", "user_id").distinct(),
     }
-    parts = [df.agg(rows()).select(F.lit(name).alias("sheet"), "n") for name, df in sheets.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def sheet_rows(sheets: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.agg(rows()).select(F.lit(name).alias("sheet"), "n") for name, df in sheets.items()])
+
+
+@query(f"SELECT 'cover' AS sheet, 1 AS n UNION ALL SELECT 'initiatives', count(*) FROM areas UNION ALL SELECT 'drill_down', (SELECT count(*) FROM areas) + (SELECT count(*) FROM projects JOIN areas USING (area_id)) + (SELECT count(*) FROM tasks JOIN projects USING (project_id) JOIN areas USING (area_id)) UNION ALL SELECT 'completed', count(*) FROM tasks WHERE status = 'Complete' AND completed_at >= {NOW} - INTERVAL 30 DAY UNION ALL SELECT 'weekly', count(*) FROM (SELECT DISTINCT metric, user_id FROM filled)")
+def k_3_all_sheets(s, d):
+    return sheet_rows(sheets(s, d))
+
+
+NATURAL = "'P' || lpad(CAST(project_id % 7 + 1 AS VARCHAR), 20, '0') || '-' || lpad(CAST(project_id AS VARCHAR), 20, '0')"
+
+
+@query(f"""SELECT 0 AS level, area_id, '' AS project_key, NULL AS line_no, NULL AS part_id, '▸ ' || area_name AS name, '' AS owner, count(r.project_id) || ' tactics' AS status, '' AS priority, '' AS due, '' AS completed,
+    CASE WHEN coalesce(sum(r.n), 0) = 0 THEN 0 ELSE floor(sum(r.s) / sum(r.n) + 0.5) / 100 END AS percent, '' AS notes FROM areas LEFT JOIN rollup_ r USING (area_id) GROUP BY area_id, area_name
+  UNION ALL SELECT 1, area_id, {NATURAL}, NULL, NULL, '    ' || code, coalesce(c_name, ''), status, '', '', '', pct / 100, '' FROM rollup_ JOIN areas USING (area_id) LEFT JOIN customer ON c_custkey = owner_id
+  UNION ALL SELECT 2, area_id, {NATURAL}, line_no, part_id, '        ' || project_id || '/' || line_no, CASE WHEN user_id IS NULL THEN CAST(assignee_id AS VARCHAR) WHEN length(display_name) > 0 THEN display_name WHEN length(concat_ws(' ', nullif(first_name, ''), nullif(last_name, ''))) > 0 THEN concat_ws(' ', nullif(first_name, ''), nullif(last_name, '')) WHEN length(email) > 0 THEN split_part(email, '@', 1) ELSE left(CAST(user_id AS VARCHAR), 8) END,
+    status, priority, coalesce(CAST(due_date AS VARCHAR), ''), coalesce(CAST(CAST(completed_at AS DATE) AS VARCHAR), ''), percent_complete / 100, CASE WHEN blocked_by_id IS NULL THEN '' ELSE 'Blocker: ' || blocked_by_id END
+    FROM tasks JOIN projects USING (project_id) JOIN areas USING (area_id) LEFT JOIN users ON user_id = assignee_id""")
+def v_15_drill_down_rows(s, d):
+    """The outline: each area (0), its projects (1) and their tasks (2), in the sheet's order; v_15_drill_down counts them.
+
+    The tables have no goals, project names, descriptions or notes: a project is named by its
+    code, a task by project and line, and its notes name who blocks it.
+    """
+    text = lambda v="": F.lit(v)
+    areas = E.focus_areas(s, d).select("area_id", "sort_order")
+    keyed = rollup(s, d).join(areas, "area_id").withColumn("project_key", X.natural_key(F.col("code")))
+    top = A.area_rollup(E.focus_areas(s, d), rollup(s, d)).select(
+        F.lit(0).alias("level"), "sort_order", "area_id", text().alias("project_key"), F.concat(text("▸ "), "area_name").alias("name"), text().alias("owner"), F.concat(F.col("project_count"), text(" tactics")).alias("status"),
+        text().alias("priority"), text().alias("due"), text().alias("completed"), (F.col("percent_complete") / 100).alias("percent"), text().alias("notes"),
+    )
+    tactics = keyed.select(
+        F.lit(1).alias("level"), "sort_order", "area_id", "project_key", F.concat(text("    "), "code").alias("name"), F.coalesce("owner_name", text()).alias("owner"), "status",
+        text().alias("priority"), text().alias("due"), text().alias("completed"), (F.col("percent_complete") / 100).alias("percent"), text().alias("notes"),
+    )
+    shown = X.display_name(F.col("display_name"), F.col("first_name"), F.col("last_name"), F.col("email"), F.col("user_id").cast("string"))
+    owners = E.users(s, d).select(F.col("user_id").alias("assignee_id"), shown.alias("owner"))
+    none = F.lit(None).cast("string")
+    of = E.projects(s, d).join(areas, "area_id").select("project_id", "area_id", "sort_order", X.natural_key(F.col("code")).alias("project_key"))
+    tasks = E.tasks(s, d).join(of, "project_id").join(owners, "assignee_id", "left").select(
+        F.lit(2).alias("level"), "sort_order", "area_id", "project_key", "line_no", "part_id", F.concat(text("        "), F.col("project_id"), text("/"), F.col("line_no")).alias("name"),
+        F.coalesce("owner", F.col("assignee_id").cast("string")).alias("owner"), "status", "priority", F.coalesce(F.col("due_date").cast("string"), text()).alias("due"),
+        F.coalesce(F.col("completed_at").cast("date").cast("string"), text()).alias("completed"), (F.col("percent_complete") / 100).alias("percent"), X.notes(F.col("blocked_by_id").cast("string"), none, none).alias("notes"),
+    )
+    out = top.unionByName(tactics).unionByName(tasks, allowMissingColumns=True)
+    late = F.when(F.col("due") == "", "9999").otherwise(F.col("due"))
+    columns = ["level", "area_id", "project_key", "line_no", "part_id", "name", "owner", "status", "priority", "due", "completed", "percent", "notes"]
+    return out.orderBy("sort_order", "area_id", "project_key", "level", late, "line_no", "part_id").select(columns)
 
 
 @query("SELECT '<tr><td>' || area_id || '</td><td>' || area_name || '</td></tr>' AS row FROM areas")

@@ -25,3 +25,20 @@ def test_orders_without_caps_hold_all_rows(spark):
     assert open_ == sorted(open_, key=lambda r: (-r[1], r[2], r[0]))
     newest = sorted(sorted(defs, key=lambda r: (r[2], r[3]), reverse=True), key=lambda r: not r[1])
     assert defs == newest
+
+
+def test_drill_down_is_an_outline_of_all_tasks(spark):
+    out = views.v_15_drill_down_rows(spark, SF).collect()
+    levels = collections.Counter(r["level"] for r in out)
+    assert levels[2] == spark.read.parquet(f"{SF}/lineitem.parquet").count() and levels[1] == spark.read.parquet(f"{SF}/orders.parquet").count() and levels[0] == 5
+    area = project = None
+    for r in out:
+        if r["level"] == 0:
+            area, due = r["area_id"], ""
+        elif r["level"] == 1:
+            project, due = r["project_key"], ""
+        assert r["area_id"] == area and (r["level"] == 0 or r["project_key"] == project)
+        if r["level"] == 2:
+            assert due <= r["due"]
+            due = r["due"]
+    assert "drill_down" in views.sheets(spark, SF)
