@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, quoted, written
 from .components import components
-from .words import BASE as HASH_BASE
+from .words import FACTORS as PLACES
 from .words import SPACED, gram_hashes, mix, steps, word_hashes, word_spans
 
 SHINGLE = 5
@@ -76,7 +76,7 @@ def shingles(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
             at, whole = np.concatenate([[0], np.cumsum(n)])[few], np.zeros(len(few), np.uint64)
             for k in range(SHINGLE - 1):
                 on = n[few] > k
-                whole[on] = whole[on] * HASH_BASE + h[at[on] + k]
+                whole[on] += h[at[on] + k] * PLACES[k]
             g, owner = np.concatenate([g, mix(whole + n[few].astype(np.uint64))]), np.concatenate([owner, few])
         order = np.lexsort((g, owner))
         g, owner = g[order], owner[order]

@@ -86,30 +86,40 @@ def word_spans(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
+#: Keeps the first 0 to 8 bytes of a little-endian number.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Odd factors of the places of a run of words.
+FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * U(0xA24BAED4963EE407)) | U(1)
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hashes of words (words don't overlap and come in order)."""
+    """64-bit hashes of words (words don't overlap and come in order).
+
+    A word's eights of bytes are each mixed with their place before they are added: a sum of
+    powers would let texts like the Thue-Morse string and its complement collide.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
-    first = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(first, size)
-    chars = buf[np.repeat(starts, size) + place]
-    values = byte_values()
-    if lower:
-        values = values[LOWER]
-    h = values[chars]
-    h *= powers(int(size.max()))[place]
+    raw = np.zeros(len(buf) + 8, np.uint8)
+    raw[: len(buf)] = LOWER[buf] if lower else buf
+    eights = np.ndarray((len(buf) + 1,), np.dtype("<u8"), raw, strides=(1,))
+    n = (size + 7) >> 3
+    first = np.cumsum(n) - n
+    k = np.arange(int(n.sum())) - np.repeat(first, n)
+    at = np.repeat(starts, n) + 8 * k
+    h = eights[at] & FIRST_BYTES[np.minimum(np.repeat(ends, n) - at, 8)]
+    h = mix(h ^ mix((k.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)))
     return mix(np.add.reduceat(h, first) + size.astype(np.uint64))
 
 
-def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+def gram_hashes(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Hash of each run of n hashes; runs may cross rows, which the caller masks out."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
-        out *= BASE
-        out += h[k : k + len(out)]
+        out += h[k : k + len(out)] * FACTORS[seed + k]
     return mix(out)
 
 
