@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,20 +27,54 @@ def quoted(name: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set, as in tests."""
+    """The folder that all executors share. Where none is set, a local master (as in tests) gets one; a cluster must name its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = found.get() if found.isDefined() else "/tmp/cadenza-checkpoints"
+        where = found.get() if found.isDefined() else None
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = f"{tempfile.gettempdir()}/cadenza-shared"
     return where.rstrip("/")
 
 
+#: Tables of this session that are written and not dropped.
+_kept: dict[str, None] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cadenza/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _kept[path] = None
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Removes written tables that nothing reads any more."""
+    for t in tables:
+        if t is not None:
+            remove(t.sparkSession, t.written_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    _kept.pop(path, None)
+
+
+def written_so_far() -> set[str]:
+    return set(_kept)
+
+
+def drop_since(spark: SparkSession, before: set[str]) -> None:
+    """Removes what was written since then, once the result that reads it is written itself."""
+    for path in set(_kept) - before:
+        remove(spark, path)
 
 
 def least_hashes(df: DataFrame, key: str, most: int) -> DataFrame:
@@ -68,3 +104,28 @@ def arrow_map(df: DataFrame, keep: list[str], text: str, added: list[tuple[str,
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(place)), *new], names=names)
 
     return df.select(*[quoted(c) for c in keep], quoted(text).cast("string").alias("__text")).mapInArrow(run, schema)
+
+
+class Filter:
+    """A Bloom filter of one hash over 64-bit keys, of a bounded number of bits: what misses it is surely not among the keys.
+
+    It saves shuffling what a join would drop; results are the same without it. Beyond about
+    MOST_BITS keys nearly all passes.
+    """
+
+    MOST_BITS = 1 << 28
+
+    def __init__(self, keys: DataFrame, column: str, spark: SparkSession):
+        n = max(1, keys.count())
+        self.bits = min(self.MOST_BITS, max(1 << 18, 1 << (16 * n - 1).bit_length()))
+        at = F.col(column).bitwiseAND(F.lit(self.bits - 1))
+        parts = keys.select(F.shiftright(at, 15).cast("int").alias("part"), at.bitwiseAND(F.lit(32767)).alias("bit"))
+        rows = parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # MOST_BITS at most
+        table = np.zeros(self.bits // 8, np.uint8)
+        for r in rows:
+            table[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+        self.sent = spark.sparkContext.broadcast(table)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.astype(np.int64) & np.int64(self.bits - 1)
+        return ((self.sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)

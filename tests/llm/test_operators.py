@@ -456,10 +456,9 @@ def test_op9_equals_brute_force(spark):
 # --- 10 ------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("crowd", [5000, 1])
-def test_op10_equals_brute_force(spark, docs, texts, crowd, monkeypatch):
-    monkeypatch.setattr(op10, "CROWD", crowd)
-    raws = [(i, (t or "").encode()) for i, t in texts]
+def removed_by_brute_force(rows):
+    """The rows of remove_repeats: each 200 bytes that start anywhere else go."""
+    raws = [(i, (t or "").encode()) for i, t in rows]
     count = collections.Counter(b[k : k + 200] for _, b in raws for k in range(len(b) - 199))
     want = collections.Counter()
     for i, b in raws:
@@ -469,14 +468,72 @@ def test_op10_equals_brute_force(spark, docs, texts, crowd, monkeypatch):
                 gone |= set(range(k, k + 200))
         kept = bytes(c for k, c in enumerate(b) if k not in gone)
         want[i, len(b), len(gone), sum(k - 1 not in gone for k in gone), hashlib.sha256(kept).hexdigest()] += 1
-    got = rowset(op10.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert got == want
-    assert any(k[2] for k in got) and op10.remove_repeats(empty(spark)).count() == 0
-
-
-@pytest.mark.parametrize("crowd", [5000, 1])
-def test_op10_keeps_the_first_copy(spark, texts, crowd, monkeypatch):
-    monkeypatch.setattr(op10, "CROWD", crowd)
+    return want
+
+
+OP10 = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@pytest.mark.parametrize("group, slice_", [(1000, 1 << 19), (1, 1 << 19), (2, 97), (1000, 700)])
+def test_op10_equals_brute_force(spark, docs, texts, group, slice_, monkeypatch):
+    """Also with every key cut into pieces, and with runs and texts across the borders of slices and blocks."""
+    monkeypatch.setattr(op10, "GROUP", group)
+    monkeypatch.setattr(op10, "SLICE", slice_)
+    monkeypatch.setattr(op10, "BLOCK", 4 * slice_)
+    got = rowset(op10.remove_repeats(docs), *OP10)
+    assert got == removed_by_brute_force(texts)
+    assert any(k[2] for k in got)
+
+
+def test_op10_templates_that_differ_in_few_bytes(spark, monkeypatch):
+    """One common passage before, after and around what differs: one anchor has many different regions."""
+    monkeypatch.setattr(op10, "GROUP", 8)
+    rng = random.Random(12)
+    passage = "".join(rng.choices("abcdefgh ", k=330))
+    rows = []
+    for k in range(90):
+        cut = rng.choice([130, 165, 180, 200, 215, 260])
+        rows.append((k, passage[:cut] + f"#{rng.randint(0, 30)}#" + passage[cut:] + "".join(rng.choices("xyz", k=rng.randint(0, 60)))))
+    got = rowset(op10.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")), *OP10)
+    assert got == removed_by_brute_force(rows)
+
+
+def test_op10_empty_and_long_and_thue_morse(spark):
+    assert op10.remove_repeats(empty(spark)).count() == 0
+    t = "a"
+    while len(t) < 1024:
+        t += t.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(13)
+    long = "".join(rng.choices("abcdefghijklmnop", k=3_000_000))  # over more than one numpy step
+    rows = [(1, t), (2, t.translate(str.maketrans("ab", "ba"))), (3, long), (4, long[1_999_000:2_000_000] + "é"), (5, None), (6, "")]
+    got = {r["doc_id"]: r for r in op10.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    short = removed_by_brute_force(rows[:2])
+    assert all(tuple(got[i][c] for c in OP10) in short for i in (1, 2))
+    assert [got[i]["n_removed"] for i in (3, 4, 5, 6)] == [1000, 1000, 0, 0]
+
+
+def test_op10_factors_are_longest_previous_and_next():
+    rng = random.Random(14)
+    for letters, n in (("ab", 700), ("abcd", 900), ("a", 450)):
+        text = "".join(rng.choices(letters, k=n))
+        text = text[:300] + text[:260] + text[300:]
+        raw = text.encode()
+        starts = np.array(sorted(rng.sample(range(len(raw) - 199), 150)))
+        before, after = op10.factors(np.frombuffer(raw, np.uint8), starts)
+
+        def common(i, j, raw=raw):
+            n = 0
+            while n < 200 and raw[i + n] == raw[j + n]:
+                n += 1
+            return n
+
+        assert before.tolist() == [max((common(i, j) for j in starts if j < i), default=0) for i in starts]
+        assert after.tolist() == [max((common(i, j) for j in starts if j > i), default=0) for i in starts]
+
+
+@pytest.mark.parametrize("group", [1000, 1])
+def test_op10_keeps_the_first_copy(spark, texts, group, monkeypatch):
+    monkeypatch.setattr(op10, "GROUP", group)
     rows = sorted({(i, t or "") for i, t in texts if i is not None and i != 7})
     seen, want = set(), {}
     for i, t in rows:
