@@ -11,8 +11,8 @@ else. One suffix array of a corpus fits no machine, so windows are dealt first:
    all their windows repeat, however many there are.
 3. Other anchors' distinct regions come together with their bytes, in blocks of one suffix
    order: prefix doubling to depth MIN, ties by place. The previous and next smaller places
-   of a suffix in that order give its longest previous factor, cut off at MIN, the greater
-   ones its longest next factor; a window repeats iff one of them reaches MIN.
+   of a suffix in that order give its longest previous factor, cut off at MIN, and where it
+   stands; a window repeats iff its factor reaches MIN or it is such a factor itself.
 4. Before that, an anchor of more than GROUP places has its runs cut by the anchor's place
    in the window, and keyed by all bytes that such windows share (WIDTHS: ever narrower
    cuts, so ever longer keys, at last the whole window). Pieces of equal bytes become one,
@@ -48,7 +48,7 @@ GROUP = 1_000
 #: Cuts of a larger key's windows, by how many places of the anchor in the window share a key.
 WIDTHS = (40, 8, 1)
 #: Window starts that one numpy step looks at, and bytes of one suffix order.
-SLICE, BLOCK = 1 << 19, 1 << 20
+SLICE, BLOCK = 1 << 16, 1 << 18
 
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
@@ -77,13 +77,12 @@ def tables(most: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each w neighbours, by block-wise prefix and suffix minima."""
-    n = len(x) - w + 1
-    pad = -len(x) % w
-    y = np.concatenate([x, np.full(pad, np.iinfo(x.dtype).max, x.dtype)]).reshape(-1, w)
-    left = np.minimum.accumulate(y, 1).ravel()
-    right = np.minimum.accumulate(y[:, ::-1], 1)[:, ::-1].ravel()
-    return np.minimum(right[:n], left[w - 1 : w - 1 + n])
+    """Minimum of each w neighbours, by doubling."""
+    n, reach = len(x) - w + 1, 1
+    while 2 * reach <= w:
+        x = np.minimum(x[:-reach], x[reach:])
+        reach *= 2
+    return np.minimum(x[:n], x[w - reach : w - reach + n])
 
 
 def runs(buf: np.ndarray, off: np.ndarray, known: list) -> Iterator[tuple[np.ndarray, ...]]:
@@ -211,23 +210,22 @@ def common_prefix(i: np.ndarray, j: np.ndarray, first: np.ndarray, ranks: list[t
 
 
 def factors(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Longest previous and longest next factor of each window start (ascending) among the starts, cut off at MIN."""
+    """Longest previous factor, cut off at MIN, of each window start (ascending) among the starts, and which start it is at (-1 for none)."""
     first, ranks = suffix_ranks(text)
     order = np.lexsort((starts, ranks[-1][1][starts]))
     n = len(order)
-    out = []
-    for place in (order, n - 1 - order):  # smaller places are earlier ones, then later ones
-        before = previous_smaller(place)
-        after = n - 1 - previous_smaller(place[::-1])[::-1]
-        after[after == n] = -1
-        longest = np.zeros(n, np.int64)
-        for near in (before, after):
-            other = np.where(near >= 0, starts[order[near]], -1)
-            np.maximum(longest, common_prefix(starts[order], other, first, ranks), out=longest)
-        mine = np.empty(n, np.int64)
-        mine[order] = longest
-        out.append(mine)
-    return out[0], out[1]
+    before = previous_smaller(order)
+    after = n - 1 - previous_smaller(order[::-1])[::-1]
+    after[after == n] = -1
+    longest, source = np.zeros(n, np.int64), np.full(n, -1)
+    for near in (before, after):
+        other = np.where(near >= 0, order[near], -1)
+        size = common_prefix(starts[order], np.where(near >= 0, starts[other], -1), first, ranks)
+        more = size > longest
+        longest[more], source[more] = size[more], other[more]
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    return longest[back], source[back]
 
 
 RUNS = "array<struct<lo:int,hi:int>>"
@@ -251,10 +249,12 @@ def compared(regions: DataFrame) -> DataFrame:
         base = np.cumsum([0, *(len(r[3]) for r in rows)])
         windows = np.array([r[4] for r in rows])
         starts = np.repeat(base[:-1], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        before, after = factors(text, starts)
+        longest, source = factors(text, starts)
+        later = longest >= MIN
+        twice = later.copy()
+        twice[source[later]] = True  # what a later one copies is a copy, too
         cut = np.cumsum(windows)[:-1]
-        again = [true_runs(f) for f in np.split((before >= MIN) | (after >= MIN), cut)]
-        earlier = [true_runs(f) for f in np.split(before >= MIN, cut)]
+        again, earlier = ([true_runs(f) for f in np.split(flags, cut)] for flags in (twice, later))
         keys = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
         return pa.RecordBatch.from_arrays([*keys, pa.array(again, RUNS_ARROW), pa.array(earlier, RUNS_ARROW)], names=schema.names)
 
