@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -39,8 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-#: Tables of this session that are written and not dropped.
-_kept: dict[str, None] = {}
+#: Tables that this thread has written and not dropped, in `paths`.
+_kept = threading.local()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,32 +49,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cadenza/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _kept[path] = None
+    _kept.paths = written_so_far() | {path}
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
 
 
-def dropped(*tables: DataFrame | None) -> None:
-    """Removes written tables that nothing reads any more."""
-    for t in tables:
-        if t is not None:
-            remove(t.sparkSession, t.written_path)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-    _kept.pop(path, None)
+    _kept.paths = written_so_far() - {path}
 
 
 def written_so_far() -> set[str]:
-    return set(_kept)
+    return getattr(_kept, "paths", set())
 
 
 def drop_since(spark: SparkSession, before: set[str]) -> None:
     """Removes what was written since then, once the result that reads it is written itself."""
-    for path in set(_kept) - before:
+    for path in written_so_far() - before:
         remove(spark, path)
 
 
@@ -129,3 +123,16 @@ class Filter:
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
         at = keys.astype(np.int64) & np.int64(self.bits - 1)
         return ((self.sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def passing(df: DataFrame, key: Column, only: Filter) -> DataFrame:
+    """The rows of df whose key, a bigint, may be in the filter."""
+    width = len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = b.filter(pa.array(only.may_hold(b.column(width).to_numpy())))
+            if keep.num_rows:
+                yield keep.select(list(range(width)))
+
+    return df.select(*[quoted(c) for c in df.columns], key.alias("__key")).mapInArrow(run, df.schema)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Filter, ddl, dropped, quoted, written
+from .common import Filter, ddl, drop_since, passing, quoted, written, written_so_far
 from .words import byte_values, mix, powers, steps
 
 MIN, K = 200, 40
@@ -317,20 +317,9 @@ def document_key() -> Column:
     return F.xxhash64("doc_id", "th")
 
 
-def passing(docs: DataFrame, only: Filter) -> DataFrame:
-    """The rows of docs (doc_id, th, text) whose key may be in the filter."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = b.filter(pa.array(only.may_hold(b.column(3).to_numpy())))
-            if keep.num_rows:
-                yield keep.select([0, 1, 2])
-
-    return docs.select("doc_id", "th", "text", document_key().alias("k")).mapInArrow(run, docs.select("doc_id", "th", "text").schema)
-
-
 def repeated_spans(docs: DataFrame, keep: str = "none") -> DataFrame:
     """d, t (doc_id and th) and spans (array of lo, hi byte ranges, in any order, may overlap) of documents with any. docs: doc_id, th, text."""
-    spark = docs.sparkSession
+    spark, before = docs.sparkSession, written_so_far()
     mine = F.struct(F.col("doc_id"), F.col("th"), F.col("at"))
     bounds = [f(c).alias(k) for f, c, k in ((F.min, "rh", "r0"), (F.max, "rh", "r1"), (F.min, "rp", "p0"), (F.max, "rp", "p1"))]
     tally = places(docs).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *bounds, *([F.min(mine).alias("origin")] if keep == "first" else [])).where("n > 1")
@@ -346,7 +335,7 @@ def repeated_spans(docs: DataFrame, keep: str = "none") -> DataFrame:
     regions = written(live.where("mixed").groupBy("anchor", "rh", "rp").agg(F.count(F.lit(1)).alias("copies"), F.min(mine).alias("first"), F.max("n").alias("n")), "op10-regions")
     asked = regions.groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("t")).agg(F.collect_list(F.struct("anchor", "rh", "rp", "first", "n")).alias("asked"))
     homes = Filter(regions.select(F.xxhash64("first.doc_id", "first.th").alias("k")).distinct(), "k", spark)
-    at_home = passing(docs, homes).join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    at_home = passing(docs, document_key(), homes).join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
     at_home = at_home.dropDuplicates(["doc_id", "th"]).select(F.encode("text", "UTF-8").alias("raw"), F.explode("asked").alias("r")).select("r.*", "raw")
     at_home = at_home.withColumns({"windows": F.expr("cast(first.at & 255 as int)"), "place": F.expr("cast(shiftright(first.at, 8) & 255 as int)")})
     sent = at_home.select(F.col("anchor").alias("key"), F.col("rh").alias("x"), F.col("rp").alias("y"), "n", "first", "place", "windows", F.expr(f"substring(raw, cast(shiftright(first.at, 16) as int) + 1, windows + {MIN - 1})").alias("bytes"))
@@ -363,7 +352,7 @@ def repeated_spans(docs: DataFrame, keep: str = "none") -> DataFrame:
     spans = plain.unionByName(met.select("doc_id", "th", "at", ours.alias("runs"))).select("doc_id", "th", F.explode("runs").alias("r"), F.shiftright("at", 16).alias("base"))
     spans = spans.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.struct((F.col("base") + F.col("r.lo")).alias("lo"), (F.col("base") + F.col("r.hi") + MIN).alias("hi")).alias("s"))
     out = written(spans.groupBy("d", "t").agg(F.collect_list("s").alias("spans")), "op10-spans")
-    dropped(tally, live, regions, told)
+    drop_since(spark, before | {out.written_path})
     return out
 
 
@@ -411,7 +400,7 @@ def remove_repeats(docs: DataFrame, keep: str = "none", text: str = "text", with
             yield from told(b.column(0), b.column(1), b.column(2))
 
     whole = rows.select("doc_id", "text", document_key().alias("k")).mapInArrow(untouched, schema)
-    joined = passing(rows, some).join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
+    joined = passing(rows, document_key(), some).join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
     return whole.unionByName(joined.select("doc_id", "text", "spans").mapInArrow(cut, schema))
 
 

@@ -13,8 +13,8 @@ register with a probability close to their Jaccard similarity J.
    pairs that can't reach the threshold go. The best pair of each class is verified on
    the full sets; then all pairs between what is not yet connected, in rounds, with new
    stars between the components that share a bucket.
-4. Components that still share a bucket are compared in full, block by block: what a
-   star's heads missed is found, and nothing is tried within a component.
+4. Components that still share a bucket meet in a prefix-filtered join of their classes'
+   full sets: what a star's heads missed is found, and nothing is tried within a component.
 5. Components of the verified links give each document its group.
 
 With BANDS bands of ROWS registers a pair at J = 0.85 misses all bands with a
@@ -32,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, quoted, written
+from .common import Filter, arrow_map, drop_since, passing, quoted, written, written_so_far
 from .components import components
 from .words import FACTORS as PLACES
 from .words import SPACED, gram_hashes, mix, steps, word_hashes, word_spans
@@ -52,8 +52,6 @@ STAGE_PERCENT = 80
 SLACK = 6
 #: Rounds of stars, each with other heads in each bucket, before the last pass.
 ROUNDS = 1
-#: Classes of a block that meets others in the last pass.
-BLOCK = 128
 #: A class of more than one in HOT rows is joined by broadcast: there are fewer than HOT of them.
 HOT = 1024
 
@@ -61,38 +59,39 @@ U = np.uint64
 FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * U(0xA0761D6478BD642F)) | U(1)
 
 
-def shingles(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, distinct shingles' hashes in order, first place of each row and the end)."""
+def shingles(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, distinct shingles' hashes in order, first place of each row and the end, a second hash of each shingle)."""
     for a, b, buf, off in steps(texts):
         s, e, row = word_spans(buf, off, SPACED)
         h = word_hashes(buf, s, e, lower=True)
         n = np.bincount(row, minlength=b - a)
-        g, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        g, g2, owner = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if len(h) >= SHINGLE:
             inside = np.flatnonzero(row[SHINGLE - 1 :] == row[: 1 - SHINGLE])
-            g, owner = gram_hashes(h, SHINGLE)[inside], row[inside]
+            g, g2, owner = gram_hashes(h, SHINGLE)[inside], gram_hashes(h, SHINGLE, SHINGLE)[inside], row[inside]
         few = np.flatnonzero((n > 0) & (n < SHINGLE))
         if len(few):
             at, whole = np.concatenate([[0], np.cumsum(n)])[few], np.zeros(len(few), np.uint64)
             for k in range(SHINGLE - 1):
                 on = n[few] > k
                 whole[on] += h[at[on] + k] * PLACES[k]
-            g, owner = np.concatenate([g, mix(whole + n[few].astype(np.uint64))]), np.concatenate([owner, few])
+            whole = mix(whole + n[few].astype(np.uint64))
+            g, g2, owner = np.concatenate([g, whole]), np.concatenate([g2, whole]), np.concatenate([owner, few])
         order = np.lexsort((g, owner))
-        g, owner = g[order], owner[order]
+        g, g2, owner = g[order], g2[order], owner[order]
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
-        g, owner = g[new], owner[new]
-        yield a, b, g, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b - a))])
+        g, g2, owner = g[new], g2[new], owner[new]
+        yield a, b, g, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b - a))]), g2
 
 
-def class_ids(g: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Two 64-bit sums for each row with shingles: equal for equal sets."""
+def class_ids(g: np.ndarray, at: np.ndarray, g2: np.ndarray) -> np.ndarray:
+    """For each row with shingles, 64-bit sums of two hashes of its shingles: equal for equal sets."""
     on = np.flatnonzero(np.diff(at))
     out = np.zeros((len(at) - 1, 2), np.uint64)
     if len(on):
         out[on, 0] = np.add.reduceat(mix(g ^ U(0x1D8E4E27C47D124F)), at[on])
-        out[on, 1] = np.add.reduceat(mix(g + U(0xEB44ACCAB455D165)), at[on])
+        out[on, 1] = np.add.reduceat(mix(g2 + U(0xEB44ACCAB455D165)), at[on])
     return out
 
 
@@ -117,7 +116,7 @@ def binary(rows: np.ndarray) -> pa.Array:
 
 
 def sketch_columns(texts: pa.Array) -> list[pa.Array]:
-    parts = [(np.diff(at), class_ids(g, at), registers(g, at)) for _, _, g, at in shingles(texts)]
+    parts = [(np.diff(at), class_ids(g, at, g2), registers(g, at)) for _, _, g, at, g2 in shingles(texts)]
     n, ids, regs = (np.concatenate(x) for x in zip(*parts, strict=True))
     return [pa.array(n, pa.int64()), binary(ids), binary(regs)]
 
@@ -173,13 +172,14 @@ def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, text: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, g, at in shingles(b.column(0)):
-                ids = class_ids(g, at)
+            for lo, hi, g, at, g2 in shingles(b.column(0)):
+                ids = class_ids(g, at, g2)
                 items = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(g))])
                 yield pa.RecordBatch.from_arrays([binary(ids), items], names=["node", "items"])
 
     wanted = classes.join(nodes, "node", "left_semi").select("rep").distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), quoted(text).cast("string").alias("__text"))
+    only = Filter(wanted.select(F.xxhash64("rep").alias("k")), "k", docs.sparkSession)
+    texts = passing(docs.select(F.col("doc_id").alias("rep"), quoted(text).cast("string").alias("__text")), F.xxhash64("rep"), only)
     texts = texts.join(wanted, texts["rep"].eqNullSafe(wanted["rep"]), "left_semi")
     sets = texts.select("__text").mapInArrow(run, "node binary, items binary")
     return sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
@@ -209,7 +209,7 @@ def stars(bands: DataFrame, round_: int) -> DataFrame:
     """a < b: in each bucket with more than one component (group), a class of one and all classes of the others."""
     order = -F.col("mates") if round_ == 0 else F.xxhash64("group", "key", F.lit(round_))
     heads = bands.groupBy("key").agg(F.min_by(F.struct("node", "group", "n"), F.struct(order, "node")).alias("head"), F.min("group").alias("g0"), F.max("group").alias("g1"))
-    heads = heads.where("g0 <> g1").select("key", "head")
+    heads = written(heads.where("g0 <> g1").select("key", "head"), "heads")  # so that a common key's classes can be split between tasks
     met = bands.join(heads, "key").where("group <> head.group").select("node", "n", "head")
     return met.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"), F.least("n", "head.n").alias("lo"), F.greatest("n", "head.n").alias("hi"))
 
@@ -227,64 +227,46 @@ def with_groups(bands: DataFrame, label: DataFrame | None) -> DataFrame:
     return bands.join(label, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label")
 
 
-def missed_links(grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between components that still share a bucket, which no star has tried.
+def shared_items(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """item, node, n (set size), group (64 bits of the component) of each member of the nodes' sets. nodes: node, group."""
 
-    The classes of such buckets form clusters. A cluster's classes are dealt to blocks of
-    about BLOCK, each of one large component or of small ones; each two blocks that aren't
-    of one component meet in a task of their own, and only verified links come out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, group, raw = b.column(0), b.column(1), b.column(2)
+            sizes = np.array([len(x) // 8 for x in raw.to_pylist()], np.int64)
+            take = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+            items = np.frombuffer(b"".join(raw.to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(items), node.take(take), pa.array(np.repeat(sizes, sizes)), group.take(take)], names=["item", "node", "n", "group"])
+
+    rows = sets.join(nodes.select("node", F.xxhash64("group").alias("group")), "node").select("node", "group", "items")
+    return rows.mapInArrow(run, "item bigint, node binary, n bigint, group bigint")
+
+
+def missed_pairs(grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of classes that may be linked, of components that share a bucket and that no star has tried.
+
+    A prefix-filtered join of the full sets. A set's members are in order of how many sets hold
+    them, rarest first; a linked pair shares one of the first n - ceil(t n) + 1 members of the
+    larger set and of the first n - ceil(2 t / (1 + t) n) + 1 of the smaller (t: the threshold),
+    with enough members left after it. Texts that have a common part only, however many there
+    are, begin with members of their own and meet nobody: no pairs are made within a bucket.
     """
-    mixed = grouped.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.min("node").alias("b")).where("g0 <> g1").select("key", "b")
-    rows = grouped.join(mixed, "key").select(F.col("node").alias("a"), "b", "group")
-    cluster = components(rows.select("a", "b"))
-    nodes = written(rows.select(F.col("a").alias("node"), "group").distinct().join(cluster.withColumnRenamed("label", "cluster"), "node"), "clustered")
-    sizes = nodes.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("size"))
-    pools = sizes.withColumn("pool", F.when(F.col("size") >= BLOCK, F.col("group")))
-    parts = pools.groupBy(F.col("cluster").alias("c"), F.col("pool").alias("p")).agg(F.ceil(F.sum("size") / BLOCK).alias("parts"))
-    pools = pools.join(parts, (F.col("cluster") == F.col("c")) & F.col("pool").eqNullSafe(F.col("p"))).select("cluster", "group", "pool", "parts")
-    dealt = nodes.join(pools, ["cluster", "group"]).withColumn("block", F.struct("pool", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).alias("part")))
-    dealt = written(dealt.select("cluster", "block", "node", "group"), "blocks")
-    blocks = dealt.select("cluster", "block").distinct()
-    pairs = blocks.join(blocks.select("cluster", F.col("block").alias("other")), "cluster").where("block <= other AND (block.pool IS NULL OR other.pool IS NULL OR block.pool <> other.pool)")
-    left = pairs.select("cluster", "block", "other", F.col("block").alias("mine"), F.lit(0).alias("side"))
-    right = pairs.where("block <> other").select("cluster", "block", "other", F.col("other").alias("mine"), F.lit(1).alias("side"))
-    asked = left.unionByName(right).withColumn("meeting", F.xxhash64("cluster", "block", "other"))
-    members = asked.join(dealt.withColumnRenamed("block", "mine"), ["cluster", "mine"]).select("meeting", "side", "node", "group")
-    return members.join(sets, "node").select("meeting", "side", "node", "group", "items").groupBy("meeting").applyInArrow(lambda t: meet(t, percent), "a binary, b binary")
-
-
-def meet(t: pa.Table, percent: int) -> pa.Table:
-    """Verified links between the two blocks of a meeting (or within its one block) that connect more."""
-    side, node, group = (t.column(k).to_pylist() for k in ("side", "node", "group"))
-    items = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
-    one = 1 not in side
-    right = [k for k, s in enumerate(side) if s == 1 or one]
-    sizes = np.array([len(items[k]) for k in right])
-    owner = np.repeat(np.arange(len(right)), sizes)
-    pool = np.concatenate([items[k] for k in right])
-    order = np.argsort(pool, kind="stable")
-    pool, owner = pool[order], owner[order]
-    root = {g: g for g in group}
-
-    def top(g):
-        while root[g] != g:
-            root[g] = g = root[root[g]]
-        return g
-
-    a, b = [], []
-    for k in (k for k, s in enumerate(side) if s == 0):
-        p = items[k]
-        lo, hi = np.searchsorted(pool, p, "left"), np.searchsorted(pool, p, "right")
-        n = hi - lo
-        at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        both = np.bincount(owner[at], minlength=len(right))
-        for j in np.flatnonzero(100 * both >= percent * (len(p) + sizes - both)).tolist():
-            x, y = top(group[k]), top(group[right[j]])
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                a.append(min(node[k], node[right[j]]))
-                b.append(max(node[k], node[right[j]]))
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+    mixed = written(grouped.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("key"), "mixed")
+    nodes = grouped.join(mixed, "key", "left_semi").select("node", "group").distinct()
+    items = written(shared_items(sets, nodes), "items")
+    held = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("group").alias("g0"), F.max("group").alias("g1"))
+    held = written(held.where("g0 <> g1").select("item", "c"), "held")  # what one component alone holds makes no pair
+    inside = items.join(held, "item")
+    own = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node"))  # these come first
+    place = own + F.row_number().over(Window.partitionBy("node").orderBy("c", "item")) - 1
+    prefix = inside.withColumn("place", place)
+    prefix = prefix.where(f"place < n - ceil({percent} * n / 100) + 1").withColumn("first", F.expr(f"place < n - ceil({2 * percent} * n / {100 + percent}) + 1"))
+    prefix = written(prefix.select("item", "node", "n", "group", "place", "first"), "prefix")
+    short = prefix.where("first").select("item", F.col("node").alias("s"), F.col("n").alias("ns"), F.col("group").alias("gs"), F.col("place").alias("ps"))
+    long = prefix.select("item", F.col("node").alias("l"), F.col("n").alias("nl"), F.col("group").alias("gl"), F.col("place").alias("pl"))
+    met = short.join(long, "item").where(f"gs <> gl AND (ns < nl OR (ns = nl AND s < l)) AND 100 * ns >= {percent} * nl")
+    met = met.where(f"{100 + percent} * least(ns - ps, nl - pl) >= {percent} * (ns + nl)")
+    return met.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
@@ -294,12 +276,13 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds:
 
 def grouped(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds: int = ROUNDS, more: tuple[str, ...] = ()) -> DataFrame:
     """groups with the columns more of docs, node (the set's class) and lead (the least class of the group)."""
+    before = written_so_far()
     sketch = written(sketches(docs, text, more), "sketches")
     full = sketch.where("n_shingles > 0")
     classes = written(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("regs").alias("regs"), F.any_value("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies")), "classes")
     keys = F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})))"))
     bands = classes.select("node", F.col("n_shingles").alias("n"), keys.alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
     bands = written(bands.join(shared, "key"), "bands")
     mates = bands.groupBy("node").agg(F.sum("c").alias("mates"))
     sets = written(full_sets(docs, classes, mates.select("node"), text), "sets")
@@ -323,7 +306,8 @@ def grouped(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds:
         links = found if links is None else label.withColumnsRenamed({"node": "a", "label": "b"}).unionByName(found)
         label = components(links)
     if label is not None or not bands.isEmpty():
-        last = written(missed_links(with_groups(bands, label), sets, percent), "missed")
+        pairs = estimated(missed_pairs(written(with_groups(bands, label), "grouped"), sets, percent), classes, percent)
+        last = written(verified(pairs, sets, percent), "missed")
         if not last.isEmpty():
             label = components(last if label is None else label.withColumnsRenamed({"node": "a", "label": "b"}).unionByName(last))
     ends = classes.select("node", "rep", "copies", F.col("node").alias("lead"))
@@ -332,6 +316,7 @@ def grouped(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds:
         ids = of.groupBy("label").agg(F.min("rep").alias("component"))
         ends = ends.join(of.select("node", "label").join(ids, "label"), "node", "left").select("node", F.coalesce("component", "rep").alias("rep"), "copies", F.coalesce("label", "lead").alias("lead"))
     ends = written(ends, "ends")
+    drop_since(docs.sparkSession, before | {sketch.written_path, ends.written_path})
     rows = full.select("doc_id", *more, "n_shingles", "node")
     hot = ends.where(F.col("copies") * HOT > rows.count()).select("node", "rep", "lead")
     out = rows.join(F.broadcast(hot), "node").unionByName(rows.join(F.broadcast(hot.select("node")), "node", "left_anti").join(ends.select("node", "rep", "lead"), "node"))

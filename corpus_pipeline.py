@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm.common import shared_dir
+from cadenza.llm.common import drop_since, remove, shared_dir, written_so_far
 from cadenza.llm.op2_line_dedup import stage_line_dedup
 from cadenza.llm.op5_decontamination import stage_decontamination
 from cadenza.llm.op6_packing import stage_packing
@@ -33,8 +33,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of the documents that all stages keep."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/cadenza/pipeline-{uuid.uuid4().hex}"
+    before, last = written_so_far(), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        drop_since(spark, before)  # what the stage wrote, and its input, are read no more
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs

@@ -60,6 +60,14 @@ def docs(spark, texts):
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, N_Words double").repartition(3)
 
 
+def thue_morse(n):
+    """A string that sums of powers modulo 2**64 can't tell from its complement, if it is long enough."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t
+
+
 def empty(spark):
     return spark.createDataFrame([], "doc_id bigint, text string, lang string")
 
@@ -279,6 +287,14 @@ def test_op5_equals_brute_force(spark, docs, texts, block_words):
     assert op5.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_op5_tells_apart_structured_words(spark):
+    t = thue_morse(1024)
+    bench = spark.createDataFrame([(1, f"{t} a b")], "item_id bigint, text string")
+    rows = [(1, f"x {t} a b"), (2, f"x {t.translate(str.maketrans('ab', 'ba'))} a b")]
+    got = rowset(op5.contamination(spark.createDataFrame(rows, "doc_id bigint, text string"), bench), "doc_id", "n_hit")
+    assert got == {(1, 3): 1, (2, 0): 1}
+
+
 # --- 6 -------------------------------------------------------------------------
 
 
@@ -366,6 +382,35 @@ def test_op7_equals_brute_force(spark, docs, texts):
     assert op7.groups(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("n, common, own", [(2000, 45, 55), (400, 70, 10)])
+def test_op7_makes_few_pairs_of_texts_with_a_common_part(spark, n, common, own, monkeypatch):
+    """J of about 0.27, and of 0.77: no two texts are linked, but buckets hold many."""
+    rng = random.Random(17)
+    part = [f"c{k}" for k in range(common)]
+    rows = [(k, " ".join(part + [f"o{rng.randint(0, 10**9)}" for _ in range(own)])) for k in range(n)]
+    rows += [(n + k, rows[k][1].replace("c7 ", "changed ")) for k in range(5)]  # these five pairs are linked
+    counts = []
+
+    def counted(pairs, sets, percent, real=op7.verified):
+        counts.append(pairs.count())
+        return real(pairs, sets, percent)
+
+    monkeypatch.setattr(op7, "verified", counted)
+    got = {r["doc_id"]: r["component_id"] for r in op7.groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    sets = {k: shingle_set(t) for k, t in rows}
+    linked = [k for k in range(5) if 100 * len(sets[k] & sets[n + k]) >= 85 * len(sets[k] | sets[n + k])]
+    assert got == {k: k - n if k - n in linked else k for k in sets}
+    assert sum(counts) <= 30 * n
+
+
+def test_op7_tells_apart_structured_words(spark):
+    t = thue_morse(1024)
+    u = t.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{t} w x y z"), (2, f"{u} w x y z"), (3, f"{t} w x y z")]
+    got = rowset(op7.groups(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "component_id")
+    assert got == {(1, 1): 1, (2, 2): 1, (3, 1): 1}
+
+
 def test_op7_likelihood_finds_j():
     rng = np.random.default_rng(3)
     for j in (0.5, 0.85, 0.95):
@@ -408,6 +453,14 @@ def test_op8_counts_equal_brute_force(spark, docs, texts):
     assert op8.with_counts(empty(spark)).count() == 0
 
 
+def test_op8_tells_apart_structured_lines(spark):
+    t = thue_morse(1024)
+    u = t.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{t}\n{u}"), (2, f"{t}\n{u}\n{t}"), (3, " ".join([t, "b", "c", "d", "e", u, "b", "c", "d", "e"]))]
+    got = rowset(op8.with_counts(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "n_dup_lines", "n_repeat_words")
+    assert got == {(1, 0, 0): 1, (2, 1, 0): 1, (3, 0, 0): 1}
+
+
 def test_op8_learns_rules_and_keeps_clean_rows(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -500,9 +553,7 @@ def test_op10_templates_that_differ_in_few_bytes(spark, monkeypatch):
 
 def test_op10_empty_and_long_and_thue_morse(spark):
     assert op10.remove_repeats(empty(spark)).count() == 0
-    t = "a"
-    while len(t) < 1024:
-        t += t.translate(str.maketrans("ab", "ba"))
+    t = thue_morse(1024)
     rng = random.Random(13)
     long = "".join(rng.choices("abcdefghijklmnop", k=3_000_000))  # over more than one numpy step
     rows = [(1, t), (2, t.translate(str.maketrans("ab", "ba"))), (3, long), (4, long[1_999_000:2_000_000] + "é"), (5, None), (6, "")]
