@@ -23,6 +23,17 @@ def others(df: DataFrame, added: Iterable[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def hidden(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """docs with all columns but those under names that no operator computes."""
+    return docs.toDF(*(c if c in keep else f"__own_{i}" for i, c in enumerate(docs.columns)))
+
+
+def shown(df: DataFrame, docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text"), more: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of docs, which hidden() renamed, from df, and more of df's."""
+    own = [c if c in keep else f"__own_{i}" for i, c in enumerate(docs.columns)]
+    return df.select(*[quoted(c) for c in (*own, *more)]).toDF(*docs.columns, *more)
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -1,8 +1,10 @@
 """Line dedup: a deletion-neighbourhood join that drops later copies of a line.
 
 A line repeats an earlier one (by doc_id, then line number) if they are equal or, from
-FUZZY_FROM characters on, within one edit. Every line but the earliest such goes, by
-the input alone: what an earlier line is compared with doesn't depend on what stays.
+`fuzzy_from` characters on, within one edit. Shorter lines mean something else after one
+edit ("}" and "]", "1." and "2."), so the default is FUZZY_FROM; with 1, all lines may
+differ. Every line but the earliest such goes, by the input alone: what an earlier line
+is compared with doesn't depend on what stays.
 
 Two lines within one edit share a half, and all but one block of about sqrt(n) characters:
 
@@ -14,7 +16,9 @@ Two lines within one edit share a half, and all but one block of about sqrt(n) c
    share a coarse variant: the block less each one character, and the block itself.
    Equal variants join: lines of one length that lack the same character differ by a
    substitution; a line that lacks a character equals a shorter one after a deletion.
-   A variant's group is a minimum of first places, so no pairs are made.
+   A variant's group is a minimum of first places, so no pairs are made. What is counted or
+   reduced by key is written before it is joined by that key: a key of a third of all lines
+   (a common first half, a log line's frame) is no aggregate's then and is split between tasks.
 4. The edit distance to the earliest partner is verified.
 
 Only DataFrame functions run. Blank lines (white space) and null or empty texts are
@@ -27,23 +31,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import others, quoted, written
+from .common import drop_since, hidden, others, quoted, shown, written, written_so_far
 
-#: Characters from which a line may differ by one edit.
+#: Characters from which a line may differ by one edit, unless told otherwise.
 FUZZY_FROM = 20
 LEAST_BLOCK = 16
-#: Lines whose places are sent to all tasks to fetch their texts; more are joined by a shuffle.
+#: Lines whose places (three numbers each, so some 12 MB) are sent to all tasks to fetch their texts; more are joined by a shuffle.
 SMALL = 200_000
 
 
-def half_keys() -> Column:
+def half_keys(fuzzy_from: int) -> Column:
     """Hashes of the line's halves as the shorter (or equal) and as the longer line of a pair."""
     def halves(n: str) -> str:
         q = f"4 * ({n} div 8)"
         return f"array(xxhash64('p', {n} div 8, left(line, {q})), xxhash64('s', {n} div 8, right(line, {q})))"
 
     return F.expr(f"""
-        CASE WHEN n % 8 = 0 AND n > {FUZZY_FROM} THEN concat({halves("n")}, {halves("(n - 1)")})
+        CASE WHEN n % 8 = 0 AND n > {fuzzy_from} THEN concat({halves("n")}, {halves("(n - 1)")})
              ELSE {halves("n")} END""")
 
 
@@ -53,20 +57,21 @@ def with_lines(docs: DataFrame) -> DataFrame:
     return lines.where(F.btrim("line", F.lit(" \t\r\f\v")) != "").withColumn("n", F.length("line"))
 
 
-def hashed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th, line_no, f1, f2 (a line's 128 bits) and its half keys, null under FUZZY_FROM characters."""
-    lines = with_lines(docs).withColumn("halves", F.when(F.col("n") >= FUZZY_FROM, half_keys()))
+def hashed_lines(docs: DataFrame, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
+    """doc_id, th, line_no, f1, f2 (a line's 128 bits) and its half keys, null under fuzzy_from characters."""
+    lines = with_lines(docs).withColumn("halves", F.when(F.col("n") >= fuzzy_from, half_keys(fuzzy_from)))
     return lines.select("doc_id", "th", "line_no", F.xxhash64("line").alias("f1"), F.xxhash64(F.lit(1), "line").alias("f2"), *(F.get("halves", F.lit(k)).alias(f"h{k}") for k in range(4)))
 
 
 def shared(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    """key: those that occur twice or more, written."""
+    return written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "op2-shared")
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
+def distinct_lines(docs: DataFrame, fuzzy_from: int) -> DataFrame:
     """f1, f2, half keys, first (place) and c (copies) of each distinct line."""
     halves = [F.min(f"h{k}").alias(f"h{k}") for k in range(4)]
-    return hashed_lines(docs).groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count(F.lit(1)).alias("c"), *halves)
+    return hashed_lines(docs, fuzzy_from).groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count(F.lit(1)).alias("c"), *halves)
 
 
 def alike_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -81,9 +86,9 @@ def alike_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return lines.select("first", F.expr("lines[first.line_no]").alias("line")).dropDuplicates(["first"]).withColumn("n", F.length("line"))
 
 
-def coarse(lines: DataFrame) -> DataFrame:
+def coarse(lines: DataFrame, fuzzy_from: int) -> DataFrame:
     """first, short (or long), key, block: each line less one block, as the shorter and as the longer of a pair."""
-    both = lines.select("line", "first", "n", F.explode(F.expr(f"IF(n > {FUZZY_FROM}, array(n, n - 1), array(n))")).alias("m"))
+    both = lines.select("line", "first", "n", F.explode(F.expr(f"IF(n > {fuzzy_from}, array(n, n - 1), array(n))")).alias("m"))
     both = both.withColumn("b", F.expr(f"greatest({LEAST_BLOCK}, cast(ceil(sqrt(m)) as int))"))
     cut = both.select("line", "first", "n", "m", "b", F.explode(F.expr("sequence(0, (m - 1) div b)")).alias("j"))
     tail = "greatest(m - (j + 1) * b, 0)"
@@ -105,32 +110,36 @@ def variants(blocks: DataFrame) -> DataFrame:
     return swapped.unionByName(dropped).unionByName(whole)
 
 
-def near_firsts(lines: DataFrame) -> DataFrame:
+def near_firsts(lines: DataFrame, fuzzy_from: int) -> DataFrame:
     """first, near: place of the earliest other line within one edit, where it is before the line's own."""
-    blocks = coarse(lines)
+    blocks = coarse(lines, fuzzy_from)
     blocks = written(blocks.join(shared(blocks), "key", "left_semi"), "op2-blocks")
     v = variants(blocks)
     least = v.groupBy("v").agg(*(F.min(F.when(F.col("kind") == k, F.col("first"))).alias(k) for k in ("swap", "less", "whole")), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    least = written(least, "op2-least")
     met = v.join(least, "v").select("first", F.when(F.col("kind") == "swap", F.col("swap")).when(F.col("kind") == "less", F.col("whole")).otherwise(F.col("less")).alias("near"))
     best = met.where("near < first").groupBy("first").agg(F.min("near").alias("near"))
     other = lines.select(F.col("first").alias("near"), F.col("line").alias("near_line"))
     return best.join(lines.select("first", "line"), "first").join(other, "near").where("levenshtein(line, near_line, 1) BETWEEN 0 AND 1").select("first", "near")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
     """doc_id, th, line_no, kept (the earliest line's place) of each line that repeats an earlier one. docs: doc_id, th, text."""
-    distinct = written(distinct_lines(docs), "op2-distinct")
-    near = near_firsts(written(alike_lines(docs, distinct), "op2-lines"))
+    before = written_so_far()
+    distinct = written(distinct_lines(docs, fuzzy_from), "op2-distinct")
+    near = near_firsts(written(alike_lines(docs, distinct), "op2-lines"), fuzzy_from)
     told = distinct.join(near, "first", "left").where("c > 1 OR near IS NOT NULL").select("f1", "f2", F.least("first", "near").alias("kept"))
+    told = written(told, "op2-told")
+    drop_since(docs.sparkSession, before | {told.written_path})
     place = F.struct("doc_id", "th", "line_no")
     return hashed_lines(docs).drop(*(f"h{k}" for k in range(4))).join(told, ["f1", "f2"]).where(place > F.col("kept")).select("doc_id", "th", "line_no", "kept")
 
 
-def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", fuzzy_from: int = FUZZY_FROM) -> DataFrame:
     """docs with text less its repeated lines, n_lines and n_dropped; one row per row of docs."""
     rest = [c for c in others(docs, ["n_lines", "n_dropped"]) if c != text]
     keyed = docs.select(quoted("doc_id"), quoted(text).cast("string").alias("text")).withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    gone = repeated_lines(keyed).groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.collect_set("line_no").alias("__gone"))
+    gone = repeated_lines(keyed, fuzzy_from).groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.collect_set("line_no").alias("__gone"))
     rows = docs.select(*[quoted(c) for c in rest], quoted(text).cast("string").alias("__text")).withColumn("__th", F.coalesce(F.xxhash64("__text"), F.lit(0)))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
     lines = F.split("__text", "\n")
@@ -148,8 +157,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts less lines that repeat an earlier line of the corpus."""
-    return dedup_lines(docs).select(*[quoted(c) for c in docs.columns])
+    """All documents, their texts less lines that repeat an earlier line of the corpus; n_chars is counted again where a text changed."""
+    out = shown(dedup_lines(hidden(docs)).withColumn("__changed", F.col("n_dropped") > 0), docs, more=("__changed",))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop("__changed")
 
 
 SQL = r"""

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Filter, arrow_map, drop_since, passing, quoted, written, written_so_far
+from .common import Filter, arrow_map, drop_since, hidden, passing, quoted, shown, written, written_so_far
 from .components import components
 from .words import FACTORS as PLACES
 from .words import SPACED, gram_hashes, mix, steps, word_hashes, word_spans
@@ -336,7 +336,7 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are told apart by doc_id and text. A row without an id is a document of its own: in a
     group of nothing but such rows one stays, of the least text hash in the least class.
     """
-    rows = docs.withColumn("__text_hash", F.unhex(F.md5(F.col("text").cast("string"))))
+    rows = hidden(docs).withColumn("__text_hash", F.unhex(F.md5(F.col("text").cast("string"))))
     of = grouped(rows, percent=STAGE_PERCENT, more=("__text_hash",))
     gone = of.where("doc_id IS NOT NULL AND NOT kept").select("doc_id", "__text_hash").distinct()
     out = rows.where("doc_id IS NOT NULL").join(gone, ["doc_id", "__text_hash"], "left_anti")
@@ -345,7 +345,7 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     alone = filled.where("component_id IS NULL").groupBy("lead").agg(F.min(F.struct("node", "__text_hash")).alias("least"))
     one = bare.join(alone.select("least.__text_hash"), "__text_hash", "left_semi").dropDuplicates(["__text_hash"])
     blank = bare.join(filled.select("__text_hash").distinct(), "__text_hash", "left_anti")
-    return out.select(docs.columns).unionByName(one.select(docs.columns)).unionByName(blank.select(docs.columns))
+    return shown(out, docs).unionByName(shown(one, docs)).unionByName(shown(blank, docs))
 
 
 #: All pairs of texts that share a shingle, and all nodes that a node reaches: for tables of thousands of rows.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, least_hashes, others, quoted, written
+from .common import arrow_map, hidden, least_hashes, others, quoted, shown, written
 from .words import SPACED, gram_hashes, mix, row_counts, steps, word_hashes, word_spans
 
 #: Bound of the labelled rows that the learner reads.
@@ -219,4 +219,4 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no base rule and no learned rule rejects, with their own columns."""
     rules = learn_from(written(with_counts(docs, keep=["doc_id"]), "rules-counts"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged(with_counts(docs), rules).where("kept").select(*[quoted(c) for c in docs.columns])
+    return shown(judged(with_counts(hidden(docs)), rules).where("kept"), docs)

@@ -128,9 +128,10 @@ def brute_lines(rows):
     return order, out
 
 
-def test_op2_equals_brute_force(spark):
+@pytest.mark.parametrize("fuzzy_from", [20, 1])
+def test_op2_equals_brute_force(spark, fuzzy_from):
     rng = random.Random(5)
-    base = ["".join(rng.choices("abcdefgh äß日", k=rng.choice([5, 19, 20, 21, 40, 47, 48, 100, 300]))) for _ in range(40)]
+    base = ["".join(rng.choices("abcdefgh äß日", k=rng.choice([1, 2, 5, 7, 8, 9, 19, 20, 21, 40, 47, 48, 100, 300]))) for _ in range(40)]
     lines = []
     for s in base:
         lines.append(s)
@@ -145,13 +146,13 @@ def test_op2_equals_brute_force(spark):
     rows = [(k, "\n".join(lines[k * 5 : k * 5 + 5])) for k in range(len(lines) // 5 + 1)] + [(900, None), (901, ""), (None, "null id line"), (902, "null id line")]
     rows.append(rows[3])
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id bigint, text string, n_Lines int")
-    got = rowset(op2.dedup_lines(df), "doc_id", "text")
+    got = rowset(op2.dedup_lines(df, fuzzy_from=fuzzy_from), "doc_id", "text")
     order, _ = brute_lines(rows)
     order.sort(key=lambda x: (x[0], x[2]))
     gone = set()
     for i, (_, key, k, line) in enumerate(order):
         for _, _, _, other in order[:i]:
-            if line == other or (min(len(line), len(other)) >= op2.FUZZY_FROM and within_one(line, other)):
+            if line == other or (min(len(line), len(other)) >= fuzzy_from and within_one(line, other)):
                 gone.add((key, k))
                 break
     want = collections.Counter((i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if ((i, t), k) not in gone)) for i, t in rows)
@@ -295,6 +296,20 @@ def test_op5_tells_apart_structured_words(spark):
     assert got == {(1, 3): 1, (2, 0): 1}
 
 
+def test_op5_windows_of_common_words_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(op5, "MATCHES", 7)
+    rng = random.Random(20)
+    some = lambda n: " ".join(rng.choices("ab", k=n))
+    items = [(k, some(30)) for k in range(40)]
+    docs = [(k, some(200)) for k in range(9)] + [(9, items[3][1])]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r["doc_id"]: r["n_hit"] for r in op5.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
+    windows = {tuple(t.split()[k : k + 13]) for _, t in items for k in range(18)}
+    for i, t in docs:
+        w = t.split()
+        assert got[i] == len({x for k in range(len(w) - 12) if tuple(w[k : k + 13]) in windows for x in range(k, k + 13)})
+
+
 # --- 6 -------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
+from cadenza.llm import common
 from cadenza.llm import op2_line_dedup as op2
 from cadenza.llm import op5_decontamination as op5
 from cadenza.llm import op6_packing as op6
@@ -98,6 +99,28 @@ def test_near_dedup_with_repeated_and_null_ids(spark):
     assert collections.Counter(got) - collections.Counter(eighth) == collections.Counter(want)
 
 
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_columns_that_clash_with_computed_ones(spark, kept, stage):
+    names = ["n_words", "Rule", "kept", "n_lines", "n_dropped", "hits", "item_ids", "n_hit", "contaminated", "node", "lead", "n_shingles", "a.b", "base_failed", "component_id"]
+    docs = kept[stage].selectExpr("*", *(f"doc_id * 100 + {k} AS `{c}`" for k, c in enumerate(names)))
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, SF)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[c] == r["doc_id"] * 100 + k for r in rows for k, c in enumerate(names))
+    assert all(r["n_chars"] == len(r["text"]) for r in rows)
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in kept[stage + 1].collect())
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})()
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "_jsc": spark.sparkContext._jsc})()
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(RuntimeError):
+            common.shared_dir(Session())
+
+
 def test_decontamination(spark, kept):
     left = {r["doc_id"] for r in kept[4].collect()}
     told = {r["doc_id"]: r["contaminated"] for r in op5.contamination(kept[3], spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
