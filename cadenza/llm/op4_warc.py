@@ -1,15 +1,18 @@
 """WARC: archives of pages, read back into a capture index that is merged in global order.
 
 Writing: records are lines of a text table whose line end is the record end CRLF CRLF,
-so Spark writes the archives (gzip, `RECORDS` records a file) to any store it knows.
+so Spark writes the archives to any store it knows: of about FILE_BYTES by the mean record,
+RECORDS records a file at most. With gzip a file is one stream and an index offset is one
+of the unpacked file; with compression "none" it seeks in the file itself.
 Of equal payloads of at least LEAST bytes the one with the largest page_id is a
 response, the others are revisits that refer to it.
 
 Reading: each archive is parsed by its content lengths and gives a run of index rows,
-sorted by (URL key, timestamp, page_id). The runs are range-partitioned by that key,
-and each range merges its runs through a loser tree: ranges in order, and rows in order
-within them, make the capture histories of all URLs. A hot URL's captures are split by
-timestamp and page_id.
+sorted by (URL key, timestamp, page_id) and written. The runs are range-partitioned by that
+key into ranges of about RANGE_ROWS rows, however many runs there are, and each range merges
+its slices of runs through a loser tree: a slice stays in the Arrow batches that it came in,
+and the tree sees one row of each. Ranges in order, and rows in order within them, make the
+capture histories of all URLs. A hot URL's captures are split by timestamp and page_id.
 
 Null html is an empty payload; null urls have the key ''. Rows with a null page_id are
 responses. Rows of equal page_id and payload have the same type. An empty table gives
@@ -19,6 +22,7 @@ an empty archive. Line ends in urls are percent-encoded; other columns are not a
 from __future__ import annotations
 
 import gzip
+import re
 import uuid
 from collections.abc import Iterator
 from hashlib import sha1
@@ -31,12 +35,16 @@ from .common import ddl, quoted, shared_dir, written
 
 #: Payload bytes from which copies become revisits.
 LEAST = 1000
-#: Records of one archive file.
-RECORDS = 1000
+#: Records of one archive file at most, and about how many bytes they have.
+RECORDS, FILE_BYTES = 1000, 64 << 20
+#: Rows of the index that one task merges: 200 bytes each, some 50 MB.
+RANGE_ROWS = 250_000
 
 
 def record_id(page_id: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws(":", page_id.cast("string"), digest))
+    """Of page_id and payload; without a page_id, of url and time besides."""
+    bare = F.when(page_id.isNull(), F.concat_ws(":", F.lit("none"), "url", F.col("captured").cast("string")))
+    h = F.md5(F.concat_ws(":", page_id.cast("string"), bare, digest))
     return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
@@ -71,9 +79,12 @@ def records(pages: DataFrame, captured: Column) -> DataFrame:
     return p.select(F.concat(head, F.lit("\r\n\r\n"), http, F.when(again, "").otherwise(F.col("payload"))).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, captured: Column, per_file: int = RECORDS) -> None:
-    """Writes the pages' records as gzip WARC files under path."""
-    records(pages, captured).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+def write_archives(pages: DataFrame, path: str, captured: Column, per_file: int | None = None, compression: str = "gzip") -> None:
+    """Writes the pages' records as WARC files under path."""
+    if per_file is None:
+        mean = pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+        per_file = max(1, min(RECORDS, int(FILE_BYTES // (mean + 1000))))
+    records(pages, captured).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
@@ -90,10 +101,14 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
         at = stop + 4
 
 
+#: User, host (an address in brackets, or up to a port), and the path and query without a fragment.
+URL = re.compile(r"(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^:/?#]*)[^/?#]*([^#]*)", re.S)
+
+
 def url_key(url: str) -> str:
-    """The host's labels reversed, then the path and query: related pages sort together."""
-    host, slash, path = url.partition("://")[2].partition("/")
-    return ",".join(reversed(host.lower().split(":")[0].split("."))) + ")" + slash + path if host else url
+    """The host's labels reversed, then the path and query: related pages sort together. Without a host, the url."""
+    host, rest = URL.match(url.partition("://")[2]).groups()
+    return ",".join(reversed(host.lower().split("."))) + ")" + ("" if rest.startswith("/") else "/") + rest if host else url
 
 
 INDEX = "url_key string, captured string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, file string, offset bigint, run string"
@@ -107,7 +122,8 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows = []
-                for head, block, offset in parse(gzip.decompress(content.as_py())):
+                raw = content.as_py()
+                for head, block, offset in parse(gzip.decompress(raw) if name.endswith(".gz") else raw):
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
                     again = head["WARC-Type"] == "revisit"
                     page, to = (int(head[x]) if x in head else None for x in ("X-Page-ID", "X-Refers-To-Page-ID"))
@@ -169,16 +185,21 @@ def merged(runs: DataFrame) -> DataFrame:
     """The runs' rows in global order: partitions by range, each merged from its pieces of runs."""
     schema = ddl(INDEX)
 
+    def rows_of(slices: list[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in slices:
+            for lo in range(0, b.num_rows, 64):  # few rows at a time leave Arrow
+                yield from zip(*(c.to_pylist() for c in b.slice(lo, 64).columns), strict=True)
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[str, list[list[tuple]]] = {}
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                mine = pieces.setdefault(row[9], [])
-                if not mine or order(row) < order(mine[-1][-1]):  # a run that came in pieces
-                    mine.append([])
-                mine[-1].append(row)
+        pieces: dict[str, list[pa.RecordBatch]] = {}
+        for b in batches:  # each run's rows are in order and together
+            names = b.column(9)
+            turn = [0, *(i for i in range(1, b.num_rows) if names[i] != names[i - 1]), b.num_rows]
+            for lo, hi in zip(turn, turn[1:], strict=False):
+                if hi > lo:
+                    pieces.setdefault(names[lo].as_py(), []).append(b.slice(lo, hi - lo))
         out = []
-        for row in LoserTree([iter(p) for mine in pieces.values() for p in mine]):
+        for row in LoserTree([rows_of(p) for p in pieces.values()]):
             out.append(row)
             if len(out) == 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), ARROW, strict=True)], names=schema.names)
@@ -186,8 +207,9 @@ def merged(runs: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), ARROW, strict=True)], names=schema.names)
 
-    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartitionByRange(n, "url_key", "captured", F.col("page_id").asc_nulls_first(), "file", "offset").mapInArrow(merge, schema)
+    n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
+    place = ["url_key", "captured", F.col("page_id").asc_nulls_first(), "file", "offset"]
+    return runs.repartitionByRange(n, *place).sortWithinPartitions("run", *place).mapInArrow(merge, schema)
 
 
 def capture_histories(pages: DataFrame, captured: Column, path: str | None = None) -> DataFrame:
@@ -207,11 +229,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url FROM pages),
-q AS (SELECT *, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, strlen(payload) >= 1000 AND page_id IS NOT NULL AS large FROM p),
+o AS (SELECT *, regexp_replace(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^[^/?#]*@', '') AS rest, strlen(payload) >= 1000 AND page_id IS NOT NULL AS large FROM p),
+q AS (SELECT *, regexp_extract(rest, '^(\[[^\]/?#]*\]|[^:/?#]*)', 1) AS host, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS path FROM o),
 r AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS last FROM q)
 SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest, CASE WHEN large AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN large AND page_id < last THEN last END AS refers_to,
-  CASE WHEN split_part(rest, '/', 1) = '' THEN url ELSE array_to_string(list_reverse(string_split(split_part(lower(split_part(rest, '/', 1)), ':', 1), '.')), ',') || ')' || CASE WHEN contains(rest, '/') THEN substr(rest, strpos(rest, '/')) ELSE '' END END AS url_key,
+  CASE WHEN host = '' THEN url ELSE array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || CASE WHEN path LIKE '/%' THEN path ELSE '/' || path END END AS url_key,
   strftime(make_timestamp((1600000000 + coalesce(page_id, 0)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
 FROM r
 """

@@ -248,6 +248,31 @@ def test_op4_round_trip(spark, tmp_path):
     assert op4.capture_histories(df.limit(0), at).count() == 0
 
 
+def test_op4_url_keys():
+    assert {u: op4.url_key(u) for u in ("http://A.com?x=1", "https://u:p@b.a.com:80/x/y?q#f", "http://a.com", "http://a.com/#top", "x://[::1]:8/z", "plain", "")} == {
+        "http://A.com?x=1": "com,a)/?x=1", "https://u:p@b.a.com:80/x/y?q#f": "com,a,b)/x/y?q", "http://a.com": "com,a)/", "http://a.com/#top": "com,a)/", "x://[::1]:8/z": "[::1])/z", "plain": "plain", "": "",
+    }
+
+
+def test_op4_unpacked_archives_seek_by_offset_and_hot_urls_are_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op4, "RANGE_ROWS", 40)
+    rows = [(k, "http://hot.org/", "long " * (k % 50) + "ü" * 3_000_000 * (k == 7)) for k in range(300)] + [(None, "http://a/", "same"), (None, "http://b/", "same")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    op4.write_archives(pages, str(tmp_path / "w"), F.timestamp_seconds(F.coalesce("page_id", F.lit(0))), compression="none")
+    index = op4.merged(op4.read_runs(spark, str(tmp_path / "w")))
+    sizes = [r["n"] for r in index.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    out = index.collect()
+    assert len(out) == 302 and max(sizes) < 150
+    ids = set()
+    for r in out:
+        with open(r["file"].removeprefix("file:"), "rb") as f:
+            f.seek(r["offset"])
+            head, block, _ = next(op4.parse(f.read(13_000_000)))
+        assert head.get("X-Page-ID") == (None if r["page_id"] is None else str(r["page_id"]))
+        ids.add(head["WARC-Record-ID"])
+    assert len(ids) == 302
+
+
 def test_op4_loser_tree():
     rng = random.Random(4)
     for k in (0, 1, 2, 3, 7, 16):
