@@ -21,6 +21,7 @@ from cadenza.llm import op8_quality_rules as op8
 from cadenza.llm import op9_url_filters as op9
 from cadenza.llm import op10_repeats as op10
 from cadenza.llm.components import components
+from cadenza.llm.licence_texts import IDENTIFIERS, TEMPLATES
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -198,25 +199,139 @@ def test_op3_own_and_inherited(spark):
 
 
 def test_op3_scores_equal_brute_force(spark, docs, texts):
-    rows = [t for _, t in texts]
+    """All windows of all lines against all templates, word by word."""
     split = lambda s: ALNUM.findall((s or "").translate(LOWER))
+    rng = random.Random(21)
+    rows = [t for _, t in texts]
+    for k, (_, t, _) in enumerate(TEMPLATES):
+        w = t.split()
+        for _ in range(k % 7):
+            w[rng.randrange(len(w))] = rng.choice(["other", "words", "the", "of"])
+        wrap = rng.randint(3, 12)
+        rows.append("\n".join(["first some text", *(" ".join(w[i : i + wrap]) for i in range(0, len(w), wrap)), "* ", "then more of it"]))
     n, df = len(rows), collections.Counter(w for t in rows for w in set(split(t)))
-    known = {w for _, t in op3.NOTICES for w in split(t)}
+    known = {w for _, t, _ in TEMPLATES for w in split(t)}
     rare = {w: np.log((1 + n) / (1 + df[w])) + 1 for w in known}
+    vectors = []
+    for name, t, least in TEMPLATES:
+        v = {w: x * rare[w] for w, x in collections.Counter(split(t)).items()}
+        vectors.append((name, max(least or 0, op3.ALIKE), {w: x / sum(y * y for y in v.values()) ** 0.5 for w, x in v.items()}, len(split(t)) ** 0.5))
 
     def best(text):
-        top = 0.0
-        for line in (text or "").split("\n"):
-            c = collections.Counter(split(line))
-            size = sum((x * rare[w]) ** 2 if w in known else x for w, x in c.items()) ** 0.5
-            for _, t in op3.NOTICES:
-                v = {w: x * rare[w] for w, x in collections.Counter(split(t)).items()}
-                dot = sum(v.get(w, 0) * x * rare.get(w, 0) for w, x in c.items())
-                top = max(top, dot / max(size * sum(x * x for x in v.values()) ** 0.5, 1e-9))
-        return round(top, 6)
-
-    got = collections.Counter((r["doc_id"], round(r["own_score"], 6)) for r in op3.own_licences(docs, ["doc_id"]).collect())
-    assert got == collections.Counter((i, best(t)) for i, t in texts)
+        lines = [w for w in map(split, (text or "").split("\n")) if w]
+        top, found = 0.0, (None, None)
+        for size in sorted({*(s for s in op3.SIZES if s < len(lines)), len(lines)}):
+            for a in range(len(lines) - size + 1) if lines else ():
+                c = collections.Counter(w for x in lines[a : a + size] for w in x)
+                norm = sum((x * rare[w]) ** 2 if w in known else x for w, x in c.items()) ** 0.5
+                for name, least, v, root in vectors:
+                    cos = round(sum(v[w] * x * rare[w] for w, x in c.items() if w in v) / norm, 9)
+                    if cos >= least and cos**4 * root > top + 1e-9:
+                        top, found = cos**4 * root, (name, round(cos, 6))
+        return found
+
+    files = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string").repartition(3)
+    got = {r["doc_id"]: (r["own_licence"], r["own_score"] and round(r["own_score"], 6)) for r in op3.own_licences(files, ["doc_id"]).collect()}
+    assert got == {k: best(t) for k, t in enumerate(rows)}
+    assert len({x for x, _ in got.values()}) > 0.8 * len(IDENTIFIERS)
+
+
+HEADS = {
+    "Apache-2.0": """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.""",
+    "GPL-2.0": """/* This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ */
+int main(void) { return 0; }""",
+    "GPL-3.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.""",
+    "LGPL-3.0": """                   GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.""",
+    "BSD-3-Clause": """# Copyright (c) 2011, Some Body
+# All rights reserved.
+#
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:
+# 1. Redistributions of source code must retain the above copyright
+#    notice, this list of conditions and the following disclaimer.
+# 2. Redistributions in binary form must reproduce the above copyright
+#    notice, this list of conditions and the following disclaimer in the
+#    documentation and/or other materials provided with the distribution.
+# 3. Neither the name of the University nor the names of its contributors
+#    may be used to endorse or promote products derived from this software
+#    without specific prior written permission.""",
+    "BSD-2-Clause": """Copyright 2020 Some Body
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.""",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n",
+    "MIT": """MIT License
+
+Copyright (c) 2022 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "ISC": """// Permission to use, copy, modify, and/or distribute this software for
+// any purpose with or without fee is hereby granted, provided that the
+// above copyright notice and this permission notice appear in all copies.""",
+    "CC-BY-SA-4.0": "# SPDX-License-Identifier: CC-BY-SA-4.0\nx = 1",
+    None: "# SPDX-License-Identifier: Unheard-Of\nthe rest of a text about the license of this software and its version",
+}
+
+
+def test_op3_knows_usual_heads_and_headers(spark):
+    rng = random.Random(22)
+    filler = [(f"f{k}", " ".join(words(rng, 60)) + " the of and to a is in this it for free use with may not") for k in range(40)]
+    files = spark.createDataFrame([*((str(k), v) for k, v in HEADS.items()), *filler], "name string, text string")
+    got = {r["name"]: r["own_licence"] for r in op3.own_licences(files, ["name"]).collect()}
+    assert {k: v for k, v in got.items() if v} == {k: k for k in HEADS if k}
+
+
+def test_op3_two_licence_files_in_a_directory(spark):
+    mit, isc = "Released under the MIT License.", "Released under the ISC License."
+    rows = [("a/LICENSE", mit + " And more."), ("a/COPYING", isc), ("a/x", "text"), ("b/LICENSE", mit), ("b/LICENSE.txt", isc), ("b/x", "text"), ("b/c/x", "text"), ("b/x", "text")]
+    got = collections.Counter((r["path"], r["licence"], r["licence_from"]) for r in op3.scan_licences(spark.createDataFrame(rows, "path string, text string")).collect() if r["path"].endswith("x"))
+    # the better score, then the first name; repeated rows stay
+    assert got == {("a/x", "ISC", "a"): 1, ("b/x", "ISC", "b"): 2, ("b/c/x", "ISC", "b"): 1}
 
 
 # --- 4 -------------------------------------------------------------------------
