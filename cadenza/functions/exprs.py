@@ -201,3 +201,40 @@ def canonical_type(name: Column) -> Column:
     known = {"serial": "integer", "int": "integer", "int4": "integer", "int8": "bigint", "bool": "boolean", "varchar": "character varying", "timestamptz": "timestamp with time zone", "timestamp": "timestamp without time zone", "decimal": "numeric"}
     full = F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), word)
     return F.concat(F.coalesce(full, word), size)
+
+
+def clamped_limit(asked: int | None, usual: int = 200, most: int = 500) -> int:
+    """O-11: the number of rows for a request: none, or 0, asks for the usual number."""
+    return min(max(asked or usual, 1), most)
+
+
+def currency(x: Column) -> Column:
+    """X-17: dollars without cents, halves away from zero; a dash for null and for what is no number."""
+    whole = F.round(x.cast("double"))
+    shown = F.concat(F.when(whole < 0, "-").otherwise(""), F.lit("$"), F.format_number(F.abs(whole), 0))
+    return F.when(x.isNull() | F.isnan(x.cast("double")), "—").otherwise(shown)
+
+
+def compact_currency(x: Column) -> Column:
+    """X-17: dollars in thousands, millions, billions or trillions with one digit, which is left out if 0; what rounds up to the next unit takes it."""
+    size = F.abs(x.cast("double"))
+    text = F.format_string("%.1f", size)
+    for unit, name in ((1e3, "K"), (1e6, "M"), (1e9, "B"), (1e12, "T")):
+        text = F.when(size >= unit * (1 - (5e-5 if unit > 1e3 else 5e-5)), F.concat(F.regexp_replace(F.format_number(F.round(size / unit, 1), 1), r"\.0$", ""), F.lit(name))).otherwise(text)
+    text = F.when(size < 1e3 * (1 - 5e-5), F.regexp_replace(F.format_number(F.round(size, 1), 1), r"\.0$", "")).otherwise(text)
+    return F.when(x.isNull() | F.isnan(x.cast("double")), "—").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), F.lit("$"), text))
+
+
+def freshness(synced: Column, now: Column) -> Column:
+    """X-27: how long ago, in the largest whole unit of minutes, hours, days or months of thirty days."""
+    minutes = F.floor((F.unix_seconds(now) - F.unix_seconds(synced)) / 60)
+    n = F.when(minutes < 60, minutes).when(minutes < 1440, F.floor(minutes / 60)).when(minutes < 43200, F.floor(minutes / 1440)).otherwise(F.floor(minutes / 43200))
+    unit = F.when(minutes < 60, "minute").when(minutes < 1440, "hour").when(minutes < 43200, "day").otherwise("month")
+    shown = F.when(minutes < 1, "synced less than a minute ago").otherwise(F.concat(F.lit("synced "), n.cast("string"), F.lit(" "), unit, F.when(n == 1, "").otherwise("s"), F.lit(" ago")))
+    return F.when(synced.isNull(), "never synced").otherwise(shown)
+
+
+def spark_heights(values: Column, target: Column) -> Column:
+    """X-28: each value's share of the greatest of the values, the target and 1."""
+    top = F.greatest(F.array_max(values), target, F.lit(1)).cast("double")
+    return F.transform(values, lambda v: v / top)

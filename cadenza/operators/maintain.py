@@ -6,6 +6,8 @@ the caller writes it beside the old one and swaps the names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +37,13 @@ def set_null(children: DataFrame, parents_gone: DataFrame, key: str) -> DataFram
     return out.withColumn(key, F.when(F.col("__gone"), None).otherwise(F.col(key))).select(*children.columns)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """K-10: rows of new replace those of their key; its nulls keep the old values."""
-    rest = [c for c in old.columns if c not in keys]
-    joined = old.join(new.select(*keys, *(F.col(c).alias(f"__{c}") for c in rest)), keys, "full_outer")
-    return joined.select(*keys, *(F.coalesce(f"__{c}", c).alias(c) for c in rest)).select(*old.columns)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], nulls: tuple[str, ...] = ()) -> DataFrame:
+    """K-10: rows of new replace those of their key. Its nulls keep the old values, but replace them in the columns named by
+    nulls; columns that new lacks stay."""
+    given = [c for c in old.columns if c not in keys and c in new.columns]
+    joined = old.join(new.select(*keys, *(F.col(c).alias(f"__{c}") for c in given), F.lit(True).alias("__new")), keys, "full_outer")
+    value = lambda c: F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c)) if c in nulls else F.coalesce(f"__{c}", c)
+    return joined.select(*(value(c).alias(c) if c in given else F.col(c) for c in old.columns))
 
 
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,6 +75,62 @@ def merge_references(df: DataFrame, columns: list[str], source, target) -> DataF
     return df.withColumns({c: F.when(F.col(c) == source, F.lit(target)).otherwise(F.col(c)) for c in columns})
 
 
+def merge_users(users: DataFrame, source, target, referring: dict[str, tuple[DataFrame, list[str]]], keyed: dict[str, tuple[DataFrame, str, list[str]]], inherited: list[str]) -> dict[str, DataFrame]:
+    """M-1: one user's records become another's. users: user_id, is_active and the inherited columns (address, login, picture).
+
+    keyed tables (user column, rest of the key) come first: the target's row of a key stays, the source's goes. In referring
+    tables the source's references move. The source is retired, without login; the target takes what it lacks and is active.
+    The result has "users", every other table by name, and "moved": rows that moved by table and column, none for none.
+    """
+    found = users.where(F.col("user_id").isin(source, target)).select("user_id").distinct().count()
+    if found < 2 or source == target:
+        raise ValueError("Both accounts must exist to merge")
+    out = {name: merge_keyed(df, user, keys, source, target) for name, (df, user, keys) in keyed.items()}
+    out |= {name: merge_references(df, columns, source, target) for name, (df, columns) in referring.items()}
+    moved = [moved_counts(df, columns, source).withColumn("column_name", F.concat(F.lit(f"{name}."), "column_name")) for name, (df, columns) in referring.items()]
+    moved += [moved_counts(df.where(F.col(user) == source).join(df.where(F.col(user) == target).select(*keys), keys, "left_anti"), [user], source).withColumn("column_name", F.lit(f"{name}.{user}")) for name, (df, user, keys) in keyed.items()]
+    one = users.where(F.col("user_id") == source).agg(*(F.first(c).alias(f"__{c}") for c in inherited))
+    is_source, is_target = F.col("user_id") == source, F.col("user_id") == target
+    new = {c: F.when(is_source, None).when(is_target, F.coalesce(F.nullif(F.col(c), F.lit("")), f"__{c}")).otherwise(F.col(c)) for c in inherited}
+    merged = users.crossJoin(one).withColumns(new | {"is_active": F.when(is_source, False).when(is_target, True).otherwise(F.col("is_active"))})
+    return out | {"users": merged.select(*users.columns), "moved": reduce(DataFrame.unionByName, moved)}
+
+
+def propagate(tasks: DataFrame, of: Column, **new: Column) -> DataFrame:
+    """M-3: a parent's new values reach its children that are not complete."""
+    return update(tasks, of & (F.col("status") != "Complete"), **new)
+
+
+def raise_escalations(tasks: DataFrame, cond: Column, target, raiser, notes: str | None, now: Column) -> DataFrame:
+    """M-4: blocked, in the name of the one who raises, until the target resolves; the assignee stays on record."""
+    none = F.lit(None).cast("timestamp")
+    return update(tasks.withColumns({"block_notes": F.lit(None).cast("string"), "escalated_by_id": F.lit(None).cast("bigint"), "original_assignee_id": F.lit(None).cast("bigint")}), cond,
+        status=F.lit("Blocked"), escalated_to_id=F.lit(target).cast("bigint"), blocked_by_id=F.lit(target).cast("bigint"), escalated_by_id=F.lit(raiser).cast("bigint"),
+        original_assignee_id=F.col("assignee_id"), escalated_at=now, escalation_resolved_at=none, block_notes=F.lit(notes))
+
+
+def kpi_upsert(entries: DataFrame, asked: DataFrame, overrides: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M-6: (verdicts, entries afterwards, audit rows) of asked counts, one for each metric, user and week.
+
+    entries: metric, user_id, period_start, count, note. asked: those, actor_id and actor_role. A member writes own counts
+    only; locked weeks need an override, a vp or an admin; a count that grows needs a note; an old note stays where none comes.
+    """
+    keys = ["metric", "user_id", "period_start"]
+    note = F.nullif(F.trim("note"), F.lit(""))
+    old = entries.select(*keys, F.col("count").alias("old_count"), F.col("note").alias("old_note"))
+    met = week_editable(asked.withColumn("note", note), overrides, now).join(old, keys, "left").withColumn("old_count", F.coalesce("old_count", F.lit(0)))
+    verdict = (
+        F.when((F.col("actor_role") == "member") & (F.col("actor_id") != F.col("user_id")), "own only")
+        .when(~F.col("editable") & ~F.col("actor_role").isin("vp", "admin"), "locked")
+        .when((F.col("count") > F.col("old_count")) & F.col("note").isNull(), "evidence").otherwise("written")
+    )
+    met = met.withColumn("verdict", verdict)
+    written = met.where("verdict = 'written'")
+    after = upsert(entries, written.select(*keys, "count", "note"), keys)
+    audit = written.where("old_count <> count OR note IS NOT NULL").select(*keys, "old_count", F.col("count").alias("new_count"), "note", F.col("actor_id").alias("changed_by_id"))
+    return met, after, audit
+
+
 def moved_counts(df: DataFrame, columns: list[str], source) -> DataFrame:
     """A-31: how many references each column would move; columns with none are left out."""
     one = df.agg(*(F.count_if(F.col(c) == source).alias(c) for c in columns))
@@ -87,7 +147,7 @@ def merge_keyed(df: DataFrame, user: str, keys: list[str], source, target) -> Da
 def bulk_assign(members: DataFrame, links: DataFrame, description: str, due: Column) -> tuple[DataFrame, DataFrame]:
     """M-2: a task per member, and every link on every task (SO-4: links are those of one request)."""
     tasks = members.select("user_id").distinct().withColumns({"description": F.lit(description), "status": F.lit("Not Started"), "due_date": due})
-    return tasks, tasks.select("user_id").crossJoin(F.broadcast(links))
+    return tasks, tasks.select("user_id").crossJoin(links)
 
 
 def gate_completion(tasks: DataFrame, asked: Column, may_approve: bool, now: Column) -> DataFrame:
@@ -131,7 +191,7 @@ def drift(expected: DataFrame, live: DataFrame) -> DataFrame:
 def week_editable(periods: DataFrame, overrides: DataFrame, now: Column) -> DataFrame:
     """X-6, X-7: locked, and editable because it isn't or an override row exists."""
     open_ = overrides.select("period_start").distinct().withColumn("__o", F.lit(True))
-    out = periods.join(F.broadcast(open_), "period_start", "left").withColumn("locked", X.week_locked(F.col("period_start"), now))
+    out = periods.join(open_, "period_start", "left").withColumn("locked", X.week_locked(F.col("period_start"), now))
     return out.withColumn("editable", ~F.col("locked") | F.col("__o").isNotNull()).drop("__o")
 
 

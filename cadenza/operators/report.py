@@ -77,6 +77,13 @@ def as_number(df: DataFrame, name: str | None) -> Column:
     return F.lit(0.0)
 
 
+def total_of(df: DataFrame, name: str | None) -> Column:
+    """Sum of a field: exact for decimals, whose sum doesn't depend on the order of rows; of doubles for all else."""
+    if name in df.columns and isinstance(kind := df.schema[name].dataType, T.DecimalType):
+        return F.coalesce(F.sum(F.col(name).cast(T.DecimalType(38, kind.scale))).cast("double"), F.lit(0.0))
+    return F.sum(as_number(df, name))
+
+
 def number_of(value: object) -> float:
     """The same reading of a literal."""
     import math
@@ -144,7 +151,7 @@ def run_report(tables: dict[str, DataFrame], spec: Spec) -> DataFrame:
     dims = [(F.col(d).cast("string") if not isinstance(df.schema[d].dataType, NUMBERS) else F.col(d)).alias(d) if d in df.columns else F.lit(None).cast("string").alias(d) for d in spec.dimensions]
     found: dict[str, Column] = {}
     for i, m in enumerate(spec.metrics):
-        total = F.sum(as_number(df, m.field).cast("decimal(28,6)")).cast("double")
+        total = total_of(df, m.field)
         found[metric_key(m, i)[0]] = {"count": F.count(F.lit(1)).cast("double"), "sum": total, "avg": total / F.count(F.lit(1))}[m.agg]
     # a metric whose key is a dimension's name, written later, wins; inside, metrics have names of their own
     inner = {k: f"__m{i}" for i, k in enumerate(found)}

@@ -25,6 +25,10 @@ def rollup(s, d) -> DataFrame:
     return A.project_rollup(E.projects(s, d), E.tasks(s, d), E.as_of())
 
 
+def rollup_with_area(s, d) -> DataFrame:
+    return A.project_rollup(E.projects_with_area(s, d), E.tasks(s, d), E.as_of())
+
+
 def day(c):
     return F.col(c).cast("string").alias(c)
 
@@ -142,13 +146,13 @@ def f_16_completed_30d(s, d):
 @query
 def f_17_applies_breakdown(s, d):
     m, u = E.metrics(s, d), E.metric_users(s, d)
-    return u.join(F.broadcast(m), X.applies_to(F.col("applies_to"), F.col("role"))).groupBy("metric").agg(F.count(F.lit(1)).alias("users"))
+    return u.join(m, X.applies_to(F.col("applies_to"), F.col("role"))).groupBy("metric").agg(F.count(F.lit(1)).alias("users"))
 
 
 @query
 def f_18_applies_this_week(s, d):
     m, u = E.metrics(s, d), E.metric_users(s, d)
-    return u.join(F.broadcast(m), X.applies_this_week(F.col("applies_to"), F.col("role"))).groupBy("metric").agg(F.count(F.lit(1)).alias("users"))
+    return u.join(m, X.applies_this_week(F.col("applies_to"), F.col("role"))).groupBy("metric").agg(F.count(F.lit(1)).alias("users"))
 
 
 @query
@@ -179,7 +183,7 @@ def p_1_wide_task(s, d):
     t = E.tasks(s, d)
     for role in ("assignee", "blocked_by", "escalated_to"):
         t = t.join(E.users(s, d).select(F.col("user_id").alias(f"{role}_id"), F.col("user_name").alias(f"{role}_name")), f"{role}_id", "left")
-    t = t.join(E.projects(s, d).select("project_id", "code", "area_id"), "project_id", "left")
+    t = t.join(E.projects_with_area(s, d).select("project_id", "code", "area_id"), "project_id", "left")
     status, due = F.col("status"), F.col("due_date")
     blocking = F.coalesce((F.col("blocked_by_id") == 5) & (status == "Blocked"), F.lit(False))
     return t.select(
@@ -194,7 +198,7 @@ def p_1_wide_task(s, d):
 
 @query
 def j_1_projects_areas(s, d):
-    return E.projects(s, d).join(F.broadcast(E.focus_areas(s, d)), "area_id", "left").groupBy("area_id", "area_name").agg(F.count(F.lit(1)).alias("n"))
+    return E.projects_with_area(s, d).join(F.broadcast(E.focus_areas(s, d)), "area_id", "left").groupBy("area_id", "area_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -214,7 +218,7 @@ def j_8_nested_tasks(s, d):
 def spine(s, d) -> DataFrame:
     """J-12, J-13: metric, user, and the six Mondays up to the current one."""
     m, u = E.metrics(s, d), E.metric_users(s, d)
-    base = u.join(F.broadcast(m), X.applies_to(F.col("applies_to"), F.col("role")))
+    base = u.join(m, X.applies_to(F.col("applies_to"), F.col("role")))
     return base.withColumn("period_start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.date_sub(X.monday(E.kpi_now()), k * 7))))
 
 
@@ -231,7 +235,7 @@ def j_14_filled_spine(s, d):
 
 @query
 def j_16_semi_projects(s, d):
-    areas = E.projects(s, d).where("area_id = 2")
+    areas = E.projects_with_area(s, d).where("area_id = 2")
     return E.tasks(s, d).join(areas, "project_id", "left_semi").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -306,7 +310,7 @@ def a_7_portfolio(s, d):
 
 @query
 def a_8_area_rollup(s, d):
-    return A.area_rollup(E.focus_areas(s, d), rollup(s, d)).select("area_id", "area_name", "project_count", "task_count", "percent_complete", "has_overdue")
+    return A.area_rollup(E.focus_areas(s, d), rollup_with_area(s, d)).select("area_id", "area_name", "project_count", "task_count", "percent_complete", "has_overdue")
 
 
 @query
@@ -321,17 +325,17 @@ def a_10_cover(s, d):
 
 @query
 def a_11_initiatives(s, d):
-    return A.initiatives(E.focus_areas(s, d), rollup(s, d), E.targets(s, d))
+    return A.initiatives(E.focus_areas(s, d), rollup_with_area(s, d), E.targets(s, d))
 
 
 @query
 def a_12_common_owner(s, d):
-    return A.top_owner(rollup(s, d))
+    return A.top_owner(rollup_with_area(s, d))
 
 
 @query
 def a_15_snapshot(s, d):
-    return A.snapshot(E.focus_areas(s, d), E.projects(s, d), E.tasks(s, d), E.now())
+    return A.snapshot(E.focus_areas(s, d), E.projects_with_area(s, d), E.tasks(s, d), E.now())
 
 
 @query
@@ -341,7 +345,7 @@ def a_17_parent_rollup(s, d):
 
 @query
 def a_18_pipeline(s, d):
-    return A.pipeline_by_stage(E.opportunities(s, d).where("stage_canonical <> 'Discovery'"))
+    return A.pipeline_by_stage(E.opportunities(s, d))
 
 
 @query
@@ -466,15 +470,13 @@ def rs_6_no_rows(s, d):
 
 @query
 def o_5_natural_order(s, d):
-    """The place of each of 200 codes in natural order."""
-    codes = E.projects(s, d).where("project_id <= 200").select("code")
-    return codes.withColumn("place", F.row_number().over(Window.orderBy(X.natural_key(F.col("code")))))
+    """All codes in natural order, in a global sort."""
+    return E.projects(s, d).select("code", X.natural_key(F.col("code")).alias("natural_key")).orderBy("natural_key", "code")
 
 
 @query
 def o_11_clamped_limit(s, d):
-    n = min(max(0 or 200, 1), 500)
-    return E.events(s, d).orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(n).select("event_id")
+    return E.events(s, d).orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(X.clamped_limit(None)).select("event_id")
 
 
 @query
@@ -582,7 +584,7 @@ def v_9_kpi_sparkline(s, d):
 def v_15_drill_down(s, d):
     """Outline rows: areas (0), projects (1), tasks (2) with their counts."""
     areas = E.focus_areas(s, d).select(F.lit(0).alias("level"), F.col("area_name").alias("label"))
-    projects = E.projects(s, d).where("area_id IS NOT NULL").select(F.lit(1).alias("level"), F.col("code").alias("label"))
+    projects = E.projects_with_area(s, d).where("area_id IS NOT NULL").select(F.lit(1).alias("level"), F.col("code").alias("label"))
     tasks = E.tasks(s, d).select(F.lit(2).alias("level"), F.concat_ws("/", F.col("project_id").cast("string"), F.col("line_no").cast("string")).alias("label"))
     return areas.unionByName(projects).unionByName(tasks).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("first_label"))
 
@@ -611,7 +613,7 @@ def k_7_conditional_update(s, d):
 
 @query
 def k_9_cascade(s, d):
-    gone = E.projects(s, d).where("area_id = 1")
+    gone = E.projects_with_area(s, d).where("area_id = 1")
     return M.cascade(E.tasks(s, d), gone, "project_id").groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -120,7 +120,7 @@ BODIES = {
     "a_15_snapshot": f"""SELECT area_name, count(DISTINCT p.project_id) AS projects, count(t.line_no) AS tasks, count(*) FILTER (status = 'Complete') AS complete, count(*) FILTER (status <> 'Complete' AND CAST(due_date AS TIMESTAMP) < {NOW}) AS overdue,
       CASE WHEN count(t.line_no) = 0 THEN 0 ELSE CAST(floor(sum(percent_complete) / count(t.line_no) + 0.5) AS BIGINT) END AS percent_complete FROM areas a LEFT JOIN projects p ON a.area_id = p.area_id LEFT JOIN tasks t ON t.project_id = p.project_id GROUP BY 1""",
     "a_17_parent_rollup": f"SELECT project_id AS parent_id, CAST(floor(avg(percent_complete) + 0.5) AS BIGINT) AS percent_complete, CASE WHEN bool_and(status = 'Complete') THEN 'Complete' WHEN bool_or(status = 'Blocked') THEN 'Blocked' WHEN bool_or(status IN {ACTIVE}) THEN 'In Progress' ELSE 'Not Started' END AS status FROM tasks GROUP BY 1",
-    "a_18_pipeline": f"SELECT position, stage, {usd('amount')} AS value, count(id) AS n FROM stage LEFT JOIN opps ON stage = stage_canonical AND stage <> 'Discovery' GROUP BY 1, 2",
+    "a_18_pipeline": f"SELECT position, stage, {usd('amount')} AS value, count(id) AS n FROM stage LEFT JOIN opps ON stage = stage_canonical GROUP BY 1, 2",
     "a_19_pipeline_totals": "SELECT CAST(sum(amount) AS DOUBLE) AS total_value, CAST(sum(amount) FILTER (stage_canonical NOT IN ('Closed Won', 'Closed Lost')) AS DOUBLE) AS open_value, count(*) AS total_count FROM opps",
     "a_20_marketing": f"SELECT CAST(sum(sends) AS BIGINT) AS sends, CAST(sum(opens) AS BIGINT) AS opens, CAST(sum(clicks) AS BIGINT) AS clicks, {usd('influenced_pipeline')} AS influenced, {share('sum(opens)', 'sum(sends)')} AS open_rate, {share('sum(clicks)', 'sum(sends)')} AS click_rate FROM camps",
     "a_21_campaign_rates": f"SELECT id, {share('opens', 'sends')} AS open_rate, {share('clicks', 'sends')} AS click_rate FROM camps",
@@ -142,7 +142,7 @@ BODIES = {
     "rs_2_order_filters": f"SELECT stage_canonical, {usd('amount')} / count(*) AS mean, CAST(count(*) AS DOUBLE) AS n FROM opps WHERE coalesce(amount, 0) < 200000 AND year(close_date) >= 1997 GROUP BY 1",
     "rs_6_no_dimensions": "SELECT CAST(sum(clicks) AS DOUBLE) AS sum_clicks_0 FROM camps",
     "rs_6_no_rows": "SELECT CAST(count(*) AS DOUBLE) AS count FROM camps WHERE false GROUP BY channel",
-    "o_5_natural_order": "SELECT code, row_number() OVER (ORDER BY project_id % 7, project_id) AS place FROM projects WHERE project_id <= 200",
+    "o_5_natural_order": "SELECT code, 'P' || lpad(CAST(project_id % 7 + 1 AS VARCHAR), 20, '0') || '-' || lpad(CAST(project_id AS VARCHAR), 20, '0') AS natural_key FROM projects",
     "o_11_clamped_limit": "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 200",
     "o_12_page": "SELECT id, source_system FROM opps ORDER BY source_system = 'hubspot', id LIMIT 25 OFFSET 50",
     "o_12_page_totals": "SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 25) AS BIGINT)) AS pages FROM opps",

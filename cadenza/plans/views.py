@@ -17,7 +17,7 @@ from ..operators import report as R
 from ..operators import rollups as A
 from ..sources import entities as E
 from ..sources import sinks as K
-from .catalog import current, day, filled, one_line, rollup, spine, tables
+from .catalog import current, day, filled, one_line, rollup, rollup_with_area, spine, tables
 from .oracle import ASOF, BASE, KPI, LINE, NOW, ROLE, SRC, share, usd
 
 QUERIES: dict[str, object] = {}
@@ -74,12 +74,11 @@ def s_14_catalog_scan(s, d):
     return s.createDataFrame(found, "table_name string, position int, column_name string, type string")
 
 
-@query("SELECT 'definition ' || o_orderkey AS name, o_orderkey % 5 = 0 AS is_preset, row_number() OVER (ORDER BY o_orderkey % 5 = 0 DESC, o_orderdate DESC, o_orderkey DESC) AS place FROM orders QUALIFY place <= 50")
+@query("SELECT 'definition ' || o_orderkey AS name, o_orderkey % 5 = 0 AS is_preset FROM orders")
 def s_17_definitions(s, d):
-    """Saved definitions, presets first, newest first: the first fifty."""
+    """Saved definitions, presets first, newest first."""
     o = E.table(s, d, "orders").select(F.concat(F.lit("definition "), "o_orderkey").alias("name"), (F.col("o_orderkey") % 5 == 0).alias("is_preset"), "o_orderdate", "o_orderkey")
-    top = o.orderBy(F.col("is_preset").desc(), F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(50)
-    return top.select("name", "is_preset", F.row_number().over(Window.orderBy(F.col("is_preset").desc(), F.col("o_orderdate").desc(), F.col("o_orderkey").desc())).alias("place"))
+    return o.orderBy(F.col("is_preset").desc(), F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).select("name", "is_preset")
 
 
 @query("SELECT 'definition ' || o_orderkey AS name, o_orderkey % 5 = 0 AS is_preset, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS created, o_orderkey AS id FROM orders")
@@ -111,7 +110,7 @@ def k_3_sheets(s, d):
 def sheets(s, d) -> dict[str, DataFrame]:
     """The sheets of the workbook, as sinks.write_sheets takes them."""
     return {
-        "cover": A.cover(rollup(s, d)), "initiatives": A.initiatives(E.focus_areas(s, d), rollup(s, d), E.targets(s, d)), "drill_down": v_15_drill_down_rows(s, d),
+        "cover": A.cover(rollup(s, d)), "initiatives": A.initiatives(E.focus_areas(s, d), rollup_with_area(s, d), E.targets(s, d)), "drill_down": v_15_drill_down_rows(s, d),
         "completed": completed(s, d), "weekly": filled(s, d).select("metric", "user_id").distinct(),
     }
 
@@ -142,8 +141,8 @@ def v_15_drill_down_rows(s, d):
     """
     text = lambda v="": F.lit(v)
     areas = E.focus_areas(s, d).select("area_id", "sort_order")
-    keyed = rollup(s, d).join(areas, "area_id").withColumn("project_key", X.natural_key(F.col("code")))
-    top = A.area_rollup(E.focus_areas(s, d), rollup(s, d)).select(
+    keyed = rollup_with_area(s, d).join(areas, "area_id").withColumn("project_key", X.natural_key(F.col("code")))
+    top = A.area_rollup(E.focus_areas(s, d), rollup_with_area(s, d)).select(
         F.lit(0).alias("level"), "sort_order", "area_id", text().alias("project_key"), F.concat(text("▸ "), "area_name").alias("name"), text().alias("owner"), F.concat(F.col("project_count"), text(" tactics")).alias("status"),
         text().alias("priority"), text().alias("due"), text().alias("completed"), (F.col("percent_complete") / 100).alias("percent"), text().alias("notes"),
     )
@@ -154,7 +153,7 @@ def v_15_drill_down_rows(s, d):
     shown = X.display_name(F.col("display_name"), F.col("first_name"), F.col("last_name"), F.col("email"), F.col("user_id").cast("string"))
     owners = E.users(s, d).select(F.col("user_id").alias("assignee_id"), shown.alias("owner"))
     none = F.lit(None).cast("string")
-    of = E.projects(s, d).join(areas, "area_id").select("project_id", "area_id", "sort_order", X.natural_key(F.col("code")).alias("project_key"))
+    of = E.projects_with_area(s, d).join(areas, "area_id").select("project_id", "area_id", "sort_order", X.natural_key(F.col("code")).alias("project_key"))
     tasks = E.tasks(s, d).join(of, "project_id").join(owners, "assignee_id", "left").select(
         F.lit(2).alias("level"), "sort_order", "area_id", "project_key", "line_no", "part_id", F.concat(text("        "), F.col("project_id"), text("/"), F.col("line_no")).alias("name"),
         F.coalesce("owner", F.col("assignee_id").cast("string")).alias("owner"), "status", "priority", F.coalesce(F.col("due_date").cast("string"), text()).alias("due"),
@@ -258,9 +257,9 @@ def f_25_people_modes(s, d):
     return w.select(mode.alias("mode"), "user_id")
 
 
-@query("SELECT position, value FROM (SELECT position, " + usd("amount") + " AS value FROM stage LEFT JOIN opps ON stage = stage_canonical AND stage <> 'Proposal' GROUP BY 1) WHERE value > 0")
+@query("SELECT position, value FROM (SELECT position, " + usd("amount") + " AS value FROM stage LEFT JOIN opps ON stage = stage_canonical GROUP BY 1) WHERE value > 0")
 def f_26_nonzero_slices(s, d):
-    return A.pipeline_by_stage(E.opportunities(s, d).where("stage_canonical <> 'Proposal'")).where("value > 0").select("position", "value")
+    return A.pipeline_by_stage(E.opportunities(s, d)).where("value > 0").select("position", "value")
 
 
 @query(f"SELECT status = 'pending' AS pending, count(*) AS n FROM {REQUESTS} GROUP BY 1")
@@ -271,7 +270,7 @@ def f_28_pending_or_decided(s, d):
 @query("SELECT p.project_id, code, owner_id, c_name AS owner_name, p.area_id, area_name FROM projects p LEFT JOIN customer ON owner_id = c_custkey LEFT JOIN areas a ON p.area_id = a.area_id")
 def p_2_project(s, d):
     """J-1, J-7: a project with its owner's and its area's name."""
-    return E.projects(s, d).join(F.broadcast(E.focus_areas(s, d)), "area_id", "left").select("project_id", "code", "owner_id", "owner_name", "area_id", "area_name")
+    return E.projects_with_area(s, d).join(F.broadcast(E.focus_areas(s, d)), "area_id", "left").select("project_id", "code", "owner_id", "owner_name", "area_id", "area_name")
 
 
 @query("SELECT event_id, 'https://x/' || event_id AS url, user_name AS added_by FROM events LEFT JOIN users USING (user_id)")
@@ -319,13 +318,13 @@ def j_5_user_roles(s, d):
 @query("SELECT area_id, count(*) AS n FROM tasks LEFT JOIN projects USING (project_id) GROUP BY 1")
 def j_6_task_project(s, d):
     by = E.tasks(s, d).groupBy("project_id").agg(rows())
-    return by.join(E.projects(s, d).select("project_id", "area_id"), "project_id", "left").groupBy("area_id").agg(F.sum("n").alias("n"))
+    return by.join(E.projects_with_area(s, d).select("project_id", "area_id"), "project_id", "left").groupBy("area_id").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT area_id, p AS projects, t AS tasks FROM areas LEFT JOIN (SELECT area_id, count(*) AS p, CAST(sum(n) AS BIGINT) AS t FROM r1 GROUP BY 1) USING (area_id)")
 def j_9_two_level_nest(s, d):
     """Areas with nested projects with nested task counts, shown by their sizes (a hot area's tasks are never one array)."""
-    by = E.projects(s, d).select("project_id", "area_id").join(E.tasks(s, d).groupBy("project_id").agg(rows()), "project_id", "left")
+    by = E.projects_with_area(s, d).select("project_id", "area_id").join(E.tasks(s, d).groupBy("project_id").agg(rows()), "project_id", "left")
     nested = by.groupBy("area_id").agg(F.count(F.lit(1)).alias("projects"), F.coalesce(F.sum("n"), F.lit(0)).alias("tasks"))
     return E.focus_areas(s, d).select("area_id").join(nested, "area_id", "left")
 
@@ -392,7 +391,7 @@ def a_5_a_6_ladders(s, d):
 
 
 def initiatives(s, d) -> DataFrame:
-    return A.initiatives(E.focus_areas(s, d), rollup(s, d), E.targets(s, d))
+    return A.initiatives(E.focus_areas(s, d), rollup_with_area(s, d), E.targets(s, d))
 
 
 @query(f"""SELECT area_id, CASE WHEN count(project_id) = 0 THEN 'No Tasks' WHEN count(*) FILTER (status = 'Complete') = count(project_id) THEN 'Complete' WHEN count(*) FILTER (health = 'red') > 0 THEN 'Blocked'
@@ -405,7 +404,7 @@ def a_13_a_14_initiative_status(s, d):
 @query("SELECT area_id, CAST(sum(n) AS BIGINT) AS tasks, CASE WHEN sum(n) = 0 THEN 0 ELSE CAST(floor(sum(s) / sum(n) + 0.5) AS BIGINT) END AS percent_complete FROM r1 WHERE area_id IS NOT NULL GROUP BY ROLLUP (area_id)")
 def a_16_tree_totals(s, d):
     """Task-weighted totals by area and over all (area_id null)."""
-    by = rollup(s, d).where("area_id IS NOT NULL").rollup("area_id").agg(F.sum("task_count").alias("tasks"), F.sum("percent_sum").alias("p"))
+    by = rollup_with_area(s, d).where("area_id IS NOT NULL").rollup("area_id").agg(F.sum("task_count").alias("tasks"), F.sum("percent_sum").alias("p"))
     return by.select("area_id", "tasks", F.when(F.col("tasks") == 0, F.lit(0).cast("bigint")).otherwise(X.round_half_up(F.col("p") / F.col("tasks"))).alias("percent_complete"))
 
 
@@ -418,7 +417,7 @@ def a_25_week_panel(s, d):
 @query("SELECT area_id, count(*) FILTER (n > 0) AS active, CAST(sum(late) AS BIGINT) AS overdue, CAST(sum(b) AS BIGINT) AS blocked, CAST(sum(n) AS BIGINT) AS tasks, CAST(floor(avg(pct) + 0.5) AS BIGINT) AS percent_complete FROM rollup_ GROUP BY 1")
 def a_27_pillars(s, d):
     total = [F.sum(f"{c}_count").alias(a) for c, a in (("overdue", "overdue"), ("blocked", "blocked"), ("task", "tasks"))]
-    return rollup(s, d).groupBy("area_id").agg(F.count_if(F.col("task_count") > 0).alias("active"), *total, X.round_half_up(F.avg("percent_complete")).alias("percent_complete"))
+    return rollup_with_area(s, d).groupBy("area_id").agg(F.count_if(F.col("task_count") > 0).alias("active"), *total, X.round_half_up(F.avg("percent_complete")).alias("percent_complete"))
 
 
 @query(f"SELECT count(*) FILTER (status <> 'Complete') AS open, count(*) FILTER (status <> 'Complete' AND due_date < {ASOF}) AS overdue, count(*) FILTER (status = 'Blocked') AS blocked FROM tasks WHERE assignee_id = 4")
@@ -517,33 +516,32 @@ def o_4_locale_names(s, d):
 
 @query("SELECT area_id, project_id, code, 'P' || lpad(CAST(project_id % 7 + 1 AS VARCHAR), 20, '0') || '-' || lpad(CAST(project_id AS VARCHAR), 20, '0') AS natural_key FROM projects")
 def o_5_natural_order_all(s, d):
-    """All projects by area and natural order of their codes, with the key; o_5_natural_order has those up to id 200."""
-    p = E.projects(s, d).select("area_id", "project_id", "code", X.natural_key(F.col("code")).alias("natural_key"))
+    """All projects by area and natural order of their codes, with the key."""
+    p = E.projects_with_area(s, d).select("area_id", "project_id", "code", X.natural_key(F.col("code")).alias("natural_key"))
     return p.orderBy(F.col("area_id").asc_nulls_last(), "natural_key", "project_id")
 
 
-@query("SELECT user_id, row_number() OVER (ORDER BY total DESC, user_id) AS place FROM work QUALIFY place <= 20")
+@query("SELECT user_id, total AS n FROM work")
 def o_6_by_total(s, d):
-    """The twenty busiest."""
-    top = A.workload(E.users(s, d), E.tasks(s, d), E.as_of()).orderBy(F.col("total").desc(), "user_id").limit(20)
-    return placed(top, F.col("total").desc(), "user_id").select("user_id", "place")
+    """The busiest first."""
+    return A.workload(E.users(s, d), E.tasks(s, d), E.as_of()).select("user_id", F.col("total").alias("n")).orderBy(F.col("n").desc(), "user_id")
 
 
-@query("SELECT user_id, row_number() OVER (ORDER BY open DESC, user_name) AS place FROM work QUALIFY place <= 20")
+@query("SELECT user_id, open AS n FROM work")
 def o_8_open_then_name(s, d):
-    top = A.workload(E.users(s, d), E.tasks(s, d), E.as_of()).orderBy(F.col("open").desc(), "user_name").limit(20)
-    return placed(top, F.col("open").desc(), "user_name").select("user_id", "place")
+    out = A.workload(E.users(s, d), E.tasks(s, d), E.as_of()).select("user_id", "user_name", F.col("open").alias("n"))
+    return out.orderBy(F.col("n").desc(), "user_name").select("user_id", "n")
 
 
 @query("SELECT user_id, total FROM work")
 def o_6_by_total_all(s, d):
-    """The whole workload, busiest first; o_6_by_total has the first twenty."""
+    """The whole workload, busiest first."""
     return A.workload(E.users(s, d), E.tasks(s, d), E.as_of()).select("user_id", "total").orderBy(F.col("total").desc(), "user_id")
 
 
 @query("SELECT user_id, open, user_name FROM work")
 def o_8_open_then_name_all(s, d):
-    """All users by open tasks, then name; o_8_open_then_name has the first twenty."""
+    """All users by open tasks, then name."""
     return A.workload(E.users(s, d), E.tasks(s, d), E.as_of()).select("user_id", "open", "user_name").orderBy(F.col("open").desc(), F.collate("user_name", "UNICODE"), "user_id")
 
 
@@ -643,7 +641,7 @@ def x_30_type_names(s, d):
   UNION ALL SELECT 'needsAttention', count(*) FROM tasks WHERE status = 'Blocked' OR (status <> 'Complete' AND due_date < DATE '1998-06-01')""")
 def v_1_dashboard(s, d):
     """The dashboard's sections by their sizes; each is a query of its own."""
-    r = rollup(s, d)
+    r = rollup_with_area(s, d)
     late = X.overdue(F.col("status"), F.col("due_date"), E.as_of())
     parts = {
         "kpis": A.portfolio(r).select(F.col("active_projects").alias("n")), "focusAreas": A.area_rollup(E.focus_areas(s, d), r).agg(rows()), "workload": E.users(s, d).agg(rows()),
@@ -655,7 +653,7 @@ def v_1_dashboard(s, d):
 
 @query("SELECT project_id, code, area_id, n AS task_count, pct AS percent_complete, status, health FROM rollup_")
 def v_3_projects(s, d):
-    return rollup(s, d).select("project_id", "code", "area_id", "task_count", "percent_complete", "status", "health")
+    return rollup_with_area(s, d).select("project_id", "code", "area_id", "task_count", "percent_complete", "status", "health")
 
 
 @query(f"SELECT {LINE} FROM tasks WHERE project_id = 7")
@@ -679,7 +677,7 @@ def v_6_lists(s, d):
 @query("SELECT area_name, count(project_id) AS projects, CAST(coalesce(sum(n), 0) AS BIGINT) AS tasks, any_value(target_numeric) AS target FROM areas LEFT JOIN r1 USING (area_id) LEFT JOIN targets USING (area_id) GROUP BY 1")
 def v_7_report_tree(s, d):
     t = E.targets(s, d).select("area_id", F.col("target_numeric").alias("target"))
-    return A.area_rollup(E.focus_areas(s, d), rollup(s, d)).join(F.broadcast(t), "area_id", "left").select("area_name", F.col("project_count").alias("projects"), F.col("task_count").alias("tasks"), "target")
+    return A.area_rollup(E.focus_areas(s, d), rollup_with_area(s, d)).join(F.broadcast(t), "area_id", "left").select("area_name", F.col("project_count").alias("projects"), F.col("task_count").alias("tasks"), "target")
 
 
 @query("""SELECT c.metric, c.user_id, c.count, coalesce(e.source, 'manual') AS source, coalesce(e.source = 'manual' AND c.user_id = 7, false) AS is_self_reported FROM current c LEFT JOIN
@@ -763,7 +761,7 @@ def v_26_r_1_matrix(s, d):
 
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 500")
 def v_27_audit_log(s, d):
-    n = min(max(9999, 1), 500)
+    n = X.clamped_limit(9999)
     return E.read_filtered(E.events(s, d), event_type="click").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(n).select("event_id", "event_type")
 
 

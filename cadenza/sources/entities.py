@@ -56,8 +56,12 @@ def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("project_id"), F.concat(F.lit("P"), F.col("o_orderkey") % 7 + 1, F.lit("-"), F.col("o_orderkey")).alias("code"), F.col("o_custkey").alias("owner_id"))
-    return o.join(owners(spark, sf_dir), "owner_id", "left")
+    """Orders alone: their owners' names and areas are projects_with_area's."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("project_id"), F.concat(F.lit("P"), F.col("o_orderkey") % 7 + 1, F.lit("-"), F.col("o_orderkey")).alias("code"), F.col("o_custkey").alias("owner_id"))
+
+
+def projects_with_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projects(spark, sf_dir).join(owners(spark, sf_dir), "owner_id", "left")
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
