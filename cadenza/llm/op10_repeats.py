@@ -406,3 +406,18 @@ def remove_repeats(docs: DataFrame, keep: str = "none", text: str = "text", with
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: All windows by their bytes: for tables of a few million bytes.
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, k, md5(substr(h, 2 * k + 1, 400)) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS k FROM d WHERE length(h) >= 400)),
+twice AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT doc_id, k FROM w SEMI JOIN twice USING (g)),
+s AS (SELECT doc_id, k, k > coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 200, -1) AS fresh FROM hit),
+r AS (SELECT doc_id, k, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM s),
+spans AS (SELECT doc_id, run, min(k) AS lo, max(k) + 200 AS hi FROM r GROUP BY 1, 2),
+p AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS last FROM spans),
+k AS (SELECT d.doc_id, any_value(h) AS h, coalesce(sum(hi - lo), 0) AS n_removed, count(lo) AS n_spans, coalesce(string_agg(substr(h, 2 * last + 1, 2 * (lo - last)), '' ORDER BY lo), '') AS head, coalesce(max(hi), 0) AS tail FROM d LEFT JOIN p ON d.doc_id = p.doc_id GROUP BY d.doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(head || substr(h, 2 * tail + 1))) AS kept_sha256 FROM k
+"""

@@ -32,4 +32,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": op2.SQL, "op4_warc": op4.SQL, "op7_near_dedup": op7.SQL, "op5_decontamination": op5.SQL, "op9_url_filters": op9.SQL}
+    return {"op2_line_dedup": op2.SQL, "op4_warc": op4.SQL, "op7_near_dedup": op7.SQL, "op5_decontamination": op5.SQL, "op9_url_filters": op9.SQL, "op10_repeats": op10.SQL}

@@ -109,6 +109,71 @@ def test_op1_scores_are_the_dot_products(spark):
             assert got[a + r + 1] == pytest.approx(1 / (1 + np.exp(-x)))
 
 
+def test_op1_features_equal_brute_force():
+    """Counts of runs of one to three words and shapes, from strings alone: equal strings share a bucket, weights are 1 + log(count) over the length."""
+    import pyarrow as pa
+
+    rng = random.Random(30)
+    kinds = {}
+    for k, chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,", "!", "?", "#*$%&", "|", "<>", "'\"()-", ":;/\\=_@"), 1):
+        kinds |= dict.fromkeys(chars, k)
+    texts = [" ".join(rng.choice(["the", "The", "THE", "x1", "end.", "wow!!", "né", "a-b", "a-b"]) for _ in range(rng.randint(0, 25))) for _ in range(40)] + ["", None]
+
+    def grams(text):
+        w = SPACED.findall(text or "")
+        low = [x.translate(LOWER) for x in w]
+        shape = []
+        for k, x in enumerate(w):
+            codes = [kinds.get(chr(b), 1 if b >= 128 else 0) for b in x.encode()]
+            runs = tuple(c for i, c in enumerate(codes) if i == 0 or c != codes[i - 1])
+            shape.append((runs, k > 0 and low[k] == low[k - 1]))
+        return collections.Counter((kind, tuple(seq[k : k + n])) for kind, seq in (("word", low), ("shape", shape)) for n in (1, 2, 3) for k in range(len(seq) - n + 1))
+
+    named = {}
+    for a, b, at, bucket, value in op1.features(pa.array(texts)):
+        for r in range(b - a):
+            want = grams(texts[a + r])
+            got = dict(zip(bucket[at[r] : at[r + 1]].tolist(), value[at[r] : at[r + 1]].tolist(), strict=True))
+            length = sum((1 + np.log(n)) ** 2 for n in want.values()) ** 0.5
+            assert len(got) == len(want) and sorted(got.values()) == pytest.approx(sorted((1 + np.log(n)) / length for n in want.values()))
+            for bucket_ in got:
+                named.setdefault(bucket_, []).append(set(want))
+    # all texts that share a bucket share a gram
+    assert all(set.intersection(*sets) for sets in named.values())
+
+
+def test_op1_learner_equals_ftrl_by_the_book():
+    """Per coordinate, with dicts: w from z and n, then n and z from the gradient."""
+    rng = np.random.default_rng(31)
+    size = 1 << op1.BITS
+    rows = []
+    for _ in range(25):
+        bucket = np.sort(rng.choice(np.append(np.arange(40), size - 1), rng.integers(0, 9), replace=False))
+        rows.append((bucket, rng.random(len(bucket)), int(rng.integers(0, 2))))
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= op1.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * op1.L1) / ((op1.BETA + n[i] ** 0.5) / op1.ALPHA + op1.L2)
+
+    for _ in range(op1.PASSES):
+        for bucket, value, y in rows:
+            x = [*zip(bucket.tolist(), value.tolist(), strict=True), (size, 1.0)]
+            w = {i: weight(i) for i, _ in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x)))
+            for i, v in x:
+                g = (p - y) * v
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / op1.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    got = op1.train(rows)
+    assert len(got) == size + 1
+    assert {i: got[i] for i in z} == pytest.approx({i: weight(i) for i in z})
+    assert np.count_nonzero(got) == sum(weight(i) != 0 for i in z)
+
+
 # --- 2 -------------------------------------------------------------------------
 
 
@@ -634,6 +699,56 @@ def test_op8_learns_rules_and_keeps_clean_rows(spark):
     assert none.where("kept = base_failed").count() == 0
 
 
+def test_op8_rules_equal_brute_force():
+    """Each condition of a grown rule has the greatest gain of all thresholds offered; pruning keeps the best start; covered rows leave."""
+    rng = np.random.default_rng(32)
+    n = 400
+    x = {"a": rng.integers(0, 30, n).astype(float), "b": rng.random(n), "c": rng.integers(0, 3, n).astype(float)}
+    bad = ((x["a"] > 20) & (x["b"] < 0.5)) | (rng.random(n) < 0.03)
+
+    def gain(live, op, f, t):
+        p0, n0 = int((live & bad).sum()), int((live & ~bad).sum())
+        now = [i for i in range(n) if live[i] and (x[f][i] <= t if op == "<=" else x[f][i] > t)]
+        p = sum(bool(bad[i]) for i in now)
+        return p * (np.log2(p / len(now)) - np.log2(p0 / (p0 + n0))) if p else -1.0
+
+    rule = op8.grow(x, bad, 5)
+    live = np.ones(n, bool)
+    for f, op, t in rule:
+        offered = [gain(live, o, g, float(u)) for g in x for u in np.unique(np.quantile(x[g][live & bad], np.linspace(0, 1, 33), method="lower")) for o in ("<=", ">")]
+        # moving a threshold halfway to the next row on the wrong side never loses gain
+        assert gain(live, op, f, t) >= max(offered) - 1e-9
+        live &= x[f] <= t if op == "<=" else x[f] > t
+    assert rule and (live & bad).any()
+    cut, sure = op8.prune(x, bad, rule)
+    worth = []
+    for k in range(1, len(rule) + 1):
+        c = np.ones(n, bool)
+        for f, op, t in rule[:k]:
+            c &= x[f] <= t if op == "<=" else x[f] > t
+        p, m = int((c & bad).sum()), int((c & ~bad).sum())
+        worth.append(((p - m) / max(p + m, 1), p, -k, p / max(p + m, 1)))
+    assert cut == rule[: -max(worth)[2]] and sure == pytest.approx(max(worth)[3])
+    rules = op8.learn(x, 1 - bad.astype(int), precision=0.9)
+    fired = np.zeros(n, bool)
+    for r in rules:
+        now = np.ones(n, bool)
+        for f, op, t in r:
+            now &= x[f] <= t if op == "<=" else x[f] > t
+        assert (now & ~fired & bad).sum() >= 5
+        fired |= now
+    assert (fired & bad).sum() >= 0.7 * bad.sum() and (fired & ~bad).sum() <= 0.1 * fired.sum()
+    assert op8.learn(x, np.ones(n, int)) == []
+
+
+def test_op8_rule_expression_is_ordered(spark):
+    rules = [[("words", ">", 10.0), ("symbols_per_word", "<=", 0.5)], [("words", ">", 5.0)]]
+    zero = {c: 0 for c in op8.COUNTS}
+    rows = [zero | {"n_words": w, "n_symbols": k} for w, k in ((20, 1), (20, 19), (7, 0), (3, 0))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in op8.COUNTS))
+    assert sorted(((r["n_words"], r["n_symbols"]), r["rule"]) for r in df.withColumn("rule", op8.rejects(rules)).collect()) == [((3, 0), None), ((7, 0), 2), ((20, 1), 1), ((20, 19), 2)]
+
+
 # --- 9 -------------------------------------------------------------------------
 
 
