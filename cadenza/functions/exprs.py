@@ -238,3 +238,18 @@ def spark_heights(values: Column, target: Column) -> Column:
     """X-28: each value's share of the greatest of the values, the target and 1."""
     top = F.greatest(F.array_max(values), target, F.lit(1)).cast("double")
     return F.transform(values, lambda v: v / top)
+
+
+def default_literal(text: Column) -> Column:
+    """X-30: a column default without casts and the parentheses around it: ('x'::text) is 'x'."""
+    plain = F.trim(F.regexp_replace(text, r"::[A-Za-z_ ]+(\([0-9, ]*\))?(\[\])?", ""))
+    for _ in range(2):
+        plain = F.trim(F.regexp_replace(plain, r"^\((.*)\)$", "$1"))
+    return plain
+
+
+def audit_value(text: Column, acting_as: Column) -> Column:
+    """X-26: a JSON object with actingAs, if there is one; a scalar or an array becomes the object's value."""
+    object_ = F.when(text.rlike(r"^\s*\{"), F.trim(text)).otherwise(F.concat(F.lit('{"value":'), F.coalesce(text, F.lit("null")), F.lit("}")))
+    added = F.concat(F.regexp_replace(object_, r"\}\s*$", ""), F.when(object_.rlike(r"^\{\s*\}$"), "").otherwise(","), F.lit('"actingAs":'), F.to_json(F.struct(acting_as.alias("x"))).substr(F.lit(6), F.length(acting_as) + 2), F.lit("}"))
+    return F.when(acting_as.isNull(), object_).otherwise(added)

@@ -150,6 +150,58 @@ def bulk_assign(members: DataFrame, links: DataFrame, description: str, due: Col
     return tasks, tasks.select("user_id").crossJoin(links)
 
 
+def bulk_assign_group(members: DataFrame, creator: int, links: DataFrame, description: str, due: Column) -> tuple[DataFrame, DataFrame]:
+    """M-2: the creator's parent task, a child task for each member, and every link on each; the parent's state is its children's (A-17)."""
+    children, _ = bulk_assign(members, links, description, due)
+    children = children.withColumns({"is_group_parent": F.lit(False), "percent_complete": F.lit(0)})
+    one = members.sparkSession.range(1).select(F.lit(creator).cast("bigint").alias("user_id"), F.lit(description).alias("description"), F.lit("Not Started").alias("status"), due.alias("due_date"), F.lit(True).alias("is_group_parent"), F.lit(0).alias("percent_complete"))
+    tasks = one.unionByName(children)
+    return tasks, tasks.select("user_id", "is_group_parent").crossJoin(links)
+
+
+def refresh(tables: dict[str, DataFrame], source: str, now: Column, counted: tuple[str, ...]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """M-5: the source's records of all tables (source_system, synced_at) get the time; one event row with how many of the counted tables' there are."""
+    out = {name: update(df, F.col("source_system") == source, synced_at=now) for name, df in tables.items()}
+    n = reduce(DataFrame.unionByName, [tables[k].where(F.col("source_system") == source).select("source_system") for k in counted])
+    event = n.agg(F.count(F.lit(1)).alias("records_synced")).select(F.lit(source).alias("source_system"), F.lit("success").alias("status"), "records_synced", now.alias("finished_at"))
+    return out, event
+
+
+def decide_requests(requests: DataFrame, users: DataFrame, approved: Column, decider: int, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M-10: (requests, users, new invitations). Only pending requests change: an approved access request raises its user to the role
+    asked for (of several, that of the greatest id), an approved account request makes an invitation of seven days."""
+    pending = F.col("status") == "pending"
+    after = update(requests.withColumn("__new", pending), pending, decided_by_id=F.lit(decider).cast("bigint"), status=F.when(approved, "approved").otherwise("denied"))
+    yes = after.where((F.col("status") == "approved") & F.col("__new"))
+    raised = yes.where("kind = 'access'").groupBy(F.col("requester_user_id").alias("user_id")).agg(F.max_by("requested_role", "id").alias("__role"))
+    people = users.join(raised, "user_id", "left").withColumn("role", F.coalesce("__role", "role")).select(*users.columns)
+    invitations = yes.where("kind = 'account'").select(F.col("id").alias("request_id"), F.col("requested_role").alias("role"), F.lit("pending").alias("status"), (now + F.expr("INTERVAL 7 DAYS")).alias("expires_at"))
+    return after.drop("__new"), people, invitations
+
+
+def accept_invitations(invitations: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """M-12: what each invitation (id, target_user_id, email, status, expires_at) comes to. users: user_id, email, has_login.
+
+    Not pending, or expired: refused. Else its target's row is claimed, or else that of the address in any case (the least id);
+    one that has a login is refused; without either a user is made. Claimed and made ones are accepted.
+    """
+    target = users.select(F.col("user_id").alias("target_user_id"), F.lit(True).alias("__known"), F.col("has_login").alias("__login"))
+    by = users.where("email IS NOT NULL").groupBy(F.lower("email").alias("__mail")).agg(F.min(F.struct("user_id", "has_login")).alias("__one"))
+    met = invitations.join(target, "target_user_id", "left").join(by, F.lower(invitations["email"]) == F.col("__mail"), "left")
+    live = (F.col("status") == "pending") & (F.col("expires_at") > now)
+    login = F.when(F.col("__known"), F.col("__login")).otherwise(F.col("__one.has_login"))
+    claimed = F.when(F.col("__known"), F.col("target_user_id")).otherwise(F.col("__one.user_id"))
+    outcome = F.when(~live, "invalid").when(claimed.isNull(), "insert").when(login, "already claimed").otherwise("claim")
+    out = met.withColumn("outcome", outcome).withColumn("user_id", F.when(F.col("outcome") == "claim", claimed))
+    return out.select("id", "outcome", "user_id", F.when(F.col("outcome").isin("claim", "insert"), "accepted").otherwise(F.col("status")).alias("status"))
+
+
+def ensure_permissions(held: DataFrame, defaults: DataFrame, always: DataFrame) -> DataFrame:
+    """M-11: role and key rows: the defaults where there are none at all, and in any case the rows that must be there."""
+    seeded = held if not held.isEmpty() else defaults
+    return insert_missing(seeded, always, ["role", "key"])
+
+
 def gate_completion(tasks: DataFrame, asked: Column, may_approve: bool, now: Column) -> DataFrame:
     """M-3: without the permission, Complete becomes Pending Review; the completion stamp follows the status."""
     status = asked if may_approve else F.when(asked == "Complete", "Pending Review").otherwise(asked)

@@ -16,7 +16,7 @@ from ..operators import maintain as M
 from ..operators import rollups as A
 from ..sources import entities as E
 from .catalog import day, filled, rollup_with_area
-from .oracle import ASOF, BASE, KPI, NOW, STAGES, share
+from .oracle import ASOF, BASE, KPI, NOW, SRC, share
 
 QUERIES: dict[str, object] = {}
 SQL: dict[str, str] = {}
@@ -168,6 +168,67 @@ def v_19_scorecard_rows(s, d):
     return by.withColumn("percent", X.percent(F.col("done"), F.col("target")))
 
 
+@query(f""", owner AS (SELECT area_id, owner_id FROM projects GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY area_id ORDER BY count(*) DESC, owner_id) = 1)
+  SELECT a.area_id, area_name AS name, coalesce(c_name, '') AS owner, CASE WHEN tactics = 0 THEN 'No Tasks' WHEN complete = tactics THEN 'Complete' WHEN red > 0 THEN 'Blocked' WHEN amber > 0 THEN 'At Risk' ELSE 'On Track' END AS status,
+  current_numeric AS current, target_numeric AS target, CASE WHEN target_numeric > 0 THEN {share("current_numeric", "target_numeric")} END AS attainment, tactics, on_track, coalesce({share("on_track", "tactics")}, 0) AS on_track_percent, tasks, overdue, pct AS average
+  FROM (SELECT a.area_id, area_name, count(project_id) AS tactics, count(*) FILTER (health = 'green') AS on_track, count(*) FILTER (health = 'red') AS red, count(*) FILTER (health = 'amber') AS amber, count(*) FILTER (status = 'Complete') AS complete,
+    CAST(coalesce(sum(n), 0) AS BIGINT) AS tasks, CAST(coalesce(sum(late), 0) AS BIGINT) AS overdue, coalesce(CAST(floor(avg(pct) + 0.5) AS BIGINT), 0) AS pct FROM areas a LEFT JOIN rollup_ r ON a.area_id = r.area_id GROUP BY 1, 2) a
+  LEFT JOIN targets t ON t.area_id = a.area_id LEFT JOIN owner o ON o.area_id = a.area_id LEFT JOIN customer ON c_custkey = o.owner_id""")
+def v_14_initiatives_sheet(s, d):
+    """V-14: the sheet's columns with each initiative's most common owner; the tables have no goals or units."""
+    r = rollup_with_area(s, d)
+    names = E.owners(s, d).select("owner_id", "owner_name")
+    owner = A.top_owner(r).join(names, "owner_id", "left").select("area_id", "owner_name")
+    t = E.targets(s, d).select("area_id", F.col("current_numeric").alias("current"), F.col("target_numeric").alias("target"))
+    out = A.initiatives(E.focus_areas(s, d), r, E.targets(s, d)).join(owner, "area_id", "left").join(t, "area_id", "left")
+    return out.select("area_id", F.col("area_name").alias("name"), F.coalesce("owner_name", F.lit("")).alias("owner"), "status", "current", "target", "attainment", "tactics", "on_track", "on_track_percent", "tasks", "overdue", F.col("percent_complete").alias("average"))
+
+
+@query(f""", v AS (SELECT 'focusAreas' AS section, CAST(area_id AS VARCHAR) AS key, CAST(CASE WHEN sum(n) > 0 THEN CAST(floor(sum(s) / sum(n) + 0.5) AS BIGINT) ELSE 0 END AS VARCHAR) AS value FROM areas LEFT JOIN r1 USING (area_id) GROUP BY area_id
+  UNION ALL SELECT 'workload', CAST(user_id AS VARCHAR), total || ' tasks, ' || open || ' open, ' || overdue || ' overdue' FROM work
+  UNION ALL SELECT 'taskBreakdown', status, CAST(count(*) AS VARCHAR) FROM tasks GROUP BY status UNION ALL SELECT 'taskBreakdown', priority, CAST(count(*) AS VARCHAR) FROM tasks GROUP BY priority
+  UNION ALL SELECT 'needsAttention', project_id || '/' || line_no || '/' || part_id, CASE WHEN status <> 'Complete' AND due_date < {ASOF} THEN 'Overdue' ELSE 'Blocked' END FROM tasks WHERE status = 'Blocked' OR (status <> 'Complete' AND due_date < {ASOF})
+  UNION ALL SELECT 'kpis', unnest(['active_projects', 'total_tasks', 'overdue_tasks', 'blocked_tasks']), CAST(unnest([count(*) FILTER (n > 0), CAST(sum(n) AS BIGINT), CAST(sum(late) AS BIGINT), CAST(sum(b) AS BIGINT)]) AS VARCHAR) FROM rollup_)
+  SELECT * FROM v""")
+def v_1_dashboard_rows(s, d):
+    """V-1: all five sections with their rows, as section, key and value."""
+    text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    part = lambda name, df, key, value: df.select(F.lit(name).alias("section"), text(key).alias("key"), text(value).alias("value"))
+    r, t = rollup_with_area(s, d), E.tasks(s, d)
+    late = X.overdue(F.col("status"), F.col("due_date"), E.as_of())
+    kpis = ["active_projects", "total_tasks", "overdue_tasks", "blocked_tasks"]
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.col(k).cast("bigint").alias("v")) for k in kpis))
+    counted = t.groupBy("status", "priority").agg(F.count(F.lit(1)).alias("n"))  # few rows, counted twice below
+    parts = [
+        part("kpis", A.portfolio(r).select(F.explode(pairs).alias("x")), F.col("x.k"), F.col("x.v")),
+        part("focusAreas", A.area_rollup(E.focus_areas(s, d), r), "area_id", "percent_complete"),
+        part("workload", A.workload(E.users(s, d), t, E.as_of()), "user_id", F.concat("total", F.lit(" tasks, "), "open", F.lit(" open, "), "overdue", F.lit(" overdue"))),
+        *(part("taskBreakdown", counted.groupBy(c).agg(F.sum("n").alias("n")), c, "n") for c in ("status", "priority")),
+        part("needsAttention", t.where(late | (F.col("status") == "Blocked")), F.concat_ws("/", text("project_id"), text("line_no"), text("part_id")), F.when(late, "Overdue").otherwise("Blocked")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"SELECT source_system, status, id AS event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS sent_at FROM (SELECT ({SRC})[event_id % 2 + 1] AS source_system, 'connected' AS status, event_id AS id, ts FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 2 ORDER BY ts DESC, event_id DESC) <= 10)")
+def v_23_connection_cards(s, d):
+    """V-23, S-11: each source's card with its ten newest events."""
+    cards = [E.connection_card(E.connections(s), E.email_activity(s, d), x) for x in E.SOURCES]
+    return reduce(DataFrame.unionByName, cards).select("source_system", "status", "event_id", F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss").alias("sent_at"))
+
+
+@query(f"SELECT source, object, n FROM (SELECT source_system AS source, 'opportunities' AS object, count(*) AS n FROM opps GROUP BY 1 UNION ALL SELECT source_system, 'campaigns', count(*) FROM camps GROUP BY 1 UNION ALL SELECT ({SRC})[event_id % 2 + 1], 'email_activity', count(*) FROM events GROUP BY 1 UNION ALL SELECT source_system, 'one opportunity', count(*) FROM opps WHERE id = 7 GROUP BY 1)")
+def s_11_all_lists(s, d):
+    """Every list of every adapter, and one record."""
+    parts = [df.select(F.lit(src).alias("source"), F.lit(name).alias("object")) for src in E.SOURCES for name, df in E.adapter(s, d, src).items()]
+    parts += [E.source_record(E.opportunities(s, d), src, 7).select(F.lit(src).alias("source"), F.lit("one opportunity").alias("object")) for src in E.SOURCES]
+    return reduce(DataFrame.unionByName, parts).groupBy("source", "object").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT ({SRC})[2] AS source_system, 'connected' AS status")
+def s_10_one_connection(s, d):
+    return E.read_filtered(E.connections(s), source_system="hubspot")
+
+
 # --- report catalogue and scalars --------------------------------------------------------
 
 
@@ -316,6 +377,107 @@ def m_6_audit(s, d):
     return upserted(s, d)[2].select("metric", "user_id", day("period_start"), "old_count", "new_count", "note", "changed_by_id")
 
 
+@query("SELECT user_id, false AS is_group_parent, url FROM users, (VALUES ('a'), ('b')) v(url) WHERE user_id % 5 = 2 UNION ALL SELECT 3, true, url FROM (VALUES ('a'), ('b')) v(url)")
+def m_2_group_links(s, d):
+    """A parent task of user 3 and one for each member of a group, with both links on each."""
+    return M.bulk_assign_group(E.group_members(s, d).where("group_id = 2"), 3, s.createDataFrame([("a",), ("b",)], "url string"), "do it", E.as_of())[1]
+
+
+@query("SELECT 'Not Started' AS status, CAST(0 AS BIGINT) AS percent_complete, count(*) AS children FROM users WHERE user_id % 5 = 2")
+def m_2_parent_rollup(s, d):
+    tasks, _ = M.bulk_assign_group(E.group_members(s, d).where("group_id = 2"), 3, s.createDataFrame([("a",)], "url string"), "do it", E.as_of())
+    children = tasks.where("NOT is_group_parent").withColumn("parent_id", F.lit(1))
+    n = children.groupBy("parent_id").agg(F.count(F.lit(1)).alias("children"))
+    return A.parent_rollup(children).join(n, "parent_id").select("status", "percent_complete", "children")
+
+
+def synced(s, d):
+    bare = lambda df: df.select("id", "source_system", F.lit(None).cast("timestamp").alias("synced_at"))
+    tables = {"opportunities": E.opportunities(s, d), "campaigns": E.campaigns(s, d), "email_activity": E.email_activity(s, d), "accounts": E.accounts(s, d), "people": E.people(s, d)}
+    return M.refresh({k: bare(v) for k, v in tables.items()}, "hubspot", E.now(), ("opportunities", "campaigns", "email_activity"))
+
+
+@query(f"""SELECT 'opportunities' AS object, source_system, count(*) AS n, count(*) FILTER (source_system = 'hubspot') AS synced FROM opps GROUP BY ALL UNION ALL SELECT 'campaigns', source_system, count(*), count(*) FILTER (source_system = 'hubspot') FROM camps GROUP BY ALL
+  UNION ALL SELECT 'email_activity', ({SRC})[event_id % 2 + 1] AS source_system, count(*), count(*) FILTER (event_id % 2 = 1) FROM events GROUP BY ALL UNION ALL SELECT 'accounts', source_system, count(*), count(*) FILTER (source_system = 'hubspot') FROM accounts GROUP BY ALL
+  UNION ALL SELECT 'people', source_system, count(*), count(*) FILTER (source_system = 'hubspot') FROM accounts GROUP BY ALL""")
+def m_5_five_tables(s, d):
+    out, _ = synced(s, d)
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("object"), "source_system", "synced_at") for k, df in out.items()]).groupBy("object", "source_system").agg(F.count(F.lit(1)).alias("n"), F.count("synced_at").alias("synced"))
+
+
+@query("SELECT 'hubspot' AS source_system, 'success' AS status, (SELECT count(*) FROM opps WHERE source_system = 'hubspot') + (SELECT count(*) FROM camps WHERE source_system = 'hubspot') + (SELECT count(*) FROM events WHERE event_id % 2 = 1) AS records_synced, '1998-06-01 12:00:00' AS finished_at")
+def m_5_event(s, d):
+    """The event's count leaves accounts and people out."""
+    return synced(s, d)[1].withColumn("finished_at", F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+ROLE_OF = "(['member', 'lead', 'admin', 'vp', 'super_admin', 'observer'])"
+DECIDED = f"(SELECT event_id AS id, user_id AS requester_user_id, event_id % 2 = 1 AS access, event_id % 3 = 0 AS pending, event_id % 5 <> 0 AS yes, {ROLE_OF}[event_id % 6 + 1] AS requested_role FROM events)"
+
+
+def decided(s, d):
+    r = E.access_requests(s, d).withColumn("requested_role", E.pick(E.ROLES, F.col("id") % 6))
+    return M.decide_requests(r, E.users(s, d).select("user_id", "role"), F.col("id") % 5 != 0, 3, E.kpi_now())
+
+
+@query("SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 5 <> 0 THEN 'approved' ELSE 'denied' END WHEN 1 THEN 'approved' ELSE 'denied' END AS status, CASE WHEN event_id % 3 = 0 THEN 3 ELSE user_id END AS decided_by_id FROM events")
+def m_10_requests(s, d):
+    return decided(s, d)[0].select("id", "status", "decided_by_id")
+
+
+@query(f", a AS (SELECT requester_user_id AS user_id, arg_max(requested_role, id) AS raised FROM {DECIDED} WHERE pending AND yes AND access GROUP BY 1) SELECT u.user_id, coalesce(raised, role) AS role FROM users u LEFT JOIN a USING (user_id)")
+def m_10_raised_roles(s, d):
+    return decided(s, d)[1]
+
+
+@query(f"SELECT id AS request_id, requested_role AS role, 'pending' AS status, '2024-01-31 12:00:00' AS expires_at FROM {DECIDED} WHERE pending AND yes AND NOT access")
+def m_10_invitations(s, d):
+    return decided(s, d)[2].withColumn("expires_at", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f""", i AS (SELECT event_id AS id, user_id AS target, (['pending', 'accepted', 'revoked'])[event_id % 3 + 1] AS status, ts + INTERVAL 7 DAY AS expires_at, CASE WHEN event_id % 4 <> 0 THEN 'user' || (event_id % 40) || '@example.com' END AS email FROM events),
+  m AS (SELECT lower(email) AS mail, min(user_id) AS user_id FROM users WHERE email IS NOT NULL GROUP BY 1),
+  x AS (SELECT i.id, i.status, status = 'pending' AND expires_at > {KPI} AS live, coalesce(t.user_id, m.user_id) AS claimed FROM i LEFT JOIN users t ON t.user_id = i.target AND i.target % 2 = 0 LEFT JOIN m ON m.mail = i.email),
+  o AS (SELECT id, status, claimed, CASE WHEN NOT live THEN 'invalid' WHEN claimed IS NULL THEN 'insert' WHEN claimed % 3 = 0 THEN 'already claimed' ELSE 'claim' END AS outcome FROM x)
+  SELECT id, outcome, CASE WHEN outcome = 'claim' THEN claimed END AS user_id, CASE WHEN outcome IN ('claim', 'insert') THEN 'accepted' ELSE status END AS status FROM o""")
+def m_12_outcomes(s, d):
+    """Odd targets are unknown; each third user has a login."""
+    i = E.invitations(s, d).withColumn("target_user_id", F.when(F.col("target_user_id") % 2 == 0, F.col("target_user_id")))
+    return M.accept_invitations(i, E.users(s, d).select("user_id", "email", (F.col("user_id") % 3 == 0).alias("has_login")), E.kpi_now())
+
+
+@query("SELECT * FROM (VALUES ('member', 'view'), ('super_admin', 'manage'), ('observer', 'view')) v(role, key)")
+def m_11_ensured(s, d):
+    """An empty table is seeded with the defaults; what must be there is there once."""
+    kind = "role string, key string"
+    defaults = s.createDataFrame([("member", "view"), ("observer", "view")], kind)
+    return M.ensure_permissions(s.createDataFrame([], kind), defaults, s.createDataFrame([("super_admin", "manage"), ("observer", "view")], kind))
+
+
+@query("SELECT e.event_id AS task_id, 'Follow up' AS description, 'Not Started' AS status, 'opportunity' AS record_type, e.event_id * 3 AS record_id FROM events e JOIN opps ON id = e.event_id * 3")
+def m_8_tasks_and_links(s, d):
+    """Tasks made for records that exist, with their links."""
+    asked = E.events(s, d).select(F.col("event_id").alias("task_id"), (F.col("event_id") * 3).alias("record_id"))
+    found = asked.join(E.opportunities(s, d).select(F.col("id").alias("record_id")), "record_id", "left_semi")
+    return found.select("task_id", F.lit("Follow up").alias("description"), F.lit("Not Started").alias("status"), F.lit("opportunity").alias("record_type"), "record_id")
+
+
+DEFAULTS = [(1, "('member'::text)", "'member'"), (2, "now()", "now()"), (3, "((0))", "0"), (4, "'{}'::character varying(80)[]", "'{}'"), (5, "false", "false"), (6, None, None)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {'NULL' if b is None else repr(b) if chr(39) not in b else chr(39) + b.replace(chr(39), chr(39) * 2) + chr(39)})" for k, _, b in DEFAULTS) + ") v(id, literal)")
+def x_30_default_literals(s, d):
+    return s.createDataFrame([(k, a) for k, a, _ in DEFAULTS], "id int, x string").select("id", X.default_literal(F.col("x")).alias("literal"))
+
+
+MERGED = [(1, '{"a":1}', None, '{"a":1}'), (2, '{"a":1}', "u1", '{"a":1,"actingAs":"u1"}'), (3, "5", "u1", '{"value":5,"actingAs":"u1"}'), (4, "[1,2]", None, '{"value":[1,2]}'), (5, "{}", "u1", '{"actingAs":"u1"}'), (6, None, None, '{"value":null}')]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{b}')" for k, _, _, b in MERGED) + ") v(id, merged)")
+def x_26_audit_values(s, d):
+    return s.createDataFrame([(k, a, u) for k, a, u, _ in MERGED], "id int, x string, u string").select("id", X.audit_value(F.col("x"), F.col("u")).alias("merged"))
+
+
 # --- schemas ----------------------------------------------------------------------------------
 
 
@@ -353,6 +515,19 @@ def j_23_live_drift(s, d):
     return M.drift(s.createDataFrame(changed, "table_name string, column_name string, type string"), scanned(s, d).drop("position"))
 
 
+@query("SELECT * FROM (VALUES ('missing', 1), ('type', 1), ('unexpected', 1), ('missing table', 1), ('unexpected table', 1)) v(problem, n)")
+def v_30_live_summary(s, d):
+    """V-30 over the scanned schemas: columns that one side lacks or types otherwise, and tables that one side lacks."""
+    changed = [(t, c, "json" if c == "props" else k) for t, _, c, k in COLUMNS if c != "p_size" and t != "region"] + [("orders", "o_comment", "string"), ("targets", "area_id", "int")]
+    declared, live = s.createDataFrame(changed, "table_name string, column_name string, type string"), scanned(s, d).drop("position")
+    names = lambda df: df.select("table_name").distinct()
+    both = names(declared).join(names(live), "table_name")
+    columns = M.drift(declared.join(both, "table_name", "left_semi"), live.join(both, "table_name", "left_semi")).select("problem")
+    lacking = names(declared).join(names(live), "table_name", "left_anti").select(F.lit("missing table").alias("problem"))
+    extra = names(live).join(names(declared), "table_name", "left_anti").select(F.lit("unexpected table").alias("problem"))
+    return columns.unionByName(lacking).unionByName(extra).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS hits FROM events QUALIFY hits > 1")
 def st_4_rate_limit_day(s, d):
     """ST-4 with a limit of one a day, which these tables exceed."""

@@ -135,8 +135,19 @@ def connections(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(x, "connected") for x in SOURCES], "source_system string, status string")
 
 
+def source_record(df: DataFrame, source: str, id_: int) -> DataFrame:
+    """S-11: one record of one source."""
+    return point_lookup(df, source, id_)
+
+
+def connection_card(connections_: DataFrame, events_: DataFrame, source: str, most: int = 10) -> DataFrame:
+    """S-11, V-23: a source's connection with its newest events, by time and id: a limit by key, not a window."""
+    newest = events_.where(F.col("source_system") == source).orderBy(F.col("sent_at").desc(), F.col("id").desc()).limit(most)
+    return connections_.where(F.col("source_system") == source).join(newest.withColumnRenamed("id", "event_id"), "source_system", "left")
+
+
 def adapter(spark: SparkSession, sf_dir: str, source: str) -> dict[str, DataFrame]:
-    """S-11: what one source offers, all read alike."""
+    """S-11: what one source lists, all read alike."""
     offered = {"opportunities": opportunities, "campaigns": campaigns, "email_activity": email_activity}
     return {name: read_filtered(f(spark, sf_dir), source_system=source) for name, f in offered.items()}
 
