@@ -341,7 +341,7 @@ def m_3_propagated(s, d):
     return by.join(now_, "project_id").select("project_id", F.col("task_count").alias("tasks"), F.col("overdue_count").alias("overdue"), "due_now", X.round_half_up(F.col("percent_sum") / F.col("task_count")).alias("percent_complete"))
 
 
-@query(f"""SELECT project_id, line_no, part_id, CASE WHEN r THEN 'Blocked' ELSE status END AS status, CASE WHEN r THEN 3 ELSE escalated_to_id END AS escalated_to_id, CASE WHEN r THEN 3 ELSE blocked_by_id END AS blocked_by_id, CASE WHEN r THEN 6 END AS escalated_by_id,
+@query(f"""SELECT project_id, line_no, part_id, CASE WHEN r THEN 'Blocked' ELSE status END AS status, CASE WHEN r THEN 3 ELSE escalated_to_id END AS escalated_to_id, CASE WHEN r THEN 3 ELSE blocked_by_id END AS blocked_by_id, CASE WHEN r THEN CAST(6 AS BIGINT) END AS escalated_by_id,
   CASE WHEN r THEN assignee_id END AS original_assignee_id, CASE WHEN r THEN 'stuck' END AS block_notes, CASE WHEN r THEN true ELSE escalated_at IS NOT NULL AND escalation_resolved_at IS NULL END AS is_escalated FROM (SELECT *, status = 'In Progress' AND part_id % 5 = 0 AS r FROM tasks)""")
 def m_4_raised(s, d):
     """Tasks in progress that user 6 raises to user 3."""
@@ -515,7 +515,7 @@ def j_23_live_drift(s, d):
     return M.drift(s.createDataFrame(changed, "table_name string, column_name string, type string"), scanned(s, d).drop("position"))
 
 
-@query("SELECT * FROM (VALUES ('missing', 1), ('type', 1), ('unexpected', 1), ('missing table', 1), ('unexpected table', 1)) v(problem, n)")
+@query("SELECT * FROM (VALUES ('missing', 1), ('type', 1), ('unexpected', 1), ('missing table', 1), ('unexpected table', 1)) v(problem, n)".replace('SELECT * FROM', 'SELECT problem, CAST(n AS BIGINT) AS n FROM'))
 def v_30_live_summary(s, d):
     """V-30 over the scanned schemas: columns that one side lacks or types otherwise, and tables that one side lacks."""
     changed = [(t, c, "json" if c == "props" else k) for t, _, c, k in COLUMNS if c != "p_size" and t != "region"] + [("orders", "o_comment", "string"), ("targets", "area_id", "int")]
