@@ -866,3 +866,50 @@ def test_op10_keeps_the_first_copy(spark, texts, group, monkeypatch):
         want[i] = bytes(c for k, c in enumerate(b) if k not in gone)
     got = {r["doc_id"]: bytes(r["kept"]) for r in op10.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), keep="first", with_kept=True).collect()}
     assert got == want
+
+
+# --- all -----------------------------------------------------------------------
+
+
+def test_very_long_texts(spark):
+    """Texts of over one numpy step, beside short ones, in each operator that reads words."""
+    rng = random.Random(40)
+    vocabulary = words(rng, 4000)
+    long = [" ".join(rng.choices(vocabulary, k=420_000)) for _ in range(2)]
+    long[1] += "\n" + long[1][:5000]
+    near = long[0].replace(" ", "  ", 50)
+    rows = [(1, long[0]), (2, "short one here"), (3, long[1]), (4, near), (5, None), (6, "")]
+    assert min(map(len, long)) > 2 << 20
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    split = {i: SPACED.findall(t or "") for i, t in rows}
+    counts = {r["doc_id"]: r for r in op8.with_counts(docs, keep=["doc_id"]).collect()}
+    assert {i: (r["n_words"], r["word_chars"]) for i, r in counts.items()} == {i: (len(w), sum(map(len, w))) for i, w in split.items()}
+    grams = collections.Counter(tuple(split[3][k : k + 5]) for k in range(len(split[3]) - 4))
+    assert counts[3]["n_repeat_words"] == len({x for k in range(len(split[3]) - 4) if grams[tuple(split[3][k : k + 5])] > 1 for x in range(k, k + 5)})
+    group = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op7.groups(docs).collect()}
+    assert group == {1: (len(shingle_set(long[0])), 1), 2: (1, 2), 3: (len(shingle_set(long[1])), 3), 4: (len(shingle_set(near)), 1), 5: (0, 5), 6: (0, 6)}
+    part = ALNUM.findall(long[0].translate(LOWER))[300_000:300_030]
+    hit = {r["doc_id"]: r["n_hit"] for r in op5.contamination(docs, spark.createDataFrame([(1, " ".join(part))], "item_id int, text string")).collect()}
+    assert hit == {1: 30, 2: 0, 3: 0, 4: 30, 5: 0, 6: 0}
+    scores = {r["doc_id"]: r["score"] for r in op1.scored(docs, np.random.default_rng(1).normal(size=(1 << op1.BITS) + 1), ["doc_id"]).collect()}
+    assert scores[1] == pytest.approx(scores[4]) and scores[5] == scores[6] and all(0 <= x <= 1 for x in scores.values())
+    pieces = collections.Counter()
+    for r in op6.packed(docs.where("doc_id <> 4"), op6.tokenizer_path()).collect():
+        pieces[r["doc_id"]] += r["length"]
+    tokens = op6.Tokens(op6.tokenizer_path())
+    assert pieces == {i: len(tokens.ids(t or "")) + 1 for i, t in rows if i != 4}
+
+
+def test_op1_and_op8_repeated_rows_and_clashing_columns(spark):
+    rng = random.Random(41)
+    texts = [(k, " ".join(words(rng, 30)) if k % 2 else " ".join(x + "###" for x in words(rng, 30))) for k in range(120)]
+    rows = [(k, t, 5, "mine") for k, t in [*texts, *texts[:20], (None, texts[3][1]), (7, texts[4][1])]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, Score int, KEPT string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)] + [(3, 1), (3, 1)], "doc_id bigint, quality int")
+    for out, columns in ((op1.quality_scores(docs, labels), ("score", "predicted")), (op8.quality_verdicts(docs, labels), ("kept", "base_failed", "n_words"))):
+        got = out.collect()
+        assert len(got) == len(rows) and [c.lower() for c in out.columns].count(columns[0]) == 1
+        seen = collections.defaultdict(set)
+        for r in got:
+            seen[r["doc_id"]].add(tuple(r[c] for c in columns))
+        assert all(len(v) == 1 for k, v in seen.items() if k != 7) and seen[None] == seen[3]
