@@ -136,13 +136,13 @@ class Filter:
         return ((self.sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def passing(df: DataFrame, key: Column, only: Filter) -> DataFrame:
-    """The rows of df whose key, a bigint, may be in the filter."""
+def passing(df: DataFrame, key: Column, only: Filter, missing: bool = False) -> DataFrame:
+    """The rows of df whose key, a bigint, may be in the filter, or those whose key is surely missing."""
     width = len(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = b.filter(pa.array(only.may_hold(b.column(width).to_numpy())))
+            keep = b.filter(pa.array(only.may_hold(b.column(width).to_numpy()) ^ missing))
             if keep.num_rows:
                 yield keep.select(list(range(width)))
 

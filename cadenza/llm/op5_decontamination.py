@@ -7,7 +7,9 @@ each match fixes where the window would start, start and end must lie in the
 document (positional and length bounds), and the words are then compared.
 
 The benchmark is dealt into blocks of about `BLOCK_WORDS` words; a block is sent to
-all tasks, and documents pass once for each block, so nothing sent grows with it.
+all tasks, and documents are scanned once for each block, so nothing sent grows with it.
+Of all blocks but the last only what was hit is written, by a 128-bit hash of the text;
+no text is, and only texts with hits are shuffled.
 
 Null and empty texts have no words: no hit, not contaminated. Items without words
 count nowhere. Items with a null id mark words but are not listed. Equal rows get equal results;
@@ -17,6 +19,7 @@ input columns named like a computed one are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ddl, hidden, others, quoted, shown, written
+from .common import Filter, ddl, drop_since, hidden, others, passing, quoted, shown, written, written_so_far
 from .words import ALNUM, LOWER, steps, word_hashes, word_spans
 
 WINDOW = 13
@@ -179,20 +182,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     words = b.agg(F.sum(F.length("text") / 2)).first()[0] or 0
     blocks = max(1, -(-int(words) // (block_words * 3)))
-    out, carried = docs, False
-    for k in range(blocks):
+
+    def sent(k: int):
+        """The k-th block's words and join tables, in all tasks."""
         mine = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else b
         known, spelled, windows = block_windows([(r[0], r[1]) for r in mine.collect()])
         order = np.argsort(known).astype(np.int32)
-        vocabulary = spark.sparkContext.broadcast((known[order], order, spelled))
         counts = corpus_counts(docs, text, spark.sparkContext.broadcast((known[order], order))) if windows else {}
-        tables = spark.sparkContext.broadcast(join_tables(windows, counts) if windows else None)
-        last = k == blocks - 1
-        hold = kept if last else [*kept, *([text] if text not in kept else [])]
-        out = scan(out, hold, text, vocabulary, tables, carried)
-        carried = True
-        if not last:
-            out = written(out, "op5-block")
+        return spark.sparkContext.broadcast((known[order], order, spelled)), spark.sparkContext.broadcast(join_tables(windows, counts) if windows else None)
+
+    if blocks == 1:
+        out = scan(docs, kept, text, *sent(0), False)
+    else:  # what a text holds depends on the text alone: hits of earlier blocks are kept by its hash
+        key, before = ["__h1", "__h2"], written_so_far()
+        t = quoted(text).cast("string")
+        keyed = docs.select(*[quoted(c) for c in kept], t.alias("__text"), F.xxhash64(t).alias("__h1"), F.xxhash64(F.lit(1), t).alias("__h2"))
+        found = [written(scan(keyed, key, "__text", *sent(k), False).where("size(hits) > 0").drop("n_words").dropDuplicates(key), "op5-found") for k in range(blocks - 1)]
+        held = reduce(DataFrame.unionByName, found).groupBy(*key).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("item_ids")).alias("item_ids"))
+        held = written(held, "op5-held")
+        drop_since(spark, before | {held.written_path})
+        some = Filter(held, "__h1", spark)
+        met = passing(keyed, F.col("__h1"), some).join(held, key, "left")
+        rest = passing(keyed, F.col("__h1"), some, missing=True).withColumns({c: F.lit(None).cast(held.schema[c].dataType) for c in ("hits", "item_ids")})
+        out = scan(met.unionByName(rest), kept, "__text", *sent(blocks - 1), True)
     hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["first"])
     return out.withColumn("n_hit", hit).withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
 
