@@ -202,6 +202,20 @@ def ensure_permissions(held: DataFrame, defaults: DataFrame, always: DataFrame)
     return insert_missing(seeded, always, ["role", "key"])
 
 
+def role_permissions(held: DataFrame, defaults: DataFrame, roles: list[str]) -> DataFrame:
+    """R-1: role, permissions (distinct keys in order): the held rows of known roles; where none are held at all, the defaults. A role without rows has none."""
+    seeded = held.agg(F.count(F.lit(1)).alias("held"))  # one row
+    fallback = defaults.crossJoin(F.broadcast(seeded)).where("held = 0").select("role", "key")
+    by = held.select("role", "key").unionByName(fallback).groupBy("role").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    known = held.sparkSession.createDataFrame([(k, r) for k, r in enumerate(roles)], "position int, role string")
+    return known.join(by, "role", "left").select("role", "position", F.coalesce(F.concat_ws(",", "keys"), F.lit("")).alias("permissions"))
+
+
+def create_definitions(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """RS-15: definitions (name, is_preset and others) with those asked for, which are never presets, whatever they say."""
+    return held.unionByName(asked.withColumn("is_preset", F.lit(False)))
+
+
 def gate_completion(tasks: DataFrame, asked: Column, may_approve: bool, now: Column) -> DataFrame:
     """M-3: without the permission, Complete becomes Pending Review; the completion stamp follows the status."""
     status = asked if may_approve else F.when(asked == "Complete", "Pending Review").otherwise(asked)

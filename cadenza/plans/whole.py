@@ -532,3 +532,124 @@ def v_30_live_summary(s, d):
 def st_4_rate_limit_day(s, d):
     """ST-4 with a limit of one a day, which these tables exceed."""
     return A.over_limit(E.events(s, d).select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")), 1, 86_400)
+
+
+# --- permissions, definitions, project detail ---------------------------------------------
+
+
+#: Roles with their permissions where no rows are held. admin and vp have all but impersonation.
+ALL_KEYS = [
+    "impersonate_users", "manage_users", "manage_permissions", "view_audit_log", "manage_access_requests", "manage_invitations", "manage_groups", "assign_tasks",
+    "approve_completion", "edit_initiatives", "delete_initiatives", "manage_targets", "view_reports", "run_reports", "manage_metrics", "manage_integrations",
+]
+ROLE_DEFAULTS = {
+    "member": [],
+    "lead": ["edit_initiatives", "assign_tasks", "approve_completion", "view_reports", "manage_integrations"],
+    "admin": [k for k in ALL_KEYS if k != "impersonate_users"],
+    "vp": [k for k in ALL_KEYS if k != "impersonate_users"],
+    "super_admin": ALL_KEYS,
+    "observer": ["view_reports", "run_reports", "view_audit_log"],
+}
+HELD = [("lead", "assign_tasks"), ("lead", "view_reports"), ("lead", "assign_tasks"), ("intern", "view_reports")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('empty', '{r}', {k}, '{','.join(sorted(keys))}'), ('held', '{r}', {k}, '{'assign_tasks,view_reports' if r == 'lead' else ''}')" for k, (r, keys) in enumerate(ROLE_DEFAULTS.items())) + ") v(table_state, role, position, permissions)")
+def r_1_role_permissions(s, d):
+    """R-1, V-26: each role's permissions, without held rows and with some; held rows of unknown roles count for none."""
+    kind = "role string, key string"
+    defaults = s.createDataFrame([(r, k) for r, keys in ROLE_DEFAULTS.items() for k in keys], kind)
+    states = {"empty": s.createDataFrame([], kind), "held": s.createDataFrame(HELD, kind)}
+    parts = [M.role_permissions(held, defaults, list(ROLE_DEFAULTS)).withColumn("table_state", F.lit(name)) for name, held in states.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT 'definition ' || o_orderkey AS name, o_orderkey % 5 = 0 AS is_preset, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS created FROM orders UNION ALL SELECT p_name, false, '1998-06-01' FROM part")
+def rs_15_created(s, d):
+    """Saved definitions with new ones, named by the parts, that ask to be presets; presets first, newest first."""
+    held = E.table(s, d, "orders").select(F.concat(F.lit("definition "), "o_orderkey").alias("name"), (F.col("o_orderkey") % 5 == 0).alias("is_preset"), F.col("o_orderdate").cast("date").cast("string").alias("created"))
+    asked = E.table(s, d, "part").select(F.col("p_name").alias("name"), F.lit(True).alias("is_preset"), E.now().cast("date").cast("string").alias("created"))
+    return M.create_definitions(held, asked).orderBy(F.col("is_preset").desc(), F.col("created").desc(), "name")
+
+
+@query("""SELECT r.project_id, code, area_id, c_name AS owner, n AS task_count, late AS overdue_count, b AS blocked_count, c AS complete_count, pct AS percent_complete, r.status, health, line_no, part_id, t.assignee_id, t.status AS task_status, priority, CAST(due_date AS VARCHAR) AS due_date, percent_complete AS task_percent
+  FROM rollup_ r LEFT JOIN customer ON c_custkey = owner_id LEFT JOIN tasks t ON t.project_id = r.project_id WHERE r.project_id = 7""")
+def v_4_project_with_tasks(s, d):
+    """V-4: project 7 with its rollup and owner on each row of its tasks, in order."""
+    t = E.tasks(s, d).where("project_id = 7")
+    r = A.project_rollup(E.projects_with_area(s, d).where("project_id = 7"), t, E.as_of())
+    r = r.select("project_id", "code", "area_id", F.col("owner_name").alias("owner"), "task_count", "overdue_count", "blocked_count", "complete_count", "percent_complete", "status", "health")
+    lines = t.select("project_id", "line_no", "part_id", "assignee_id", F.col("status").alias("task_status"), "priority", day("due_date"), F.col("percent_complete").alias("task_percent"))
+    return r.join(lines, "project_id", "left").orderBy("line_no", "part_id")
+
+
+# --- the board brief ------------------------------------------------------------------------
+
+
+CARDS = ["Tactics", "Tasks", "Avg completion", "Overdue", "Blocked", "Complete"]
+
+
+def cells(*values: str) -> str:
+    return "'<tr><td>' || " + " || '</td><td>' || ".join(values) + " || '</td></tr>'"
+
+
+BRIEF_TASK = cells("'line ' || line_no || ' of part ' || part_id", f"coalesce({SHOWN}, CAST(assignee_id AS VARCHAR))", "t.status", "percent_complete || '%'", f"CASE WHEN t.status <> 'Complete' AND due_date < {ASOF} THEN '<b>' || due_date || '</b>' ELSE CAST(due_date AS VARCHAR) END", "coalesce(CAST(CAST(completed_at AS DATE) AS VARCHAR), '—')")
+SHOWN_BY_USER = SHOWN.replace("user_id", "u.user_id")
+BRIEF_KPI = cells(f"coalesce({SHOWN_BY_USER}, CAST(c.user_id AS VARCHAR))", "c.count", "c.target", "CASE WHEN c.count >= c.target THEN '✓ On target' ELSE 'Behind' END", "coalesce(e.source, '—')")
+BRIEF_KEY = "'P' || lpad(CAST(project_id % 7 + 1 AS VARCHAR), 20, '0') || '-' || lpad(CAST(project_id AS VARCHAR), 20, '0')"
+
+
+@query(f""", g AS (SELECT (SELECT count(*) FROM projects) AS p, count(*) AS n, coalesce(CAST(floor(avg(percent_complete) + 0.5) AS BIGINT), 0) AS pct, count(*) FILTER (status <> 'Complete' AND due_date < {ASOF}) AS late, count(*) FILTER (status = 'Blocked') AS b, count(*) FILTER (status = 'Complete') AS c FROM tasks),
+  k AS (SELECT unnest(range(6)) AS i, unnest({CARDS}) AS label, unnest([CAST(p AS VARCHAR), CAST(n AS VARCHAR), pct || '%', CAST(late AS VARCHAR), CAST(b AS VARCHAR), CAST(c AS VARCHAR)]) AS value FROM g),
+  s AS (SELECT event_type AS metric, user_id, CAST(date_trunc('week', ts) AS DATE) AS period_start, (['manual', 'salesforce'])[max(event_id) % 2 + 1] AS source FROM events GROUP BY 1, 2, 3)
+  SELECT 0 AS part, CAST(i AS VARCHAR) AS key, '' AS project_key, '' AS line, '<div>' || CASE WHEN i IN (3, 4) AND value <> '0' THEN '<b>' || value || '</b>' ELSE value END || ' ' || label || '</div>' AS html FROM k
+  UNION ALL SELECT 1, CAST(a.area_id AS VARCHAR), '', '', '<h2>' || any_value(area_name) || '</h2>' || coalesce('<p>Progress: ' || any_value(current_numeric) || CASE WHEN any_value(target_numeric) <> 0 THEN ' / ' || any_value(target_numeric) || ' (' || any_value({share("current_numeric", "target_numeric")}) || '%)' ELSE '' END || '</p>', '')
+    || '<p>' || count(r.project_id) || ' tactics · ' || coalesce(sum(n), 0) || ' tasks · ' || CASE WHEN coalesce(sum(n), 0) = 0 THEN 0 ELSE CAST(floor(sum(r.s) / sum(n) + 0.5) AS BIGINT) END || '% complete</p>'
+    FROM areas a LEFT JOIN targets t ON t.area_id = a.area_id LEFT JOIN rollup_ r ON r.area_id = a.area_id GROUP BY a.area_id
+  UNION ALL SELECT 1, CAST(area_id AS VARCHAR), {BRIEF_KEY}, '', '<h3>' || code || ' — ' || coalesce(c_name, '') || ' · ' || status || ' · ' || pct || '% · ' || n || ' tasks' || CASE WHEN late > 0 THEN ' · <b>' || late || ' overdue</b>' ELSE '' END || '</h3>'
+    FROM rollup_ JOIN areas USING (area_id) LEFT JOIN customer ON c_custkey = owner_id
+  UNION ALL SELECT 1, CAST(area_id AS VARCHAR), {BRIEF_KEY}, coalesce(CAST(due_date AS VARCHAR), '9999') || ' ' || line_no || ' ' || part_id, {BRIEF_TASK} FROM tasks t JOIN projects USING (project_id) JOIN areas USING (area_id) LEFT JOIN users ON user_id = assignee_id
+  UNION ALL SELECT 2, metric, '', '', '<h3>' || metric || ' (target ' || any_value(target) || '/wk)</h3>' FROM current GROUP BY metric
+  UNION ALL SELECT 2, c.metric, '', coalesce({SHOWN_BY_USER}, CAST(c.user_id AS VARCHAR)) || ' ' || c.user_id, {BRIEF_KPI} FROM current c LEFT JOIN users u ON u.user_id = c.user_id LEFT JOIN s e ON e.metric = c.metric AND e.user_id = c.user_id AND e.period_start = c.period_start""")
+def v_19_brief(s, d):
+    """V-19, K-5: the board brief as lines of HTML in order: totals, areas with their tactics and tasks, the week's scorecard.
+
+    A line is a row, so that a brief of any size is written by the executors; `part`, `key`, `project_key` and `line` are its place.
+    The tables have no goals, units, descriptions or block notes.
+    """
+    text, num = F.lit, lambda c: F.col(c).cast("string")
+    row = lambda *cs: F.concat(text("<tr><td>"), F.concat_ws("</td><td>", *cs), text("</td></tr>"))
+    bold = lambda c, cond: F.when(cond, F.concat(text("<b>"), c, text("</b>"))).otherwise(c)
+    at = lambda part, key, project, line, html: (text(part).alias("part"), key.cast("string").alias("key"), project.alias("project_key"), line.alias("line"), html.alias("html"))
+    none, tasks = text(""), E.tasks(s, d)
+    late = X.overdue(F.col("status"), F.col("due_date"), E.as_of())
+    n = F.count(F.lit(1))
+    one = tasks.agg(n.alias("v1"), F.coalesce(X.round_half_up(F.avg("percent_complete")), F.lit(0)).alias("v2"), F.count_if(late).alias("v3"), F.count_if(F.col("status") == "Blocked").alias("v4"), F.count_if(F.col("status") == "Complete").alias("v5"))
+    one = one.crossJoin(E.projects(s, d).agg(n.alias("v0")))  # one row each
+    card = lambda k: F.concat(text("<div>"), bold(F.concat(num(f"v{k}"), text("%" if k == 2 else "")), F.lit(k in (3, 4)) & (F.col(f"v{k}") != 0)), text(f" {CARDS[k]}</div>"))
+    cards = one.select(F.posexplode(F.array(*(card(k) for k in range(6)))).alias("k", "html"))
+    r = rollup_with_area(s, d)
+    areas = A.area_rollup(E.focus_areas(s, d), r).join(E.targets(s, d).select("area_id", "current_numeric", "target_numeric"), "area_id", "left")
+    goal = F.when(F.col("target_numeric") != 0, F.concat(text(" / "), num("target_numeric"), text(" ("), X.percent(F.col("current_numeric"), F.col("target_numeric")).cast("string"), text("%)"))).otherwise("")
+    goal = F.when(F.col("current_numeric").isNotNull(), F.concat(text("<p>Progress: "), num("current_numeric"), goal, text("</p>"))).otherwise("")
+    area = F.concat(text("<h2>"), X.html_text(F.col("area_name")), text("</h2>"), goal, text("<p>"), num("project_count"), text(" tactics · "), num("task_count"), text(" tasks · "), num("percent_complete"), text("% complete</p>"))
+    known = E.focus_areas(s, d).select("area_id")
+    more = F.when(F.col("overdue_count") > 0, F.concat(text(" · <b>"), num("overdue_count"), text(" overdue</b>"))).otherwise("")
+    head = F.concat(text("<h3>"), X.html_text(F.col("code")), text(" — "), X.html_text(F.col("owner_name")), text(" · "), F.col("status"), text(" · "), num("percent_complete"), text("% · "), num("task_count"), text(" tasks"), more, text("</h3>"))
+    of = E.projects_with_area(s, d).join(known, "area_id").select("project_id", "area_id", X.natural_key(F.col("code")).alias("project_key"))
+    shown = shown_users(s, d).select("user_id", "shown")
+    lines = tasks.join(of, "project_id").join(shown.withColumnRenamed("user_id", "assignee_id"), "assignee_id", "left")
+    due = F.coalesce(num("due_date"), text("—"))
+    task = row(F.concat(text("line "), num("line_no"), text(" of part "), num("part_id")), X.html_text(F.coalesce("shown", num("assignee_id"))), F.col("status"), F.concat(num("percent_complete"), text("%")), bold(due, late), F.coalesce(F.to_date("completed_at").cast("string"), text("—")))
+    week = filled(s, d).where(F.col("period_start") == X.monday(E.kpi_now()))
+    kpi = week.join(shown, "user_id", "left").withColumn("shown", F.coalesce("shown", num("user_id")))
+    title = F.concat(text("<h3>"), X.html_text(F.col("metric")), text(" (target "), num("target"), text("/wk)</h3>"))
+    score = row(X.html_text(F.col("shown")), num("count"), num("target"), F.when(F.col("count") >= F.col("target"), "✓ On target").otherwise("Behind"), X.html_text(F.coalesce("source", text("—"))))
+    parts = [
+        cards.select(*at(0, F.col("k"), none, none, F.col("html"))),
+        areas.select(*at(1, F.col("area_id"), none, none, area)),
+        r.join(known, "area_id").select(*at(1, F.col("area_id"), X.natural_key(F.col("code")), none, head)),
+        lines.select(*at(1, F.col("area_id"), F.col("project_key"), F.concat_ws(" ", F.coalesce(num("due_date"), text("9999")), num("line_no"), num("part_id")), task)),
+        week.groupBy("metric").agg(F.any_value("target").alias("target")).select(*at(2, F.col("metric"), none, none, title)),
+        kpi.select(*at(2, F.col("metric"), none, F.concat_ws(" ", "shown", num("user_id")), score)),
+    ]
+    return reduce(DataFrame.unionByName, parts).orderBy("part", "key", "project_key", "line")

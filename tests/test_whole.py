@@ -3,7 +3,8 @@
 import collections
 import re
 
-from cadenza.plans import views
+from cadenza.plans import views, whole
+from cadenza.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,18 @@ def test_drill_down_is_an_outline_of_all_tasks(spark):
             assert due <= r["due"]
             due = r["due"]
     assert "drill_down" in views.sheets(spark, SF)
+
+
+def test_brief_is_written_in_order(spark, tmp_path):
+    brief = whole.v_19_brief(spark, SF)
+    sinks.write_lines(brief, "html", str(tmp_path / "brief"))
+    got = [line for f in sorted((tmp_path / "brief").glob("part-*")) for line in f.read_text().splitlines()]
+    assert got == [r["html"] for r in brief.collect()]
+    assert got[0].endswith("Tactics</div>") and got[6].startswith("<h2>AFRICA") and got[7].startswith("<h3>P1-")
+    assert sum(line.startswith("<h2>") for line in got) == 5
+
+
+def test_created_definitions_are_never_presets(spark):
+    out = whole.rs_15_created(spark, SF)
+    assert out.where("created = '1998-06-01' AND is_preset AND name NOT LIKE 'definition %'").count() == 0
+    assert out.count() == sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("orders", "part"))
