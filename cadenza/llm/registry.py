@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from . import op1_quality_classifier as op1
 from . import op10_repeats as op10
+from . import op11_importance_resampling as op11
+from . import op12_secret_scans as op12
+from . import op13_fill_in_middle as op13
 from . import op2_line_dedup as op2
 from . import op3_licenses as op3
 from . import op4_warc as op4
@@ -28,8 +31,11 @@ def queries() -> dict[str, Callable]:
         "op8_quality_rules": op8.op8_quality_rules,
         "op9_url_filters": op9.op9_url_filters,
         "op10_repeats": op10.op10_repeats,
+        "op11_importance_resampling": op11.op11_importance_resampling,
+        "op12_secret_scans": op12.op12_secret_scans,
+        "op13_fill_in_middle": op13.op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": op2.SQL, "op4_warc": op4.SQL, "op7_near_dedup": op7.SQL, "op5_decontamination": op5.SQL, "op9_url_filters": op9.SQL, "op10_repeats": op10.SQL}
+    return {"op2_line_dedup": op2.SQL, "op4_warc": op4.SQL, "op7_near_dedup": op7.SQL, "op5_decontamination": op5.SQL, "op9_url_filters": op9.SQL, "op10_repeats": op10.SQL, "op11_importance_resampling": op11.SQL, "op12_secret_scans": op12.SQL, "op13_fill_in_middle": op13.SQL}
