@@ -175,8 +175,9 @@ def test_secrets_are_those_of_brute_force(docs, texts):
 
 def test_models_tell_random_from_ordinary(spark, docs):
     """Held-out tokens: random ones of both letters and digits are found, identifiers are not."""
-    names = ["get_user_account_by_email", "internationalization-settings", "maximum_number_of_retries", "HttpConnectionTimeoutException", "default/configuration/directory"]
-    made = spark.createDataFrame([(k, " ".join([f"{a}_{b}" for b in ("user", "account", "timeout", "default", "maximum", "number", "connection", "internationalization", "settings", "Exception", "Http", "configuration", "directory", "retries")])) for k, a in enumerate(["get", "set", "by_email", "of", "directory"] * 6)], "doc_id bigint, text string")
+    names = ["get_user_account_by_email", "international-user-settings", "maximum_number_of_retries", "directory/of/default/timeouts", "settings_of_connections_by_email"]
+    more = [*NAMES, "get", "set", "by_email", "of", "international", "number"]
+    made = spark.createDataFrame([(k, " ".join(f"{a}{sep}{b}{sep}{c}" for b in more for c in more for sep in "_-/")) for k, a in enumerate(more)], "doc_id bigint, text string")
     model = op12.train(op12.samples(made))
     rng = random.Random(4)
     keys = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=24)) for _ in range(50)]
