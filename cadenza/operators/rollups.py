@@ -143,8 +143,3 @@ def marketing_totals(campaigns: DataFrame) -> DataFrame:
     out = campaigns.agg(*(F.sum(c).alias(c) for c in ("sends", "opens", "clicks")), F.sum(X.money("influenced_pipeline")).cast("double").alias("influenced"))
     return out.withColumns({"open_rate": X.percent(F.col("opens"), F.col("sends")), "click_rate": X.percent(F.col("clicks"), F.col("sends"))})
 
-
-def over_limit(events: DataFrame, most: int, seconds: int) -> DataFrame:
-    """ST-4: events (event_id, user_id, at in seconds) beyond `most` of their user in the seconds up to each."""
-    w = Window.partitionBy("user_id").orderBy("at").rangeBetween(1 - seconds, 0)
-    return events.withColumn("hits", F.count(F.lit(1)).over(w)).where(F.col("hits") > most).select("event_id", "user_id", "hits")

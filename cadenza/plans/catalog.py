@@ -682,11 +682,3 @@ def r_2_viewer_tasks(s, d):
 def st_1_weekly_windows(s, d):
     """Tumbling Monday weeks."""
     return E.events(s, d).groupBy(F.window("ts", "7 days", "7 days", "4 days").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("date").cast("string").alias("week"), "event_type", "n")
-
-
-@query
-def st_4_rate_limit(s, d):
-    """Events of a user beyond five in the hour up to each."""
-    w = Window.partitionBy("user_id").orderBy("at").rangeBetween(-3599, 0)
-    e = E.events(s, d).select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
-    return e.withColumn("hits", F.count(F.lit(1)).over(w)).where("hits > 5").select("event_id", "user_id", "hits")

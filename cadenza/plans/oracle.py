@@ -176,7 +176,6 @@ BODIES = {
     "m_6_kpi_audit": "SELECT metric, user_id, CAST(period_start AS VARCHAR) AS period_start, old_count, new_count FROM audit WHERE old_count IS NULL OR old_count <> new_count",
     "r_2_viewer_tasks": "SELECT 'member' AS role, 6 AS viewer, status, count(*) AS n FROM tasks WHERE assignee_id = 6 OR blocked_by_id = 6 GROUP BY 3 UNION ALL SELECT 'admin', 2, status, count(*) FROM tasks GROUP BY 3",
     "st_1_weekly_windows": "SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    "st_4_rate_limit": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS hits FROM events QUALIFY hits > 5",
 }
 
 SQL = {name: f"WITH {BASE} {body}" for name, body in BODIES.items()}

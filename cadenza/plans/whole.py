@@ -528,12 +528,6 @@ def v_30_live_summary(s, d):
     return columns.unionByName(lacking).unionByName(extra).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS hits FROM events QUALIFY hits > 1")
-def st_4_rate_limit_day(s, d):
-    """ST-4 with a limit of one a day, which these tables exceed."""
-    return A.over_limit(E.events(s, d).select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")), 1, 86_400)
-
-
 # --- permissions, definitions, project detail ---------------------------------------------
 
 

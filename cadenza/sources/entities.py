@@ -176,6 +176,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' files as a stream; a pattern, since a stream takes a plain path for a folder."""
+    return spark.readStream.schema(events(spark, sf_dir).schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
 def metric_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly counts of events by type and user: metric, user, Monday."""
     e = events(spark, sf_dir).select(F.col("event_type").alias("metric"), "user_id", monday("ts").alias("period_start"), "event_id")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import csv_cell, html_text
@@ -39,3 +42,13 @@ def html_table(df: DataFrame, columns: list[tuple[str, str]], most: int = 500) -
 def write_lines(df: DataFrame, column: str, path: str) -> None:
     """K-5: one column of an ordered DataFrame as text files, written by the executors: files in order of their names hold the lines in order."""
     df.select(column).write.mode("overwrite").text(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below spark.checkpoint.dir, which all executors share; where that is unset, a local master (as in tests) uses the temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{tempfile.gettempdir()}/cadenza-shared"
+    return f"{base.rstrip('/')}/cadenza/{name}-{uuid.uuid4().hex}"

@@ -5,10 +5,12 @@ import re
 import duckdb
 import pytest
 
-from cadenza.plans import catalog, oracle, views, whole
+from cadenza.plans import catalog, oracle, services, views, whole
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = catalog.QUERIES | views.QUERIES | whole.QUERIES, oracle.SQL | views.SQL | whole.SQL
+QUERIES, SQL = catalog.QUERIES | views.QUERIES | whole.QUERIES | services.QUERIES, oracle.SQL | views.SQL | whole.SQL | services.SQL
+#: A fold over ordered rows, and a source of its own.
+PYTHON = {"st_4_rate_limit"}
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
@@ -28,14 +30,14 @@ def plain(v):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
-    assert len(QUERIES) == len(catalog.QUERIES) + len(views.QUERIES) + len(whole.QUERIES)
+    assert len(QUERIES) == len(catalog.QUERIES) + len(views.QUERIES) + len(whole.QUERIES) + len(services.QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     got = df.select(*sorted(df.columns))
-    assert not re.search("BatchEvalPython|ArrowEvalPython|MapIn", got._jdf.queryExecution().executedPlan().toString())
+    assert name in PYTHON or not re.search("BatchEvalPython|ArrowEvalPython|MapIn", got._jdf.queryExecution().executedPlan().toString())
     cur = duck.execute(SQL[name])
     names = [x[0] for x in cur.description]
     rows = cur.fetchall()

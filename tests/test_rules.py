@@ -70,11 +70,6 @@ def test_kpi_upsert_rules(spark):
     assert [(r["user_id"], r["old_count"], r["new_count"]) for r in audit.collect()] == [(5, 0, 1)]
 
 
-def test_rate_limit(spark):
-    e = spark.createDataFrame([(k, 1, 600 * k) for k in range(8)] + [(9, 2, 0)], "event_id int, user_id int, at bigint")
-    assert sorted(tuple(r) for r in A.over_limit(e, 5, 3600).collect()) == [(5, 1, 6), (6, 1, 6), (7, 1, 6)]
-
-
 @pytest.mark.parametrize("name", ["a_1_group_members", "a_4_project_rollup", "a_7_portfolio", "a_10_cover", "j_8_nested_tasks", "v_2_needs_attention"])
 def test_project_queries_read_no_customers(spark, name):
     found = [k for k in catalog.QUERIES | views.QUERIES if k.startswith(name.rsplit("_", 1)[0]) or k == name]
