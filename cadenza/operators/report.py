@@ -161,6 +161,69 @@ def run_report(tables: dict[str, DataFrame], spec: Spec) -> DataFrame:
     return ordered.select(*(d for d in spec.dimensions if d not in found), *(F.col(inner[k]).alias(k) for k in found))
 
 
+def run_reports(tables: dict[str, DataFrame], specs: dict[str, Spec]) -> DataFrame:
+    """Many reports, each source list read once: report, dims (values in the specification's order, as text) and metrics.
+
+    Reports over equal sources share one aggregate with a grouping set for each list of dimensions. Where
+    their filters differ, the scan takes the rows of any and each metric its own; a group without a row of a
+    report's own is not in it. Equal metrics are computed once. `report_rows` gives one report as run_report does.
+    """
+    groups: dict[tuple, dict[str, Spec]] = {}
+    for name, spec in specs.items():
+        groups.setdefault(tuple(spec.sources), {})[name] = spec
+    return reduce(DataFrame.unionByName, [one_pass(tables, list(sources), group) for sources, group in groups.items()])
+
+
+def one_pass(tables: dict[str, DataFrame], sources: list[str], specs: dict[str, Spec]) -> DataFrame:
+    df = union_sources(tables, sources)
+    conditions: dict[str, Column] = {}
+    for spec in specs.values():
+        conditions.setdefault(repr(spec.filters), reduce(lambda a, b: a & b, (condition(df, f) for f in spec.filters), F.lit(True)))
+    flags = {key: f"__f{k}" for k, key in enumerate(conditions)}
+    dims = list(dict.fromkeys(d for spec in specs.values() for d in spec.dimensions))
+    cells = {d: f"__d{k}" for k, d in enumerate(dims)}
+    wanted = list(dict.fromkeys((m.agg, m.field if m.agg != "count" else None, repr(s.filters)) for s in specs.values() for m in s.metrics))
+    fields = {f: f"__x{k}" for k, f in enumerate(dict.fromkeys(f for a, f, _ in wanted if a != "count"))}
+    exact = {f: df.schema[f].dataType if f in df.columns and isinstance(df.schema[f].dataType, T.DecimalType) else None for f in fields}
+    seen = df.where(reduce(lambda a, b: a | b, conditions.values())).select(
+        *(c.alias(flags[k]) for k, c in conditions.items()),
+        *((F.col(d).cast("string") if d in df.columns else F.lit(None).cast("string")).alias(n) for d, n in cells.items()),
+        *((F.col(f).cast(T.DecimalType(38, exact[f].scale)) if exact[f] else as_number(df, f)).alias(n) for f, n in fields.items()),
+    )
+
+    def value(agg: str, field: str | None, key: str) -> Column:
+        n = F.count_if(F.col(flags[key]))
+        if agg == "count":
+            return n.cast("double")
+        total = F.coalesce(F.sum(F.when(F.col(flags[key]), F.col(fields[field]))).cast("double"), F.lit(0.0))
+        return total if agg == "sum" else F.when(n > 0, total / n)
+
+    made = [value(*w).alias(f"__m{k}") for k, w in enumerate(wanted)]
+    made += [F.count_if(F.col(f)).alias(f"__n{f}") for f in flags.values()]
+    sets = list(dict.fromkeys(tuple(spec.dimensions) for spec in specs.values()))
+    if dims:
+        grouped = seen.groupingSets([[F.col(cells[d]) for d in s] for s in sets], *(F.col(c) for c in cells.values())).agg(F.grouping_id().alias("__set"), *made)
+    else:
+        grouped = seen.groupBy(F.lit(0).cast("bigint").alias("__set")).agg(*made)
+
+    def one(name: str, spec: Spec) -> Column:
+        left_out = sum(1 << (len(dims) - 1 - k) for k, d in enumerate(dims) if d not in spec.dimensions)
+        key = repr(spec.filters)
+        values = F.array(*(F.col(f"__m{wanted.index((m.agg, m.field if m.agg != 'count' else None, key))}") for m in spec.metrics))
+        row = F.struct(F.lit(name).alias("report"), F.array(*(F.col(cells[d]) for d in spec.dimensions)).cast("array<string>").alias("dims"), values.alias("metrics"))
+        return F.when((F.col("__set") == left_out) & (F.col(f"__n{flags[key]}") > 0), row)
+
+    return grouped.select(F.explode(F.array_compact(F.array(*(one(n, s) for n, s in specs.items())))).alias("r")).select("r.*")
+
+
+def report_rows(reports: DataFrame, name: str, spec: Spec) -> DataFrame:
+    """One report's rows of run_reports, in order, under the specification's keys; dimensions are text."""
+    at = lambda c, k: F.element_at(c, k + 1)
+    mine = reports.where(F.col("report") == name).orderBy(at("metrics", 0).desc(), *(at("dims", k).asc_nulls_first() for k in range(len(spec.dimensions))))
+    metrics = {metric_key(m, i)[0]: at("metrics", i) for i, m in enumerate(spec.metrics)}
+    return mine.select(*(at("dims", k).alias(d) for k, d in enumerate(spec.dimensions) if d not in metrics), *(c.alias(k) for k, c in metrics.items()))
+
+
 # The four presets.
 PRESETS = {
     "pipeline_by_stage": Spec(["opportunities"], [Metric("sum", "amount", "value")], ["stage_canonical"]),

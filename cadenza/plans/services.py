@@ -5,10 +5,14 @@ Each takes (spark, sf_dir) and reads whole tables. Those that run a stream or wr
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import report as R
+from ..sources import crm
 from ..sources import entities as E
 from ..sources import sinks
 from ..streaming import edits as D
@@ -125,3 +129,45 @@ def st_2_edit_stream(s, d):
     stream = edited(E.event_stream(s, d))
     D.edits_into(stream, overrides(s), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
     return shown_edits(s.read.parquet(f"{path}/rows"))
+
+
+# --- the connector seam --------------------------------------------------------------------
+
+
+def of_all(s, d, listed) -> DataFrame:
+    return reduce(DataFrame.unionByName, [listed(crm.Adapter(s, d, x)) for x in crm.SYSTEMS])
+
+
+@query("SELECT id, source_system, name, account_id, owner_name, CAST(amount AS DOUBLE) AS amount, stage_canonical, CAST(close_date AS VARCHAR) AS close_date FROM opps WHERE stage_canonical = 'Proposal'")
+def s_11_list_opportunities(s, d):
+    """Both systems' opportunities of a stage, by the data source."""
+    out = of_all(s, d, lambda a: a.opportunities("Proposal"))
+    return out.withColumns({"amount": F.col("amount").cast("double"), "close_date": F.col("close_date").cast("string")})
+
+
+@query("SELECT id, source_system, name, channel, type, sends, opens, clicks, CAST(influenced_pipeline AS DOUBLE) AS influenced_pipeline FROM camps")
+def s_11_list_campaigns(s, d):
+    return of_all(s, d, lambda a: a.campaigns()).withColumn("influenced_pipeline", F.col("influenced_pipeline").cast("double"))
+
+
+@query("SELECT event_id AS id, (['salesforce', 'hubspot'])[event_id % 2 + 1] AS source_system, event_id % 200 AS campaign_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS sent_at FROM events WHERE event_id % 200 = 7")
+def s_11_list_email_activity(s, d):
+    return of_all(s, d, lambda a: a.email_activity(7)).withColumn("sent_at", F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("SELECT id, source_system, name, stage_canonical FROM opps WHERE id = 7 AND source_system = 'hubspot'")
+def s_11_get_opportunity(s, d):
+    return crm.Adapter(s, d, "hubspot").opportunity(7).select("id", "source_system", "name", "stage_canonical")
+
+
+# --- reports over one scan ------------------------------------------------------------------
+
+
+@query(
+    "SELECT 'pipeline_by_stage' AS report, stage_canonical AS dim, CAST(sum(coalesce(amount, 0)) AS DOUBLE) AS value FROM opps GROUP BY 2 UNION ALL SELECT 'pipeline_by_source', source_system, CAST(sum(coalesce(amount, 0)) AS DOUBLE) FROM opps GROUP BY 2 "
+    "UNION ALL SELECT 'open_by_owner', owner_name, CAST(count(*) AS DOUBLE) FROM opps WHERE stage_canonical NOT IN ('Closed Won', 'Closed Lost') GROUP BY 2 UNION ALL SELECT 'influenced_pipeline', channel, CAST(sum(coalesce(influenced_pipeline, 0)) AS DOUBLE) FROM camps GROUP BY 2"
+)
+def rs_17_presets(s, d):
+    """The four presets, each source read once."""
+    tables = {"opportunities": E.opportunities(s, d), "campaigns": E.campaigns(s, d)}
+    return R.run_reports(tables, R.PRESETS).select("report", F.get("dims", F.lit(0)).alias("dim"), F.get("metrics", F.lit(0)).alias("value"))

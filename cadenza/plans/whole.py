@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import maintain as M
+from ..operators import report as R
 from ..operators import rollups as A
 from ..sources import entities as E
 from .catalog import day, filled, rollup_with_area
@@ -249,22 +250,15 @@ def rs_16_catalogue(s, d):
     return s.createDataFrame(offered, "source string, kind string, position int, field string")
 
 
-def task_report(tasks: DataFrame, dimension: str, agg: str, field: str | None = None) -> DataFrame:
-    """A-34: count, sum or avg of a field by one dimension, null as a dash, two decimals, greatest first."""
-    x = F.coalesce(F.col(field).cast("double"), F.lit(0.0)) if field else F.lit(1.0)
-    value = {"count": F.count(F.lit(1)).cast("double"), "sum": F.sum(x), "avg": F.avg(x)}[agg]
-    by = tasks.groupBy(F.coalesce(F.col(dimension).cast("string"), F.lit("—")).alias("dim")).agg(value.alias("v"))
-    return by.select("dim", X.round2(F.col("v")).alias("value")).orderBy(F.col("value").desc(), "dim")
-
-
 DIMENSIONS = ["status", "priority", "assignee_id", "blocked_by_id"]
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS dimension, '{a}' AS agg, coalesce(CAST({c} AS VARCHAR), '—') AS dim, floor({e} * 100 + 0.5) / 100 AS value FROM tasks GROUP BY {c}" for c in DIMENSIONS for a, e in (("count", "CAST(count(*) AS DOUBLE)"), ("sum", "CAST(sum(percent_complete) AS DOUBLE)"), ("avg", "avg(percent_complete)"))))
 def a_34_task_reports(s, d):
-    """Every dimension with every aggregate."""
-    parts = [task_report(E.tasks(s, d), c, a, None if a == "count" else "percent_complete").select(F.lit(c).alias("dimension"), F.lit(a).alias("agg"), "dim", "value") for c in DIMENSIONS for a in ("count", "sum", "avg")]
-    return reduce(DataFrame.unionByName, parts)
+    """Every dimension with every aggregate, null as a dash, two decimals: one scan, a grouping set for each dimension."""
+    specs = {c: R.Spec(["tasks"], [R.Metric("count"), R.Metric("sum", "percent_complete"), R.Metric("avg", "percent_complete")], [c]) for c in DIMENSIONS}
+    out = R.run_reports({"tasks": E.tasks(s, d)}, specs).select(F.col("report").alias("dimension"), F.coalesce(F.get("dims", F.lit(0)), F.lit("—")).alias("dim"), F.posexplode("metrics").alias("k", "v"))
+    return out.select("dimension", E.pick(["count", "sum", "avg"], F.col("k")).alias("agg"), "dim", X.round2(F.col("v")).alias("value"))
 
 
 MONEY = [(1, 0.0, "$0", "$0"), (2, 950.4, "$950", "$950.4"), (3, 1234.5, "$1,235", "$1.2K"), (4, 999950.0, "$999,950", "$1M"), (5, -2500000.0, "-$2,500,000", "-$2.5M"), (6, 3.2e9, "$3,200,000,000", "$3.2B"), (7, None, "—", "—"), (8, 12.0, "$12", "$12"), (9, 1000.0, "$1,000", "$1K")]
