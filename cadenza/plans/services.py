@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import pages as P
 from ..operators import report as R
 from ..sources import crm
 from ..sources import entities as E
@@ -171,3 +172,47 @@ def rs_17_presets(s, d):
     """The four presets, each source read once."""
     tables = {"opportunities": E.opportunities(s, d), "campaigns": E.campaigns(s, d)}
     return R.run_reports(tables, R.PRESETS).select("report", F.get("dims", F.lit(0)).alias("dim"), F.get("metrics", F.lit(0)).alias("value"))
+
+
+# --- pages and orders ------------------------------------------------------------------------
+
+
+def paged(s, df: DataFrame, columns: list[str]) -> P.Pages:
+    return P.Pages.write(df, columns, sinks.new_folder(s, "pages"), int(s.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ranked_opportunities(s, d) -> P.Pages:
+    """By source, then by id."""
+    o = E.opportunities(s, d).select("id", "source_system", "owner_name")
+    return paged(s, o.withColumn("rank", F.when(F.col("source_system") == E.SOURCES[0], 0).otherwise(1)), ["rank", "id"])
+
+
+@query("SELECT id, source_system FROM opps ORDER BY source_system = 'hubspot', id LIMIT 25 OFFSET 50")
+def o_12_seek_page(s, d):
+    """The third page, by the token of the second's last row."""
+    p = ranked_opportunities(s, d)
+    walk = p.walk()
+    next(walk)
+    return p.page(token=P.token_of(next(walk)[-1], p.columns)).select("id", "source_system")
+
+
+@query("SELECT id, owner_name FROM opps ORDER BY owner_name NULLS LAST, id LIMIT 40 OFFSET (SELECT count(owner_name) FROM opps) - 20")
+def o_12_seek_into_nulls(s, d):
+    """A page that begins twenty rows before the opportunities without owner."""
+    p = paged(s, E.opportunities(s, d).select("id", "owner_name"), ["owner_name", "id"])
+    last = p.rows().where("owner_name IS NOT NULL").orderBy(F.col("owner_name").desc(), F.col("id").desc()).limit(21).collect()[-1]
+    return p.page(40, P.token_of(last, p.columns)).select("id", "owner_name")
+
+
+@query("SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 25) AS BIGINT)) AS pages FROM opps")
+def v_20_page_totals(s, d):
+    """From the manifest alone."""
+    return ranked_opportunities(s, d).totals()
+
+
+@query("SELECT area_id, sort_order, project_id, code FROM projects LEFT JOIN areas USING (area_id)")
+def o_2_all_projects(s, d):
+    """All projects by their area's order, then by id; those of no area last."""
+    areas = E.focus_areas(s, d).select("area_id", "sort_order")
+    out = E.projects_with_area(s, d).join(areas, "area_id", "left").select("area_id", "sort_order", "project_id", "code")
+    return out.orderBy(F.col("sort_order").asc_nulls_last(), "project_id")
