@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import maintain as M
+from ..operators import merges as G
 from ..operators import pages as P
 from ..operators import report as R
 from ..sources import crm
@@ -18,6 +20,7 @@ from ..sources import entities as E
 from ..sources import sinks
 from ..streaming import edits as D
 from ..streaming import keyed as K
+from . import whole as W
 from .oracle import BASE
 
 QUERIES: dict[str, object] = {}
@@ -216,3 +219,92 @@ def o_2_all_projects(s, d):
     areas = E.focus_areas(s, d).select("area_id", "sort_order")
     out = E.projects_with_area(s, d).join(areas, "area_id", "left").select("area_id", "sort_order", "project_id", "code")
     return out.orderBy(F.col("sort_order").asc_nulls_last(), "project_id")
+
+
+# --- a batch of identity merges ----------------------------------------------------------------
+
+#: source, target, position: 4 goes into 5, which goes into 6.
+MERGES = [(4, 5, 1), (5, 6, 2), (8, 6, 3), (7, 9, 4)]
+
+
+def referring(s, d) -> tuple[dict, dict]:
+    """The tables with their nineteen user columns, and the two keyed ones, as far as the star schema feeds them."""
+    t, i, r = E.tasks(s, d).selectExpr("*", *W.MORE_IDS.split(", ")), E.invitations(s, d), E.access_requests(s, d)
+    entries = E.metric_entries(s, d).select("metric", "user_id", "period_start", "count")
+    week = F.dayofyear("period_start").cast("bigint")
+    return {
+        "tasks": (t, ["assignee_id", "blocked_by_id", "escalated_to_id", "escalated_by_id", "original_assignee_id", "resolved_by_id"]),
+        "task_attachments": (t.where("part_id % 5 = 0").select("project_id", "line_no", "part_id", F.col("assignee_id").alias("added_by_id")), ["added_by_id"]),
+        "groups": (E.group_members(s, d).select("group_id", (F.col("group_id") + 3).alias("created_by_id")).distinct(), ["created_by_id"]),
+        "kpi_audit_entries": (M.kpi_audit(entries).withColumn("changed_by_id", F.col("user_id") % 7 + 1), ["user_id", "changed_by_id"]),
+        "week_lock_overrides": (entries.select("period_start").distinct().withColumn("unlocked_by_id", week % 5 + 4), ["unlocked_by_id"]),
+        "focus_area_targets": (E.targets(s, d), ["updated_by_id"]),
+        "projects": (E.projects(s, d).withColumn("executive_owner_id", F.col("owner_id") % 20 + 1), ["executive_owner_id"]),
+        "invitations": (i.withColumns({"created_by_id": F.col("id") % 9 + 1, "accepted_by_user_id": F.when(F.col("status") == "accepted", F.col("target_user_id"))}), ["target_user_id", "created_by_id", "accepted_by_user_id"]),
+        "audit_log": (E.events(s, d).select("event_id", F.col("user_id").alias("actor_id")), ["actor_id"]),
+        "access_requests": (r, ["requester_user_id", "decided_by_id"]),
+    }, {"group_members": (t.select(F.col("project_id").alias("group_id"), F.col("assignee_id").alias("user_id")).distinct(), "user_id", ["group_id"]), "metric_entries": (entries, "user_id", ["metric", "period_start"])}
+
+
+def merged(s, d) -> G.Merged:
+    key = F.col("user_id")
+    logins = {"auth_subject": F.when(key % 2 == 0, F.concat(F.lit("s"), key)), "password_hash": F.when(key % 3 == 2, F.concat(F.lit("h"), key)), "password_set_at": F.when(key % 3 == 2, F.concat(F.lit("at"), key)), "profile_image_url": F.when(key % 4 == 0, F.concat(F.lit("i"), key))}
+    users = E.users(s, d).select("user_id", "is_active", "email").withColumns(logins)
+    refs, keyed = referring(s, d)
+    merges = s.createDataFrame(MERGES, "source bigint, target bigint, position int")
+    return G.merge_batch(users, merges, refs, keyed, [("password_hash", "password_set_at"), ("email",), ("auth_subject",), ("profile_image_url",)], ["email", "auth_subject", "password_hash", "password_set_at"])
+
+
+# rank: the order in which rows of accounts with one root stay; the root's own is 0.
+ROOTS = ", roots AS (SELECT * FROM (VALUES (5, 6, 1), (4, 6, 2), (8, 6, 3), (7, 9, 1)) v(user_id, root, rank))"
+TO = lambda c: f"coalesce((SELECT root FROM roots WHERE roots.user_id = {c}), {c})"
+MEMBERS = "(SELECT DISTINCT project_id AS group_id, assignee_id AS user_id FROM tasks)"
+
+
+def kept_rows(table: str, keys: str) -> str:
+    """Rows of a keyed table that stay, with their root and rank."""
+    return f"(SELECT x.*, coalesce(root, x.user_id) AS owner, coalesce(rank, 0) AS rank FROM {table} x LEFT JOIN roots ON roots.user_id = x.user_id QUALIFY coalesce(rank, 0) = min(coalesce(rank, 0)) OVER (PARTITION BY coalesce(root, x.user_id), {keys}))"
+
+
+COUNTED = {
+    **{f"tasks.{c}": (f"(SELECT *, {W.MORE_IDS} FROM tasks)", c) for c in ("assignee_id", "blocked_by_id", "escalated_to_id", "escalated_by_id", "original_assignee_id", "resolved_by_id")},
+    "task_attachments.added_by_id": ("(SELECT * FROM tasks WHERE part_id % 5 = 0)", "assignee_id"), "groups.created_by_id": ("(SELECT DISTINCT user_id % 5 + 3 AS c FROM users)", "c"),
+    "kpi_audit_entries.user_id": ("(SELECT * FROM audit WHERE old_count IS NULL OR old_count <> new_count)", "user_id"), "kpi_audit_entries.changed_by_id": ("(SELECT user_id % 7 + 1 AS c FROM audit WHERE old_count IS NULL OR old_count <> new_count)", "c"),
+    "week_lock_overrides.unlocked_by_id": ("(SELECT dayofyear(period_start) % 5 + 4 AS c FROM (SELECT DISTINCT period_start FROM entries))", "c"), "focus_area_targets.updated_by_id": ("targets", "updated_by_id"),
+    "projects.executive_owner_id": ("(SELECT owner_id % 20 + 1 AS c FROM projects)", "c"), "invitations.target_user_id": ("events", "user_id"), "invitations.created_by_id": ("(SELECT event_id % 9 + 1 AS c FROM events)", "c"),
+    "invitations.accepted_by_user_id": ("(SELECT user_id AS c FROM events WHERE event_id % 3 = 1)", "c"), "audit_log.actor_id": ("events", "user_id"), "access_requests.requester_user_id": ("events", "user_id"), "access_requests.decided_by_id": ("(SELECT user_id AS c FROM events WHERE event_id % 3 <> 0)", "c"),
+}
+
+
+@query(
+    ROOTS + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS column_name, count(*) AS moved FROM {table} t WHERE t.{c} IN (SELECT user_id FROM roots)" for name, (table, c) in COUNTED.items())
+    + f" UNION ALL SELECT 'group_members.user_id', count(*) FROM {kept_rows(MEMBERS, 'group_id')} WHERE rank > 0 UNION ALL SELECT 'metric_entries.user_id', count(*) FROM {kept_rows('entries', 'metric, period_start')} WHERE rank > 0) WHERE moved > 0"
+)
+def m_1_batch_counts(s, d):
+    """How many references of each of the 21 columns moved."""
+    return merged(s, d).moved()
+
+
+@query(f"{ROOTS} SELECT project_id, line_no, part_id, " + ", ".join(f"{TO('t.' + c)} AS {c}" for c in W.ROLES) + f" FROM (SELECT *, {W.MORE_IDS} FROM tasks) t")
+def m_1_batch_tasks(s, d):
+    return merged(s, d).tables["tasks"].select("project_id", "line_no", "part_id", *W.ROLES)
+
+
+@query(f"{ROOTS} SELECT metric, owner AS user_id, CAST(period_start AS VARCHAR) AS period_start, count FROM {kept_rows('entries', 'metric, period_start')}")
+def m_1_batch_entries(s, d):
+    return merged(s, d).tables["metric_entries"].select("metric", "user_id", F.col("period_start").cast("string").alias("period_start"), "count")
+
+
+@query(f"{ROOTS} SELECT group_id, owner AS user_id FROM {kept_rows(MEMBERS, 'group_id')}")
+def m_1_batch_members(s, d):
+    return merged(s, d).tables["group_members"].select("group_id", "user_id")
+
+
+OWN = "SELECT u.user_id, is_active, email, CASE WHEN u.user_id % 2 = 0 THEN 's' || u.user_id END AS auth_subject, CASE WHEN u.user_id % 3 = 2 THEN 'h' || u.user_id END AS password_hash, CASE WHEN u.user_id % 3 = 2 THEN 'at' || u.user_id END AS password_set_at, CASE WHEN u.user_id % 4 = 0 THEN 'i' || u.user_id END AS profile_image_url FROM users u"
+
+
+@query(f"""{ROOTS}, own AS ({OWN}), theirs AS (SELECT root AS user_id, {", ".join(f"arg_min({c}, rank) FILTER ({k} IS NOT NULL) AS {c}" for c, k in (("email", "email"), ("auth_subject", "auth_subject"), ("password_hash", "password_hash"), ("password_set_at", "password_hash"), ("profile_image_url", "profile_image_url")))} FROM own JOIN roots USING (user_id) GROUP BY 1)
+  SELECT o.user_id, CASE WHEN r.root IS NOT NULL THEN false WHEN t.user_id IS NOT NULL THEN true ELSE is_active END AS is_active, {", ".join(f"CASE WHEN r.root IS NULL THEN coalesce(o.{c}, t.{c}) END AS {c}" for c in ("email", "auth_subject", "password_hash", "password_set_at"))}, coalesce(o.profile_image_url, t.profile_image_url) AS profile_image_url
+  FROM own o LEFT JOIN roots r ON r.user_id = o.user_id LEFT JOIN theirs t ON t.user_id = o.user_id""")
+def m_1_batch_users(s, d):
+    return merged(s, d).users
