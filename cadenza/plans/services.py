@@ -15,13 +15,15 @@ from ..operators import maintain as M
 from ..operators import merges as G
 from ..operators import pages as P
 from ..operators import report as R
+from ..operators import tree as T
 from ..sources import crm
 from ..sources import entities as E
 from ..sources import sinks
 from ..streaming import edits as D
 from ..streaming import keyed as K
 from . import whole as W
-from .oracle import BASE
+from .catalog import rollup_with_area
+from .oracle import ASOF, BASE
 
 QUERIES: dict[str, object] = {}
 SQL: dict[str, str] = {}
@@ -308,3 +310,33 @@ OWN = "SELECT u.user_id, is_active, email, CASE WHEN u.user_id % 2 = 0 THEN 's'
   FROM own o LEFT JOIN roots r ON r.user_id = o.user_id LEFT JOIN theirs t ON t.user_id = o.user_id""")
 def m_1_batch_users(s, d):
     return merged(s, d).users
+
+
+# --- nested trees ------------------------------------------------------------------------------
+
+
+def nodes(s, d) -> DataFrame:
+    return T.project_nodes(rollup_with_area(s, d), E.tasks(s, d), W.shown_users(s, d), E.as_of())
+
+
+TASK = f"""{{'id': t.project_id || '/' || line_no || '/' || part_id, 'assignee_id': t.assignee_id, 'assignee': coalesce({W.SHOWN}, CAST(t.assignee_id AS VARCHAR)), 'status': t.status, 'priority': priority, 'percent_complete': percent_complete,
+  'due_date': CAST(due_date AS VARCHAR), 'is_overdue': coalesce(t.status <> 'Complete' AND due_date < {ASOF}, false), 'completed_at': strftime(completed_at, '%Y-%m-%d %H:%M:%S')}}"""
+NODES = f""", tt AS (SELECT t.project_id, list({TASK} ORDER BY due_date, line_no, part_id, t.assignee_id, percent_complete, t.status) AS tasks FROM tasks t LEFT JOIN users ON user_id = t.assignee_id GROUP BY 1),
+nodes AS (SELECT r.area_id, r.project_id, r.code, n, late, s, {{'project_id': r.project_id, 'code': r.code, 'owner_name': c_name, 'status': r.status, 'health': health, 'percent_complete': pct, 'task_count': n, 'overdue_count': late, 'blocked_count': b, 'tasks': coalesce(tasks, [])}} AS node
+  FROM rollup_ r LEFT JOIN tt ON tt.project_id = r.project_id LEFT JOIN customer ON c_custkey = r.owner_id)"""
+
+
+@query(f"{NODES} SELECT project_id, area_id, CAST(to_json(node) AS VARCHAR) AS node FROM nodes")
+def v_7_project_nodes(s, d):
+    """Each project with its tasks nested, as JSON."""
+    return nodes(s, d).select("project_id", "area_id", T.json_text(F.col("node")).alias("node"))
+
+
+@query(f"""{NODES} SELECT a.area_id, CAST(to_json({{'area_id': a.area_id, 'area_name': any_value(area_name), 'percent_complete': CASE WHEN coalesce(sum(n), 0) = 0 THEN 0 ELSE CAST(floor(sum(s) / sum(n) + 0.5) AS BIGINT) END, 'project_count': count(project_id),
+  'task_count': CAST(coalesce(sum(n), 0) AS BIGINT), 'overdue_count': CAST(coalesce(sum(late), 0) AS BIGINT), 'target': any_value(CASE WHEN t.area_id IS NOT NULL THEN {{'target_numeric': target_numeric, 'current_numeric': current_numeric}} END),
+  'projects': coalesce(list(node ORDER BY 'P' || lpad(CAST(project_id % 7 + 1 AS VARCHAR), 20, '0') || '-' || lpad(CAST(project_id AS VARCHAR), 20, '0')) FILTER (project_id IS NOT NULL), [])}}) AS VARCHAR) AS tree
+  FROM areas a LEFT JOIN nodes USING (area_id) LEFT JOIN targets t ON t.area_id = a.area_id GROUP BY 1""")
+def v_7_report_tree_nested(s, d):
+    """Each area with its projects and their tasks nested, as JSON."""
+    out = T.report_tree(E.focus_areas(s, d), E.targets(s, d), nodes(s, d))
+    return out.select("area_id", T.json_text(F.struct(*T.HEAD, "projects")).alias("tree"))
