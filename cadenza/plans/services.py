@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import drift as V
 from ..operators import maintain as M
 from ..operators import merges as G
 from ..operators import pages as P
@@ -340,3 +341,49 @@ def v_7_report_tree_nested(s, d):
     """Each area with its projects and their tasks nested, as JSON."""
     out = T.report_tree(E.focus_areas(s, d), E.targets(s, d), nodes(s, d))
     return out.select("area_id", T.json_text(F.struct(*T.HEAD, "projects")).alias("tree"))
+
+
+# --- drift of a catalogue ------------------------------------------------------------------------
+
+#: What is expected of the catalogue, against what it holds: a table, a column and an index too many or too few, two types and a default.
+EXPECTED = {t: c for t, c in W.DECLARED.items() if t != "events"} | {
+    "orders": W.DECLARED["orders"].replace("o_totalprice double", "o_totalprice decimal(12,2)") + ", o_comment string",
+    "customer": W.DECLARED["customer"].replace(", c_mktsegment string", ""), "shipments": "s_id bigint",
+}
+EXPECTED_MORE = [("lineitem", "index", "by_order", "l_orderkey,l_linenumber"), ("lineitem", "index", "by_part", "l_partkey"), ("orders", "unique", "one", "o_orderkey"), ("orders", "foreign key", "buyer", "o_custkey -> customer(c_custkey)"), ("part", "not null", "p_partkey", "true"), ("shipments", "index", "gone", "s_id")]
+LIVE_MORE = {"lineitem": {"index.by_order": "unique l_orderkey,l_linenumber", "index.by_supplier": "l_suppkey"}, "orders": {"unique.one": "o_orderkey", "foreign.buyer": "o_custkey -> customer(c_custkey) on delete cascade"}, "events": {"index.by_time": "ts"}}
+
+
+def catalogued(s, d) -> str:
+    """A database whose external tables are the star schema's files."""
+    name = f"cadenza_live_{sinks.new_folder(s, 'x').rsplit('-', 1)[1]}"
+    s.sql(f"CREATE DATABASE {name}")
+    for t in W.DECLARED:
+        said = ", ".join(f"'{k}' = '{v}'" for k, v in LIVE_MORE.get(t, {}).items())
+        s.sql(f"CREATE TABLE {name}.{t} USING parquet LOCATION '{d}/{t}.parquet'" + (f" TBLPROPERTIES ({said})" if said else ""))
+    return name
+
+
+def expected_facts(s) -> DataFrame:
+    facts = [(t, "table", "", "parquet") for t in EXPECTED] + [(t, "column", *c.split(" ", 1)) for t, ddl in EXPECTED.items() for c in ddl.split(", ")]
+    return s.createDataFrame(facts + EXPECTED_MORE, V.FACTS)
+
+
+DUCK = {"int": "INTEGER", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "bigint": "BIGINT", "double": "DOUBLE"}
+LIVE_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, column_type FROM (DESCRIBE {t})" for t in W.DECLARED)
+TYPES = " ".join(f"WHEN '{v}' THEN '{k}'" for k, v in DUCK.items())
+
+
+@query(f"""WITH l AS (SELECT table_name, column_name, CASE column_type {TYPES} END AS live FROM ({LIVE_SQL})), e AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{c.split(' ', 1)[0]}', '{c.split(' ', 1)[1]}')" for t, ddl in EXPECTED.items() for c in ddl.split(", "))}) v(table_name, column_name, expected)),
+c AS (SELECT coalesce(e.table_name, l.table_name) AS table_name, coalesce(e.column_name, l.column_name) AS column_name, expected, live FROM e FULL JOIN l ON e.table_name = l.table_name AND e.column_name = l.column_name)
+SELECT CASE WHEN live IS NULL THEN 'missing columns' WHEN expected IS NULL THEN 'extra columns' ELSE 'column mismatches' END AS list, 'column' AS kind, table_name || '.' || column_name AS item, expected, live, true AS failure
+  FROM c WHERE expected IS DISTINCT FROM live AND table_name IN (SELECT table_name FROM e) AND table_name IN (SELECT table_name FROM l)
+UNION ALL SELECT 'missing tables', 'table', t, 'parquet', NULL, true FROM (SELECT DISTINCT table_name AS t FROM e) WHERE t NOT IN (SELECT table_name FROM l) UNION ALL SELECT 'extra tables', 'table', t, NULL, 'parquet', false FROM (SELECT DISTINCT table_name AS t FROM l) WHERE t NOT IN (SELECT table_name FROM e)
+UNION ALL SELECT * FROM (VALUES ('index mismatches', 'index', 'lineitem.by_order', 'l_orderkey,l_linenumber', 'unique l_orderkey,l_linenumber', true), ('missing indexes', 'index', 'lineitem.by_part', 'l_partkey', NULL, true), ('extra indexes', 'index', 'lineitem.by_supplier', NULL, 'l_suppkey', false),
+  ('foreign key mismatches', 'foreign key', 'orders.buyer', 'o_custkey -> customer(c_custkey)', 'o_custkey -> customer(c_custkey) on delete cascade', true), ('column mismatches', 'not null', 'part.p_partkey', 'true', NULL, true))""", base=False)
+def v_30_drift_lists(s, d):
+    """The lists of a drift report: the star schema's files, catalogued, against what is expected of them."""
+    name = catalogued(s, d)
+    live = V.scan(s, name)
+    s.sql(f"DROP DATABASE {name} CASCADE")  # external tables: their files stay
+    return V.drift(expected_facts(s), live)
