@@ -85,10 +85,10 @@ def drift(expected: DataFrame, live: DataFrame) -> DataFrame:
 
     Defaults are compared as literals, without casts and brackets; an expected default of '' only asks that there be one.
     """
-    literal = lambda c: F.when(F.col("kind") == "default", X.default_literal(F.col(c))).otherwise(F.col(c)).alias(c)
     key = ["table_name", "kind", "name"]
-    e, v = expected.withColumnRenamed("value", "expected").withColumn("__e", F.lit(True)), live.withColumnRenamed("value", "live").withColumn("__v", F.lit(True))
-    both = e.join(v, key, "full_outer").select(*key, literal("expected"), literal("live"), "__e", "__v")
+    literal = F.when(F.col("kind") == "default", X.default_literal(F.col("value"))).otherwise(F.col("value"))
+    side = lambda df, c, flag: df.select(*key, literal.alias(c), F.lit(True).alias(flag))
+    both = side(expected, "expected", "__e").join(side(live, "live", "__v"), key, "full_outer")
     one_side = both.where("kind = 'table' AND (__e IS NULL OR __v IS NULL)").select("table_name").distinct()
     shown = both.join(one_side.withColumn("__alone", F.lit(True)), "table_name", "left").where("kind = 'table' OR __alone IS NULL")
     presence = (F.col("kind") == "default") & (F.col("expected") == "") & F.col("__v").isNotNull()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import drift as V
+from ..operators import incremental as I
 from ..operators import maintain as M
 from ..operators import merges as G
 from ..operators import pages as P
@@ -24,7 +25,7 @@ from ..streaming import edits as D
 from ..streaming import keyed as K
 from . import whole as W
 from .catalog import rollup_with_area
-from .oracle import ASOF, BASE
+from .oracle import ACTIVE, ASOF, BASE
 
 QUERIES: dict[str, object] = {}
 SQL: dict[str, str] = {}
@@ -387,3 +388,35 @@ def v_30_drift_lists(s, d):
     live = V.scan(s, name)
     s.sql(f"DROP DATABASE {name} CASCADE")  # external tables: their files stay
     return V.drift(expected_facts(s), live)
+
+
+# --- rollups and upserts in buckets ----------------------------------------------------------------
+
+CHANGED = f"""(SELECT * REPLACE (CASE WHEN part_id % 50 = 0 THEN 'Complete' ELSE status END AS status, CASE WHEN part_id % 50 = 0 THEN 100 ELSE percent_complete END AS percent_complete) FROM tasks WHERE part_id % 70 <> 1 OR part_id % 50 = 0
+  UNION ALL SELECT * REPLACE (line_no + 100 AS line_no) FROM tasks WHERE part_id % 90 = 2)"""
+
+
+@query(f"SELECT project_id, count(*) AS task_count, count(*) FILTER (status <> 'Complete' AND due_date < {ASOF} + 30) AS overdue_count, count(*) FILTER (status = 'Blocked') AS blocked_count, count(*) FILTER (status = 'Complete') AS complete_count, count(*) FILTER (status IN {ACTIVE}) AS active_count, CAST(sum(percent_complete) AS BIGINT) AS percent_sum FROM {CHANGED} GROUP BY 1")
+def st_3_incremental_rollup(s, d):
+    """Task counts by project after edits, deletions, insertions and thirty more days, from deltas alone."""
+    t, by = E.tasks(s, d), ["project_id"]
+    state = I.rollup_state(s, sinks.new_folder(s, "rollup"), [("project_id", "bigint")])
+    I.apply_delta(state, I.delta(None, t, by, E.as_of()), 0)
+    done = F.col("part_id") % 50 == 0
+    edited_ = t.where(done)
+    I.apply_delta(state, I.delta(edited_, edited_.withColumns({"status": F.lit("Complete"), "percent_complete": F.lit(100)}), by, E.as_of()), 1)
+    I.apply_delta(state, I.delta(t.where((F.col("part_id") % 70 == 1) & ~done), t.where(F.col("part_id") % 90 == 2), by, E.as_of()), 2)
+    now = M.update(t, done, status=F.lit("Complete")).where((F.col("part_id") % 70 != 1) | done).unionByName(t.where(F.col("part_id") % 90 == 2))
+    I.apply_delta(state, I.grown_older(now, by, E.as_of(), F.date_add(E.as_of(), 30)), 3)
+    return state.read()
+
+
+@query("SELECT metric, user_id, CAST(period_start AS VARCHAR) AS period_start, count + CASE WHEN user_id % 10 = 0 THEN 100 ELSE 0 END AS count FROM entries UNION ALL SELECT metric, user_id + 100000, CAST(period_start AS VARCHAR), count FROM entries WHERE user_id % 10 = 1")
+def k_10_bucket_upsert(s, d):
+    """Entries of each tenth user raised and others added, in the buckets that they touch."""
+    e = E.metric_entries(s, d).select("metric", "user_id", "period_start", "count")
+    table = I.Buckets(s, sinks.new_folder(s, "entries"), ["metric", "user_id", "period_start"], e.schema)
+    table.upsert(e, epoch=0)
+    more = e.where("user_id % 10 = 0").withColumn("count", F.col("count") + 100).unionByName(e.where("user_id % 10 = 1").withColumn("user_id", F.col("user_id") + 100000))
+    table.upsert(more, epoch=1)
+    return table.read().withColumn("period_start", F.col("period_start").cast("string"))
