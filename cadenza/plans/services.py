@@ -17,15 +17,17 @@ from ..operators import maintain as M
 from ..operators import merges as G
 from ..operators import pages as P
 from ..operators import report as R
+from ..operators import taskedits as TE
 from ..operators import tree as T
 from ..sources import crm
 from ..sources import entities as E
 from ..sources import sinks
 from ..streaming import edits as D
 from ..streaming import keyed as K
+from . import views
 from . import whole as W
-from .catalog import rollup_with_area
-from .oracle import ACTIVE, ASOF, BASE
+from .catalog import day, rollup_with_area
+from .oracle import ACTIVE, ASOF, BASE, NOW, ROLE
 
 QUERIES: dict[str, object] = {}
 SQL: dict[str, str] = {}
@@ -420,3 +422,81 @@ def k_10_bucket_upsert(s, d):
     more = e.where("user_id % 10 = 0").withColumn("count", F.col("count") + 100).unionByName(e.where("user_id % 10 = 1").withColumn("user_id", F.col("user_id") + 100000))
     table.upsert(more, epoch=1)
     return table.read().withColumn("period_start", F.col("period_start").cast("string"))
+
+
+# --- task updates, audit values, the workbook -------------------------------------------------------
+
+
+def grouped_tasks(s, d) -> DataFrame:
+    """Every task as the child of a group parent of its project."""
+    t = E.tasks(s, d)
+    stamp = F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss").alias("completed_at")
+    child = t.select(F.concat_ws("/", "project_id", "line_no", "part_id", "assignee_id").alias("task_id"), F.concat(F.lit("P"), "project_id").alias("parent_task_id"), F.lit(False).alias("is_group_parent"), "assignee_id", "status", "percent_complete", day("due_date"), F.lit("do").alias("description"), stamp)
+    none = lambda t: F.lit(None).cast(t)
+    parent = E.projects(s, d).select(F.concat(F.lit("P"), "project_id").alias("task_id"), none("string").alias("parent_task_id"), F.lit(True).alias("is_group_parent"), F.col("owner_id").alias("assignee_id"), F.lit("Not Started").alias("status"), F.lit(0).alias("percent_complete"), none("string").alias("due_date"), F.lit("group").alias("description"), none("string").alias("completed_at"))
+    return child.unionByName(parent)
+
+
+def task_patches(s, d) -> DataFrame:
+    """Statuses of each sixth part's tasks by all roles, hand-overs by members, new dates and descriptions of each tenth project; one patch of no task."""
+    t, part, nothing = E.tasks(s, d), F.col("part_id"), F.lit(None).cast("string")
+    key = F.concat_ws("/", "project_id", "line_no", "part_id", "assignee_id").alias("task_id")
+    role = E.pick(E.ROLES, part % 5)
+    row = lambda *given, **new: (F.array(*map(F.lit, given)).alias("given"), *((new[c] if c in new else nothing.cast(k)).alias(c) for c, k in (("status", "string"), ("percent_complete", "int"), ("assignee_id", "bigint"), ("description", "string"), ("due_date", "string"))))
+    status = t.where(part % 6 == 0).select(key, F.col("assignee_id").alias("actor_id"), role.alias("actor_role"), *row("status", "percent_complete", status=E.pick(["Complete", "Blocked", "In Progress"], part % 3 + part % 2), percent_complete=(part % 101).cast("int")))
+    handed = t.where(part % 6 == 1).select(key, (F.col("assignee_id") + part % 4 - 1).alias("actor_id"), F.lit("member").alias("actor_role"), *row("assignee_id", assignee_id=F.col("assignee_id") + part % 2))
+    dated = E.projects(s, d).where("project_id % 10 = 0").select(F.concat(F.lit("P"), "project_id").alias("task_id"), F.lit(1).cast("bigint").alias("actor_id"), F.lit("lead").alias("actor_role"), *row("description", "due_date", description=F.lit("changed"), due_date=F.lit(E.AS_OF)))
+    gone = s.range(1).select(F.lit("none").alias("task_id"), F.lit(1).cast("bigint").alias("actor_id"), F.lit("lead").alias("actor_role"), *row("status"))
+    return reduce(DataFrame.unionByName, [status, handed, dated, gone]).dropDuplicates(["task_id"])
+
+
+def patched(s, d) -> tuple[DataFrame, DataFrame]:
+    return TE.patch_tasks(grouped_tasks(s, d), task_patches(s, d), ["lead", "admin", "vp", "super_admin"], F.date_format(E.now(), "yyyy-MM-dd HH:mm:ss"))
+
+
+PATCHED = f""", child AS (SELECT project_id || '/' || line_no || '/' || part_id || '/' || assignee_id AS task_id, 'P' || project_id AS parent_task_id, project_id, false AS is_group_parent, assignee_id, part_id, ({ROLE})[part_id % 5 + 1] AS role, status, percent_complete, CAST(due_date AS VARCHAR) AS due_date, strftime(completed_at, '%Y-%m-%d %H:%M:%S') AS completed_at FROM tasks),
+v AS (SELECT *, CASE WHEN part_id % 6 = 0 THEN 'written' WHEN part_id % 6 = 1 THEN CASE WHEN part_id % 4 <> 1 THEN 'own only' WHEN part_id % 2 <> 0 THEN 'no handing on' ELSE 'written' END END AS verdict,
+  CASE WHEN part_id % 6 = 0 THEN CASE WHEN (['Complete', 'Blocked', 'In Progress'])[part_id % 3 + part_id % 2 + 1] = 'Complete' AND role NOT IN ('lead', 'admin', 'vp', 'super_admin') THEN 'Pending Review' ELSE (['Complete', 'Blocked', 'In Progress'])[part_id % 3 + part_id % 2 + 1] END END AS asked FROM child),
+w AS (SELECT *, coalesce(asked, status) AS new_status, CASE WHEN asked IS NOT NULL THEN part_id % 101 ELSE percent_complete END AS new_percent, CASE WHEN asked = 'Complete' AND status <> 'Complete' THEN strftime({NOW}, '%Y-%m-%d %H:%M:%S') WHEN asked <> 'Complete' AND status = 'Complete' THEN NULL ELSE completed_at END AS new_stamp,
+  project_id % 10 = 0 AND coalesce(asked, status) <> 'Complete' AND coalesce(asked, status) IS NOT NULL AND parent_task_id IN (SELECT 'P' || project_id FROM projects) AS passed FROM v),
+k AS (SELECT parent_task_id, CAST(floor(avg(new_percent) + 0.5) AS INTEGER) AS percent, CASE WHEN bool_and(new_status = 'Complete') THEN 'Complete' WHEN bool_or(new_status = 'Blocked') THEN 'Blocked' WHEN bool_or(new_status IN {ACTIVE}) THEN 'In Progress' ELSE 'Not Started' END AS status FROM w GROUP BY 1 HAVING bool_or(verdict = 'written'))"""
+
+
+@query(f"""{PATCHED} SELECT task_id, assignee_id, new_status AS status, new_percent AS percent_complete, CASE WHEN passed THEN '1998-06-01' ELSE due_date END AS due_date, CASE WHEN passed THEN 'changed' ELSE 'do' END AS description, new_stamp AS completed_at FROM w
+  UNION ALL SELECT 'P' || project_id, owner_id, coalesce(k.status, 'Not Started'), coalesce(percent, 0), CASE WHEN project_id % 10 = 0 THEN '1998-06-01' END, CASE WHEN project_id % 10 = 0 THEN 'changed' ELSE 'group' END, NULL FROM projects LEFT JOIN k ON parent_task_id = 'P' || project_id""")
+def m_3_patched_tasks(s, d):
+    """All tasks after a batch of updates, with what children and parents take from it."""
+    return patched(s, d)[0].select("task_id", "assignee_id", "status", "percent_complete", "due_date", "description", "completed_at")
+
+
+@query(f"{PATCHED} SELECT task_id, verdict FROM w WHERE verdict IS NOT NULL UNION ALL SELECT 'P' || project_id, 'written' FROM projects WHERE project_id % 10 = 0 UNION ALL SELECT 'none', 'not found'")
+def m_3_patch_verdicts(s, d):
+    return patched(s, d)[1]
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 1 THEN '{"value":' || json_extract_string(props, '$.k') ELSE left(props, length(props) - 1) END || CASE WHEN user_id % 3 = 0 THEN ',"actingAs":"u' || user_id || '"' ELSE '' END || '}' AS merged FROM events""")
+def x_26_event_values(s, d):
+    """Events' properties as audit values: each fourth a scalar, which is wrapped, each third user acting for another."""
+    value = F.when(F.col("event_id") % 4 == 1, F.get_json_object("props", "$.k")).otherwise(F.col("props"))
+    e = E.events(s, d).select("event_id", value.alias("x"), F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("u"), "user_id")).alias("u"))
+    return e.select("event_id", X.audit_value(F.col("x"), F.col("u")).alias("merged"))
+
+
+#: The workbook's sheets, each by its query.
+SHEETS = {"cover": W.v_18_cover_sheet_rows, "initiatives": W.v_14_initiatives_sheet, "drill_down": views.v_15_drill_down_rows, "completed": W.v_16_completed_sheet_rows, "weekly": W.v_17_weekly_sheet_rows}
+SHEET_COLUMNS = {
+    "cover": ["label", "value"], "initiatives": ["name", "owner", "status", "current", "target", "attainment", "tactics", "on_track", "on_track_percent", "tasks", "overdue", "average"],
+    "drill_down": ["name", "owner", "status", "priority", "due", "completed", "percent", "notes"], "completed": ["completed_on", "tactic", "initiative", "assignee", "role", "description", "priority", "due_date", "vs_due", "project_id"],
+    "weekly": ["metric", "developer", "target", *(f"week_{k}" for k in range(1, 7)), "total", "total_target", "share"],
+}
+
+
+def workbook(s, d) -> dict[str, DataFrame]:
+    """The five sheets with all rows and columns, as sinks.write_sheets takes them."""
+    return {name: of(s, d).select(*SHEET_COLUMNS[name]) for name, of in SHEETS.items()}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS sheet, CAST(to_json({{{', '.join(f'{chr(39)}{c}{chr(39)}: {c}' for c in SHEET_COLUMNS[name])}}}) AS VARCHAR) AS cells FROM ({(W.SQL | views.SQL)[of.__name__]})" for name, of in SHEETS.items()), base=False)
+def k_3_workbook_rows(s, d):
+    """Every row of the five sheets."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("sheet"), T.json_text(F.struct(*df.columns)).alias("cells")) for name, df in workbook(s, d).items()])
