@@ -196,17 +196,20 @@ def accept_invitations(invitations: DataFrame, users: DataFrame, now: Column) ->
     return out.select("id", "outcome", "user_id", F.when(F.col("outcome").isin("claim", "insert"), "accepted").otherwise(F.col("status")).alias("status"))
 
 
+def rows_or_default(held: DataFrame, defaults: DataFrame) -> DataFrame:
+    """S-15: the rows of held, or the defaults where there are none at all; which it is is found within the plan."""
+    n = held.agg(F.count(F.lit(1)).alias("__held"))  # one row
+    return held.unionByName(defaults.crossJoin(F.broadcast(n)).where("__held = 0").select(*held.columns))
+
+
 def ensure_permissions(held: DataFrame, defaults: DataFrame, always: DataFrame) -> DataFrame:
     """M-11: role and key rows: the defaults where there are none at all, and in any case the rows that must be there."""
-    seeded = held if not held.isEmpty() else defaults
-    return insert_missing(seeded, always, ["role", "key"])
+    return insert_missing(rows_or_default(held, defaults), always, ["role", "key"])
 
 
 def role_permissions(held: DataFrame, defaults: DataFrame, roles: list[str]) -> DataFrame:
     """R-1: role, permissions (distinct keys in order): the held rows of known roles; where none are held at all, the defaults. A role without rows has none."""
-    seeded = held.agg(F.count(F.lit(1)).alias("held"))  # one row
-    fallback = defaults.crossJoin(F.broadcast(seeded)).where("held = 0").select("role", "key")
-    by = held.select("role", "key").unionByName(fallback).groupBy("role").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    by = rows_or_default(held.select("role", "key"), defaults).groupBy("role").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     known = held.sparkSession.createDataFrame([(k, r) for k, r in enumerate(roles)], "position int, role string")
     return known.join(by, "role", "left").select("role", "position", F.coalesce(F.concat_ws(",", "keys"), F.lit("")).alias("permissions"))
 
