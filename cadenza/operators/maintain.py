@@ -144,14 +144,27 @@ def merge_keyed(df: DataFrame, user: str, keys: list[str], source, target) -> Da
     return df.where((F.col(user) != source) | F.col(user).isNull()).unionByName(moving.select(*df.columns))
 
 
+#: Links that one request may put on its tasks.
+LINKS = 1000
+
+
+def few_links(links: DataFrame) -> DataFrame:
+    """links, broadcast; the plan raises where there are more than LINKS."""
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.lit(1)))
+    few = links.limit(LINKS + 1).withColumn("__place", place)
+    return F.broadcast(few.where(F.when(F.col("__place") > LINKS, F.raise_error(F.lit("too many links in one request")).cast("boolean")).otherwise(True)).drop("__place"))
+
+
 def bulk_assign(members: DataFrame, links: DataFrame, description: str, due: Column) -> tuple[DataFrame, DataFrame]:
-    """M-2: a task per member, and every link on every task (SO-4: links are those of one request)."""
+    """M-2: a task per member, and every link on every task (SO-4: links are those of one request; more than LINKS raise)."""
+    links = few_links(links)
     tasks = members.select("user_id").distinct().withColumns({"description": F.lit(description), "status": F.lit("Not Started"), "due_date": due})
     return tasks, tasks.select("user_id").crossJoin(links)
 
 
 def bulk_assign_group(members: DataFrame, creator: int, links: DataFrame, description: str, due: Column) -> tuple[DataFrame, DataFrame]:
     """M-2: the creator's parent task, a child task for each member, and every link on each; the parent's state is its children's (A-17)."""
+    links = few_links(links)
     children, _ = bulk_assign(members, links, description, due)
     children = children.withColumns({"is_group_parent": F.lit(False), "percent_complete": F.lit(0)})
     one = members.sparkSession.range(1).select(F.lit(creator).cast("bigint").alias("user_id"), F.lit(description).alias("description"), F.lit("Not Started").alias("status"), due.alias("due_date"), F.lit(True).alias("is_group_parent"), F.lit(0).alias("percent_complete"))

@@ -59,8 +59,6 @@ def usd(x: str) -> str:
     return f"CAST(sum(coalesce({x}, 0)) AS DOUBLE)"
 
 
-TEXT_ROWS = "(VALUES (0, 'plain'), (1, 'a,b'), (2, 'say \"x\"'), (3, 'two' || chr(10) || 'lines'), (4, ''), (5, NULL), (6, '<a href=''x''>&</a>')) v(id, x)"
-NUMBER_ROWS = "(VALUES (0, 12.0), (1, 3.5), (2, -7.0), (3, 0.0), (4, 0.0), (5, 0.0), (6, 0.5), (7, 1000.0), (8, 4.0), (9, 0.0), (10, 2026.0)) v(id, value)"
 
 BODIES = {
     "s_2_projected_scan": "SELECT user_id, role FROM users",
@@ -71,7 +69,6 @@ BODIES = {
     "s_9_linked_records_exist": f"SELECT DISTINCT source_system, id FROM (SELECT ({SRC})[event_id % 2 + 1] AS source_system, event_id * 7 % 4000 AS id FROM events) WHERE (id, source_system) IN (SELECT id, source_system FROM camps)",
     "s_12_fan_out": "SELECT source_system, count(*) AS n FROM opps GROUP BY 1",
     "s_13_first_match": "SELECT id, source_system FROM opps WHERE id = 8 ORDER BY source_system = 'hubspot' LIMIT 1",
-    "s_15_catalog_or_default": "SELECT unnest(['member', 'admin']) AS role",
     "f_3_in_list": f"SELECT {LINE} FROM tasks WHERE assignee_id IN (1, 2, 3)",
     "f_6_mine_or_blocking": f"SELECT {LINE} FROM tasks WHERE assignee_id = 5 OR (blocked_by_id = 5 AND status = 'Blocked')",
     "f_7_case_insensitive": "SELECT user_id, email FROM users WHERE lower(email) = 'user7@example.com'",
@@ -100,7 +97,6 @@ BODIES = {
     "j_17_merge_memberships": "SELECT CASE user_id WHEN 3 THEN 4 ELSE user_id END AS user_id, count(DISTINCT project_id) AS groups FROM (SELECT project_id, assignee_id AS user_id FROM tasks) GROUP BY 1",
     "j_18_merge_entries": "SELECT metric, 4 AS user_id, CAST(period_start AS VARCHAR) AS period_start, count FROM entries e WHERE user_id = 4 OR (user_id = 3 AND NOT EXISTS (FROM entries x WHERE x.user_id = 4 AND x.metric = e.metric AND x.period_start = e.period_start))",
     "j_19_audit_names": "SELECT metric, coalesce(user_name, CAST(a.user_id AS VARCHAR)) AS who, CAST(period_start AS VARCHAR) AS period_start, old_count, new_count FROM audit a LEFT JOIN users u ON a.user_id = u.user_id WHERE old_count IS NULL OR old_count <> new_count",
-    "j_23_schema_drift": "SELECT * FROM drift",
     "j_25_polymorphic_links": "SELECT o.id, event_id, 'opportunity' AS record_type, name FROM events JOIN opps o ON o.id = event_id % 3000 WHERE event_id % 2 = 0 UNION ALL SELECT c.id, event_id, 'campaign', name FROM events JOIN camps c ON c.id = event_id % 3000 WHERE event_id % 2 = 1",
     "j_26_recent_events": "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rank FROM events QUALIFY rank <= 10",
     "a_1_group_counts": "SELECT p.project_id, count(t.line_no) AS members FROM projects p LEFT JOIN tasks t ON p.project_id = t.project_id GROUP BY 1",
@@ -141,7 +137,6 @@ BODIES = {
     "rs_2_strict_filters": "SELECT owner_name, CAST(count(*) AS DOUBLE) AS n FROM opps WHERE owner_name IS NULL OR owner_name NOT IN ('Owner 3', 'Owner 4', 'Owner 5') GROUP BY 1",
     "rs_2_order_filters": f"SELECT stage_canonical, {usd('amount')} / count(*) AS mean, CAST(count(*) AS DOUBLE) AS n FROM opps WHERE coalesce(amount, 0) < 200000 AND year(close_date) >= 1997 GROUP BY 1",
     "rs_6_no_dimensions": "SELECT CAST(sum(clicks) AS DOUBLE) AS sum_clicks_0 FROM camps",
-    "rs_6_no_rows": "SELECT CAST(count(*) AS DOUBLE) AS count FROM camps WHERE false GROUP BY channel",
     "o_5_natural_order": "SELECT code, 'P' || lpad(CAST(project_id % 7 + 1 AS VARCHAR), 20, '0') || '-' || lpad(CAST(project_id AS VARCHAR), 20, '0') AS natural_key FROM projects",
     "o_11_clamped_limit": "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 200",
     "o_12_page": "SELECT id, source_system FROM opps ORDER BY source_system = 'hubspot', id LIMIT 25 OFFSET 50",
@@ -152,8 +147,6 @@ BODIES = {
     "x_2_mondays": "SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS monday, count(*) AS n FROM events GROUP BY 1",
     "x_6_week_locks": "SELECT DISTINCT CAST(period_start AS VARCHAR) AS period_start, period_start < DATE '2024-01-22' AS locked, period_start >= DATE '2024-01-22' OR period_start = DATE '2024-01-08' AS editable FROM entries",
     "x_10_days_vs_due": "SELECT CASE WHEN k <= 0 THEN CAST(-k AS VARCHAR) || ' early' ELSE CAST(k AS VARCHAR) || ' late' END AS days, count(*) AS n FROM (SELECT CAST(floor((epoch_us(completed_at) - epoch_us(CAST(due_date AS TIMESTAMP))) / 86400e6 + 0.5) AS BIGINT) AS k FROM tasks WHERE completed_at IS NOT NULL) GROUP BY 1",
-    "x_14_leading_numbers": f"SELECT id, CAST(value AS DOUBLE) AS value FROM {NUMBER_ROWS}",
-    "x_15_escapes": "SELECT id, CASE WHEN regexp_matches(c, '[\",' || chr(10) || ']') THEN '\"' || replace(c, '\"', '\"\"') || '\"' ELSE c END AS csv, replace(replace(replace(replace(replace(c, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM (SELECT id, coalesce(x, '') AS c FROM " + TEXT_ROWS + ")",
     "x_16_texts": """SELECT id, CASE WHEN id % 2 = 0 THEN 'Blocker: ' || channel || ' • ' ELSE '' END || 'Next: ' || type AS notes, CASE WHEN length(name) > 18 THEN left(name, 18) || '…' ELSE name END AS label,
       'c-' || trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, upper(CASE WHEN contains(trim(type), ' ') THEN left(trim(type), 1) || left(regexp_extract(trim(type), '[^ ]+$'), 1) ELSE left(trim(type), 2) END) AS initials FROM camps""",
     "x_20_due_colours": f"SELECT CASE WHEN due_date < {ASOF} THEN 'destructive' WHEN due_date <= {ASOF} + 7 THEN 'warning' ELSE 'muted' END AS colour, count(*) AS n FROM tasks GROUP BY 1",
@@ -162,7 +155,6 @@ BODIES = {
     "v_9_kpi_sparkline": "SELECT metric, user_id, string_agg(CAST(count AS VARCHAR), ',' ORDER BY period_start) AS series, arg_max(count, period_start) AS current FROM filled GROUP BY 1, 2",
     "v_15_drill_down": "SELECT 0 AS level, count(*) AS n, min(area_name) AS first_label FROM areas UNION ALL SELECT 1, count(*), min(code) FROM projects WHERE area_id IS NOT NULL UNION ALL SELECT 2, count(*), min(project_id || '/' || line_no) FROM tasks",
     "v_17_weekly_sheet": "SELECT metric, user_id, " + ", ".join(f"CAST(sum(count) FILTER (period_start = DATE '2024-01-22' - {7 * k}) AS BIGINT) AS week_{k}" for k in range(6)) + " FROM filled GROUP BY 1, 2",
-    "v_30_drift_summary": "SELECT problem, count(*) AS n FROM drift GROUP BY 1",
     "k_7_conditional_update": f"SELECT CASE WHEN status = 'Blocked' AND due_date < {ASOF} THEN 'Pending Review' ELSE status END AS status, count(*) AS n FROM tasks GROUP BY 1",
     "k_9_cascade": "SELECT priority, count(*) AS n FROM tasks WHERE project_id NOT IN (SELECT project_id FROM projects WHERE area_id = 1) GROUP BY 1",
     "k_10_upsert": "SELECT metric, user_id, CAST(period_start AS VARCHAR) AS period_start, count + CASE WHEN user_id % 10 = 0 THEN 100 ELSE 0 END AS count FROM entries UNION ALL SELECT metric, user_id + 100000, CAST(period_start AS VARCHAR), count FROM entries WHERE user_id % 10 = 1",

@@ -18,7 +18,7 @@ from ..operators import rollups as A
 from ..sources import entities as E
 from ..sources import sinks as K
 from .catalog import current, day, filled, one_line, rollup, rollup_with_area, spine, tables
-from .oracle import ASOF, BASE, KPI, LINE, NOW, ROLE, SRC, share, usd
+from .oracle import ASOF, BASE, KPI, LINE, NOW, SRC, share, usd
 
 QUERIES: dict[str, object] = {}
 SQL: dict[str, str] = {}
@@ -55,11 +55,6 @@ def s_7_email_activity(s, d):
     return E.read_filtered(E.email_activity(s, d), source_system=None, campaign_id=7).select("id", "source_system", "campaign_id")
 
 
-@query(f"SELECT unnest({SRC}) AS source_system, 'connected' AS status")
-def s_10_connections(s, d):
-    return E.connections(s).select("source_system", "status")
-
-
 @query("SELECT source_system, count(*) AS n, CAST(count(amount) AS BIGINT) AS with_amount FROM opps GROUP BY 1")
 def s_11_adapters(s, d):
     """Every adapter's opportunities through the one reading function."""
@@ -67,13 +62,6 @@ def s_11_adapters(s, d):
     return parts[0].unionByName(parts[1]).groupBy("source_system").agg(rows(), F.count("amount").alias("with_amount"))
 
 
-@query("SELECT * FROM (VALUES ('region', 0, 'r_regionkey', 'int'), ('region', 1, 'r_name', 'string'), ('nation', 0, 'n_nationkey', 'int'), ('nation', 1, 'n_name', 'string'), ('nation', 2, 'n_regionkey', 'int')) v(table_name, position, column_name, type)")
-def s_14_catalog_scan(s, d):
-    """Columns of the tables, from their schemas; no data is read."""
-    found = [(t, i, f.name, f.dataType.simpleString()) for t in ("region", "nation") for i, f in enumerate(E.table(s, d, t).schema)]
-    return s.createDataFrame(found, "table_name string, position int, column_name string, type string")
-
-
 @query("SELECT 'definition ' || o_orderkey AS name, o_orderkey % 5 = 0 AS is_preset FROM orders")
 def s_17_definitions(s, d):
     """Saved definitions, presets first, newest first."""
@@ -370,18 +358,6 @@ def j_22_user_workload(s, d):
     return A.workload(E.users(s, d), E.tasks(s, d), E.as_of()).select("user_id", "open", "overdue")
 
 
-INDEXES = [("users_pk", True, ["id"]), ("entries_key", True, ["metric_id", "user_id", "period_start"]), ("tasks_status", False, ["status", None])]
-
-
-@query("SELECT * FROM (VALUES ('users_pk', true, 'id'), ('entries_key', true, 'metric_id,user_id,period_start'), ('tasks_status', false, 'status')) v(index_name, is_unique, columns)")
-def j_24_a_32_index_columns(s, d):
-    """Index columns by their ordinal, unknown ones left out, put together again in order."""
-    ix = s.createDataFrame(INDEXES, "index_name string, is_unique boolean, keys array<string>")
-    parts = ix.select("index_name", "is_unique", F.posexplode("keys").alias("ord", "key")).where("key IS NOT NULL")
-    by = parts.groupBy("index_name").agg(F.bool_or("is_unique").alias("is_unique"), F.sort_array(F.collect_list(F.struct("ord", "key"))).alias("k"))
-    return by.select("index_name", "is_unique", F.concat_ws(",", F.transform("k", lambda x: x["key"])).alias("columns"))
-
-
 # --- aggregates -----------------------------------------------------------------------------
 
 
@@ -433,12 +409,6 @@ def report(s, d, *args) -> DataFrame:
     return R.run_report(tables(s, d), R.Spec(*args))
 
 
-@query("SELECT channel, CAST(count(*) AS DOUBLE) AS n FROM camps WHERE false GROUP BY 1")
-def rs_2_no_list(s, d):
-    """in and notIn of what is no list hold for nothing."""
-    return report(s, d, ["campaigns"], [R.Metric("count", label="n")], ["channel"], [R.Filter("channel", "notIn", "Email")])
-
-
 @query("SELECT CAST(close_date AS VARCHAR) AS close_date, CAST(count(*) AS DOUBLE) AS n FROM opps GROUP BY 1")
 def rs_5_date_dimension(s, d):
     return report(s, d, ["opportunities"], [R.Metric("count", label="n")], ["close_date"])
@@ -508,12 +478,6 @@ def o_3_nulls_last(s, d):
     return placed(E.focus_areas(s, d).join(E.targets(s, d), "area_id", "left").select("area_id", "target_numeric"), F.col("target_numeric").asc_nulls_last(), "area_id").drop("target_numeric")
 
 
-@query("SELECT * FROM (VALUES ('a', 1), ('A', 2), ('b', 3), ('B', 4), ('e', 5), ('é', 6), ('z', 7)) v(name, place)")
-def o_4_locale_names(s, d):
-    names = s.createDataFrame([(x,) for x in ("z", "é", "B", "a", "A", "e", "b")], "name string")
-    return placed(names, F.collate("name", "UNICODE"))
-
-
 @query("SELECT area_id, project_id, code, 'P' || lpad(CAST(project_id % 7 + 1 AS VARCHAR), 20, '0') || '-' || lpad(CAST(project_id AS VARCHAR), 20, '0') AS natural_key FROM projects")
 def o_5_natural_order_all(s, d):
     """All projects by area and natural order of their codes, with the key."""
@@ -581,20 +545,9 @@ def so_6_set_equality(s, d):
     return both.groupBy("role").agg((F.min("sides") == 2).alias("same"))
 
 
-@query(f"SELECT role FROM (SELECT unnest({ROLE}) AS role) WHERE role <> 'observer'")
-def so_7_all_but_one(s, d):
-    return s.range(1).select(F.explode(F.array_except(F.array(*map(F.lit, E.ROLES)), F.array(F.lit("observer")))).alias("role"))
-
-
 # --- scalars ------------------------------------------------------------------------------------
 
 
-@query(f"SELECT k, CAST(CAST(date_trunc('week', {KPI}) AS DATE) - CAST(7 * k AS INTEGER) AS VARCHAR) AS prior, CAST(DATE '1998-06-01' + CAST(k AS INTEGER) AS VARCHAR) AS later, '2024-01-22 09:00' AS lock FROM range(6) r(k)")
-def x_3_to_x_5_days(s, d):
-    k = F.col("id").cast("int")
-    return s.range(6).select(F.col("id").alias("k"), F.date_sub(X.monday(E.kpi_now()), k * 7).cast("string").alias("prior"), F.date_add(E.as_of(), k).cast("string").alias("later"), F.date_format(X.lock_time(E.kpi_now()), "yyyy-MM-dd HH:mm").alias("lock"))
-
-
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def x_8_x_9_iso_day(s, d):
     return E.events(s, d).select("event_id", F.to_date(F.substring(F.col("ts").cast("string"), 1, 10)).cast("string").alias("day"))
@@ -606,14 +559,6 @@ def x_11_to_x_13_rounding(s, d):
     return c.select("id", X.round_half_up(F.col("x")).alias("whole"), X.round2(F.col("x")).alias("cents"), X.percent(F.col("x"), F.col("y")).alias("percent"))
 
 
-LINKS = [("a", "example.org"), ("b", "https://example.org"), ("c", "HTTP://x"), ("d", "2024-01-01"), ("e", "")]
-
-
-@query("SELECT * FROM (VALUES ('a', 'https://example.org', false), ('b', 'https://example.org', false), ('c', 'HTTP://x', false), ('d', 'https://2024-01-01', true), ('e', 'https://', false)) v(id, link, is_day)")
-def x_22_patterns(s, d):
-    return s.createDataFrame(LINKS, "id string, x string").select("id", X.web_link(F.col("x")).alias("link"), F.col("x").rlike(r"^\d{4}-\d{2}-\d{2}$").alias("is_day"))
-
-
 @query("SELECT id, CASE WHEN name ILIKE '%widget%' THEN 'widgets' WHEN name ILIKE '%bolt%' OR name ILIKE '%rod%' THEN 'metal' ELSE 'other' END AS kind, split_part(name, ' ', 1) AS head FROM camps")
 def x_23_x_24_classes(s, d):
     """The first pattern that matches decides; the text before the separator."""
@@ -626,14 +571,6 @@ def x_25_x_26_json(s, d):
     return E.focus_areas(s, d).select("area_id", F.to_json(F.struct("area_name", F.lit("x").alias("actingAs"))).alias("merged"))
 
 
-TYPES = ["serial", "varchar(80)", "int4", "timestamptz", "numeric(14, 2)", "bool", "text"]
-
-
-@query("SELECT * FROM (VALUES ('serial', 'integer'), ('varchar(80)', 'character varying(80)'), ('int4', 'integer'), ('timestamptz', 'timestamp with time zone'), ('numeric(14, 2)', 'numeric(14,2)'), ('bool', 'boolean'), ('text', 'text')) v(type, canonical)")
-def x_30_type_names(s, d):
-    return s.createDataFrame([(x,) for x in TYPES], "type string").select("type", X.canonical_type(F.col("type")).alias("canonical"))
-
-
 # --- views ---------------------------------------------------------------------------------------
 
 
@@ -694,13 +631,6 @@ def v_12_r_5_own_history(s, d):
     return M.kpi_audit(E.metric_entries(s, d).where("user_id = 7")).select("user_id", day("period_start"), "metric", "new_count")
 
 
-@query("SELECT '2024-01-22' AS current_week, '2024-01-15' AS last_week, '2024-01-22 09:00' AS locks_at, true AS last_locked")
-def v_13_lock_status(s, d):
-    now = E.kpi_now()
-    last = X.prior_monday(now, 1)
-    return s.range(1).select(X.monday(now).cast("string").alias("current_week"), last.cast("string").alias("last_week"), F.date_format(X.lock_time(now), "yyyy-MM-dd HH:mm").alias("locks_at"), X.week_locked(last, now).alias("last_locked"))
-
-
 def completed(s, d) -> DataFrame:
     return E.tasks(s, d).where((F.col("status") == "Complete") & (F.col("completed_at") >= E.now() - F.expr("INTERVAL 30 DAYS")))
 
@@ -749,16 +679,6 @@ def v_25_targets(s, d):
     return E.targets(s, d).join(u, "updated_by_id", "left").select("area_id", "current_numeric", "updated_by")
 
 
-MATRIX = [("member", "view"), ("lead", "view"), ("lead", "assign"), ("admin", "view"), ("admin", "assign"), ("admin", "manage")]
-
-
-@query(f"SELECT role, coalesce(p, '') AS permissions FROM (SELECT unnest({ROLE}) AS role) LEFT JOIN (VALUES ('member', 'view'), ('lead', 'assign,view'), ('admin', 'assign,manage,view')) v(role, p) USING (role)")
-def v_26_r_1_matrix(s, d):
-    roles = s.createDataFrame([(r,) for r in E.ROLES], "role string")
-    by = s.createDataFrame(MATRIX, "role string, key string").groupBy("role").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    return roles.join(by, "role", "left").select("role", F.coalesce(F.concat_ws(",", "keys"), F.lit("")).alias("permissions"))
-
-
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 500")
 def v_27_audit_log(s, d):
     n = X.clamped_limit(9999)
@@ -781,14 +701,6 @@ def m_5_refresh(s, d):
     return M.update(both, F.col("source_system") == "hubspot", synced_at=E.now()).groupBy("source_system").agg(rows(), F.count("synced_at").alias("synced"))
 
 
-@query("SELECT DISTINCT CAST(period_start AS VARCHAR) AS period_start, period_start = DATE '2024-01-08' AS is_new FROM (SELECT DATE '2024-01-01' AS period_start UNION ALL SELECT DATE '2024-01-08')")
-def m_7_unlock_week(s, d):
-    """An override for a week that has one already is not added again."""
-    old = s.createDataFrame([("2024-01-01", False)], "period_start string, is_new boolean")
-    asked = s.createDataFrame([("2024-01-01", True), ("2024-01-08", True)], "period_start string, is_new boolean")
-    return M.insert_missing(old, asked, ["period_start"])
-
-
 @query("SELECT e.event_id AS task_id, 'opportunity' AS record_type, e.event_id * 3 AS record_id FROM events e JOIN opps ON id = e.event_id * 3")
 def m_8_linked_tasks(s, d):
     """A task and its link only where the record exists."""
@@ -809,13 +721,6 @@ def m_10_decisions(s, d):
     return M.update(E.access_requests(s, d), F.col("status") == "pending", status=asked).groupBy("status").agg(rows())
 
 
-@query("SELECT * FROM (VALUES ('view', 'View'), ('assign', 'Assign'), ('old', 'Kept')) v(key, label)")
-def m_11_bootstrap(s, d):
-    """The catalogue's labels replace old ones; keys it doesn't know stay."""
-    old = s.createDataFrame([("view", "Look"), ("old", "Kept")], "key string, label string")
-    return M.upsert(old, s.createDataFrame([("view", "View"), ("assign", "Assign")], "key string, label string"), ["key"])
-
-
 @query(f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN status = 'pending' AND expires_at > {KPI} THEN 'accepted' ELSE status END AS status FROM {INVITATIONS}) GROUP BY 1")
 def m_12_acceptance(s, d):
     """Pending invitations that haven't expired are accepted."""

@@ -140,15 +140,6 @@ def v_18_cover_sheet_rows(s, d):
     return one.crossJoin(areas).crossJoin(recent).select(F.explode(pairs).alias("x")).select("x.*")  # one row each
 
 
-@query("SELECT '2024-01-22' AS current_week, '2024-01-15' AS prior_week, true AS lock_active, false AS override_active, '2024-01-22 09:00' AS locks_at")
-def v_13_lock_status_whole(s, d):
-    now = E.kpi_now()
-    over = s.createDataFrame([("2024-01-08",)], "p string").select(F.to_date("p").alias("period_start"))
-    last = s.range(1).select(X.prior_monday(now, 1).alias("period_start"))
-    held = last.join(over.withColumn("override_active", F.lit(True)), "period_start", "left")
-    return held.select(X.monday(now).cast("string").alias("current_week"), day("period_start"), X.week_locked(F.col("period_start"), now).alias("lock_active"), F.coalesce("override_active", F.lit(False)).alias("override_active"), F.date_format(X.lock_time(now), "yyyy-MM-dd HH:mm").alias("locks_at")).withColumnRenamed("period_start", "prior_week")
-
-
 @query("SELECT metric, user_id, CAST(period_start AS VARCHAR) AS period_start, old_count, new_count FROM audit WHERE old_count IS NULL OR old_count <> new_count")
 def v_12_history(s, d):
     """All changes, newest first."""
@@ -225,11 +216,6 @@ def s_11_all_lists(s, d):
     return reduce(DataFrame.unionByName, parts).groupBy("source", "object").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT ({SRC})[2] AS source_system, 'connected' AS status")
-def s_10_one_connection(s, d):
-    return E.read_filtered(E.connections(s), source_system="hubspot")
-
-
 # --- report catalogue and scalars --------------------------------------------------------
 
 
@@ -244,12 +230,6 @@ CATALOGUE = {
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{src}', '{kind}', {k}, '{f}')" for src, both in CATALOGUE.items() for kind, fs in zip(("dimension", "measure"), both, strict=True) for k, f in enumerate(fs)) + ") v(source, kind, position, field)")
-def rs_16_catalogue(s, d):
-    offered = [(src, kind, k, f) for src, both in CATALOGUE.items() for kind, fs in zip(("dimension", "measure"), both, strict=True) for k, f in enumerate(fs)]
-    return s.createDataFrame(offered, "source string, kind string, position int, field string")
-
-
 DIMENSIONS = ["status", "priority", "assignee_id", "blocked_by_id"]
 
 
@@ -261,15 +241,6 @@ def a_34_task_reports(s, d):
     return out.select("dimension", E.pick(["count", "sum", "avg"], F.col("k")).alias("agg"), "dim", X.round2(F.col("v")).alias("value"))
 
 
-MONEY = [(1, 0.0, "$0", "$0"), (2, 950.4, "$950", "$950.4"), (3, 1234.5, "$1,235", "$1.2K"), (4, 999950.0, "$999,950", "$1M"), (5, -2500000.0, "-$2,500,000", "-$2.5M"), (6, 3.2e9, "$3,200,000,000", "$3.2B"), (7, None, "—", "—"), (8, 12.0, "$12", "$12"), (9, 1000.0, "$1,000", "$1K")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, _, a, b in MONEY) + ") v(id, shown, compact)")
-def x_17_currency(s, d):
-    x = F.col("x")
-    return s.createDataFrame([(k, v) for k, v, *_ in MONEY], "id int, x double").select("id", X.currency(x).alias("shown"), X.compact_currency(x).alias("compact"))
-
-
 @query(f""", f AS (SELECT user_id, CAST(floor((epoch({KPI}) - floor(epoch(max(ts)))) / 60) AS BIGINT) AS m FROM events WHERE ts <= {KPI} GROUP BY 1)
   SELECT user_id, CASE WHEN m < 1 THEN 'synced less than a minute ago' ELSE 'synced ' || n || ' ' || unit || CASE WHEN n = 1 THEN '' ELSE 's' END || ' ago' END AS freshness
   FROM (SELECT *, CASE WHEN m < 60 THEN m WHEN m < 1440 THEN m // 60 WHEN m < 43200 THEN m // 1440 ELSE m // 43200 END AS n, CASE WHEN m < 60 THEN 'minute' WHEN m < 1440 THEN 'hour' WHEN m < 43200 THEN 'day' ELSE 'month' END AS unit FROM f)""")
@@ -440,14 +411,6 @@ def m_12_outcomes(s, d):
     return M.accept_invitations(i, E.users(s, d).select("user_id", "email", (F.col("user_id") % 3 == 0).alias("has_login")), E.kpi_now())
 
 
-@query("SELECT * FROM (VALUES ('member', 'view'), ('super_admin', 'manage'), ('observer', 'view')) v(role, key)")
-def m_11_ensured(s, d):
-    """An empty table is seeded with the defaults; what must be there is there once."""
-    kind = "role string, key string"
-    defaults = s.createDataFrame([("member", "view"), ("observer", "view")], kind)
-    return M.ensure_permissions(s.createDataFrame([], kind), defaults, s.createDataFrame([("super_admin", "manage"), ("observer", "view")], kind))
-
-
 @query("SELECT e.event_id AS task_id, 'Follow up' AS description, 'Not Started' AS status, 'opportunity' AS record_type, e.event_id * 3 AS record_id FROM events e JOIN opps ON id = e.event_id * 3")
 def m_8_tasks_and_links(s, d):
     """Tasks made for records that exist, with their links."""
@@ -456,22 +419,6 @@ def m_8_tasks_and_links(s, d):
     return found.select("task_id", F.lit("Follow up").alias("description"), F.lit("Not Started").alias("status"), F.lit("opportunity").alias("record_type"), "record_id")
 
 
-DEFAULTS = [(1, "('member'::text)", "'member'"), (2, "now()", "now()"), (3, "((0))", "0"), (4, "'{}'::character varying(80)[]", "'{}'"), (5, "false", "false"), (6, None, None)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {'NULL' if b is None else repr(b) if chr(39) not in b else chr(39) + b.replace(chr(39), chr(39) * 2) + chr(39)})" for k, _, b in DEFAULTS) + ") v(id, literal)")
-def x_30_default_literals(s, d):
-    return s.createDataFrame([(k, a) for k, a, _ in DEFAULTS], "id int, x string").select("id", X.default_literal(F.col("x")).alias("literal"))
-
-
-MERGED = [(1, '{"a":1}', None, '{"a":1}'), (2, '{"a":1}', "u1", '{"a":1,"actingAs":"u1"}'), (3, "5", "u1", '{"value":5,"actingAs":"u1"}'), (4, "[1,2]", None, '{"value":[1,2]}'), (5, "{}", "u1", '{"actingAs":"u1"}'), (6, None, None, '{"value":null}')]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{b}')" for k, _, _, b in MERGED) + ") v(id, merged)")
-def x_26_audit_values(s, d):
-    return s.createDataFrame([(k, a, u) for k, a, u, _ in MERGED], "id int, x string, u string").select("id", X.audit_value(F.col("x"), F.col("u")).alias("merged"))
-
-
 # --- schemas ----------------------------------------------------------------------------------
 
 
@@ -538,17 +485,6 @@ ROLE_DEFAULTS = {
     "super_admin": ALL_KEYS,
     "observer": ["view_reports", "run_reports", "view_audit_log"],
 }
-HELD = [("lead", "assign_tasks"), ("lead", "view_reports"), ("lead", "assign_tasks"), ("intern", "view_reports")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('empty', '{r}', {k}, '{','.join(sorted(keys))}'), ('held', '{r}', {k}, '{'assign_tasks,view_reports' if r == 'lead' else ''}')" for k, (r, keys) in enumerate(ROLE_DEFAULTS.items())) + ") v(table_state, role, position, permissions)")
-def r_1_role_permissions(s, d):
-    """R-1, V-26: each role's permissions, without held rows and with some; held rows of unknown roles count for none."""
-    kind = "role string, key string"
-    defaults = s.createDataFrame([(r, k) for r, keys in ROLE_DEFAULTS.items() for k in keys], kind)
-    states = {"empty": s.createDataFrame([], kind), "held": s.createDataFrame(HELD, kind)}
-    parts = [M.role_permissions(held, defaults, list(ROLE_DEFAULTS)).withColumn("table_state", F.lit(name)) for name, held in states.items()]
-    return reduce(DataFrame.unionByName, parts)
 
 
 @query("SELECT 'definition ' || o_orderkey AS name, o_orderkey % 5 = 0 AS is_preset, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS created FROM orders UNION ALL SELECT p_name, false, '1998-06-01' FROM part")

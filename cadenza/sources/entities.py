@@ -214,8 +214,3 @@ def first_match(df: DataFrame, sources: list[str], id_: int) -> DataFrame:
     """The record by id from the first source, in order, that has it."""
     rank = F.array_position(F.array(*map(F.lit, sources)), F.col("source_system"))
     return df.where((F.col("id") == id_) & F.col("source_system").isin(sources)).withColumn("__rank", rank).orderBy("__rank").limit(1).drop("__rank")
-
-
-def or_default(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """df, or the built-in rows where it is empty."""
-    return df.sparkSession.createDataFrame(rows, schema) if df.isEmpty() else df

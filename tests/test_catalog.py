@@ -5,13 +5,13 @@ import re
 import duckdb
 import pytest
 
-from cadenza.plans import catalog, oracle, services, views, whole
+from cadenza.plans import catalog, oracle, scalars, services, views, whole
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = catalog.QUERIES | views.QUERIES | whole.QUERIES | services.QUERIES, oracle.SQL | views.SQL | whole.SQL | services.SQL
+QUERIES, SQL = catalog.QUERIES | views.QUERIES | whole.QUERIES | services.QUERIES | scalars.QUERIES, oracle.SQL | views.SQL | whole.SQL | services.SQL | scalars.SQL
 #: A fold over ordered rows, and a source of its own.
 PYTHON = {"st_4_rate_limit"}
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events pages".split()
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +30,7 @@ def plain(v):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
-    assert len(QUERIES) == len(catalog.QUERIES) + len(views.QUERIES) + len(whole.QUERIES) + len(services.QUERIES)
+    assert len(QUERIES) == len(catalog.QUERIES) + len(views.QUERIES) + len(whole.QUERIES) + len(services.QUERIES) + len(scalars.QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

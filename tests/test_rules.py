@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from cadenza.functions import exprs as X
 from cadenza.operators import maintain as M
 from cadenza.operators import report as R
-from cadenza.operators import rollups as A
 from cadenza.plans import catalog, views
 
 SF = "/root/testdata/sf0.001"
