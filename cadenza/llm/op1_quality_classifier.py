@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, least_hashes, others, quoted
+from .common import arrow_map, drop_since, least_hashes, others, quoted, written, written_so_far
 from .words import SPACED, byte_values, gram_hashes, mix, powers, steps, word_hashes, word_spans
 
-#: Bound of the labelled rows that the learner reads.
-LABELLED_ROWS = 4_000
+#: Bounds of the labelled rows that the learner reads, and of the bytes of their features.
+LABELLED_ROWS, LABELLED_BYTES = 4_000, 256 << 20
 BITS = 18
 #: Passes over the sample, and FTRL-proximal's settings.
 PASSES, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.002, 0.0005
@@ -120,12 +120,17 @@ def feature_columns(texts: pa.Array) -> list[pa.Array]:
     return [pa.array(buckets, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> np.ndarray:
-    """Weights learnt from at most `most` labelled rows outside the held-out third; zeros (score 0.5) without any."""
+def fitted(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS, most_bytes: int = LABELLED_BYTES) -> np.ndarray:
+    """Weights learnt from at most `most` labelled rows outside the held-out third, and as many of those, in order of their hash, as have features of `most_bytes`; zeros (score 0.5) without any."""
     told = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     told = least_hashes(told, "doc_id", most)
     rows = arrow_map(docs.join(F.broadcast(told), "doc_id").select("doc_id", "quality", "text"), ["doc_id", "quality"], "text", [("buckets", "array<int>"), ("weights", "array<float>")], feature_columns)
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.hash("buckets")).limit(most).toArrow()
+    before = written_so_far()
+    ordered = written(rows, "op1-features").orderBy(F.xxhash64("doc_id"), "doc_id", F.hash("buckets"))
+    sizes = ordered.limit(most).select(F.size("buckets")).toArrow()[0].to_numpy()  # `most` numbers
+    fits = int(np.searchsorted(np.cumsum(8 * sizes.astype(np.int64)), most_bytes, "right"))
+    sample = ordered.limit(fits).toArrow()
+    drop_since(docs.sparkSession, before)
     columns = [[x.values.to_numpy(zero_copy_only=False) for x in sample[c]] for c in ("buckets", "weights")]
     return train(list(zip(*columns, sample["quality"].to_pylist(), strict=True)))
 

@@ -1,8 +1,9 @@
 """WARC: archives of pages, read back into a capture index that is merged in global order.
 
 Writing: records are lines of a text table whose line end is the record end CRLF CRLF,
-so Spark writes the archives to any store it knows: of about FILE_BYTES by the mean record,
-RECORDS records a file at most. With gzip a file is one stream and an index offset is one
+so Spark writes the archives to any store it knows. Records are written by CLASSES of size, each with
+its own number of records a file: no file is longer than some 64 MB before it is packed, but for
+one of a single longer record, wherever long records stand together. With gzip a file is one stream and an index offset is one
 of the unpacked file; with compression "none" it seeks in the file itself.
 Of equal payloads of at least LEAST bytes the one with the largest page_id is a
 response, the others are revisits that refer to it.
@@ -35,8 +36,8 @@ from .common import ddl, quoted, shared_dir, written
 
 #: Payload bytes from which copies become revisits.
 LEAST = 1000
-#: Records of one archive file at most, and about how many bytes they have.
-RECORDS, FILE_BYTES = 1000, 64 << 20
+#: Payload bytes up to which records are in a class (the last has all others), and how many of them a file has at most.
+CLASSES = [(64 << 10, 1000), (1 << 20, 64), (8 << 20, 8), (None, 1)]
 #: Rows of the index that one task merges: 200 bytes each, some 50 MB.
 RANGE_ROWS = 250_000
 
@@ -79,12 +80,17 @@ def records(pages: DataFrame, captured: Column) -> DataFrame:
     return p.select(F.concat(head, F.lit("\r\n\r\n"), http, F.when(again, "").otherwise(F.col("payload"))).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, captured: Column, per_file: int | None = None, compression: str = "gzip") -> None:
-    """Writes the pages' records as WARC files under path."""
-    if per_file is None:
-        mean = pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
-        per_file = max(1, min(RECORDS, int(FILE_BYTES // (mean + 1000))))
-    records(pages, captured).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
+def write_archives(pages: DataFrame, path: str, captured: Column, classes: list[tuple[int | None, int]] = CLASSES, compression: str = "gzip") -> None:
+    """Writes the pages' records as WARC files under path. Equal payloads are of one class; a class without pages is not written."""
+    size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0))
+    above, parts = -1, []
+    for most, per_file in classes:
+        parts.append(((size > above) & (size <= most if most is not None else F.lit(True)), per_file))
+        above = most
+    counts = pages.agg(*(F.count_if(c).alias(f"c{k}") for k, (c, _) in enumerate(parts))).first()
+    used = [p for k, p in enumerate(parts) if counts[k]] or parts[:1]
+    for within, per_file in used:
+        records(pages.where(within), captured).write.mode("append").option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:

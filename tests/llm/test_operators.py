@@ -409,7 +409,7 @@ def test_op4_round_trip(spark, tmp_path):
     rows += [(100, None, None), (101, "x\r\ny", ""), (None, "http://a.example.org/", big[2]), (7, rows[7][1], rows[7][2]), (59, "http://d/", "other")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, html string, Digest int")
     at = F.timestamp_seconds(F.lit(0) + F.coalesce("page_id", F.lit(0)) % 5)
-    op4.write_archives(df.select("page_id", "url", "html"), str(tmp_path / "w"), at, per_file=7)
+    op4.write_archives(df.select("page_id", "url", "html"), str(tmp_path / "w"), at, [(1500, 7), (None, 3)])
     out = op4.merged(op4.read_runs(spark, str(tmp_path / "w"))).collect()
     assert len(out) == len(rows)
     keys = [op4.order(tuple(r)) for r in out]
@@ -434,6 +434,37 @@ def test_op4_url_keys():
     }
 
 
+def test_op4_long_pages_that_stand_together_make_no_long_file(spark, tmp_path):
+    """A run of long pages in a table of short ones (sizes scaled down): files are bounded by bytes, not by the mean."""
+    rows = [(k, f"http://h/{k}", "s" * 50) for k in range(3000)]
+    rows[1000:1200] = [(k, f"http://h/{k}", f"{k:06d}" + "L" * 20_000) for k in range(1000, 1200)]
+    rows[2000] = (2000, "http://h/2000", "H" * 300_000)
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    classes = [(100, 500), (30_000, 5), (None, 1)]
+    op4.write_archives(pages, str(tmp_path / "w"), F.timestamp_seconds("page_id"), classes, "none")
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "w").glob("part-*") if f.stat().st_size)
+    assert sizes[-1] < 302_000 and sizes[-2] < 600 * 700 and len([x for x in sizes if 90_000 < x < 110_000]) == 40
+    out = op4.merged(op4.read_runs(spark, str(tmp_path / "w")))
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in out.collect()) == [(i, len(h)) for i, _, h in rows]
+
+
+def test_op1_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(50 + k))) for k in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, quality int")
+    seen = []
+    train = op1.train
+    try:
+        op1.train = lambda rows: seen.append(rows) or train(rows)
+        for most in (1 << 30, 20_000, 0):
+            op1.fitted(docs, labels, most_bytes=most)
+    finally:
+        op1.train = train
+    whole, some, none = seen
+    assert len(whole) > len(some) > 5 and none == []
+    assert sum(8 * len(b) for b, _, _ in some) <= 20_000 < sum(8 * len(b) for b, _, _ in whole[: len(some) + 1])
+    assert all((a[0] == b[0]).all() for a, b in zip(some, whole))
+
+
 def test_op4_unpacked_archives_seek_by_offset_and_hot_urls_are_split(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(op4, "RANGE_ROWS", 40)
     rows = [(k, "http://hot.org/", "long " * (k % 50) + "ü" * 3_000_000 * (k == 7)) for k in range(300)] + [(None, "http://a/", "same"), (None, "http://b/", "same")]
