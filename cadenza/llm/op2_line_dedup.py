@@ -1,10 +1,10 @@
 """Line dedup: a deletion-neighbourhood join that drops later copies of a line.
 
-A line repeats an earlier one (by doc_id, then line number) if they are equal or, from
-`fuzzy_from` characters on, within one edit. Shorter lines mean something else after one
-edit ("}" and "]", "1." and "2."), so the default is FUZZY_FROM; with 1, all lines may
-differ. Every line but the earliest such goes, by the input alone: what an earlier line
-is compared with doesn't depend on what stays.
+A line repeats an earlier one (by doc_id, then line number) if they are within one edit.
+Where short lines ("}" and "]", "1." and "2.") shall be told apart, `fuzzy_from` sets the
+characters from which lines may differ; the default is all lines. Every line but the
+earliest such goes, by the input alone: what an earlier line is compared with doesn't
+depend on what stays.
 
 Two lines within one edit share a half, and all but one block of about sqrt(n) characters:
 
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_since, hidden, others, quoted, shown, written, written_so_far
 
-#: Characters from which a line may differ by one edit, unless told otherwise.
-FUZZY_FROM = 20
+#: Characters from which a line may differ by one edit, unless told otherwise: all lines.
+FUZZY_FROM = 1
 LEAST_BLOCK = 16
 #: Lines whose places (three numbers each, so some 12 MB) are sent to all tasks to fetch their texts; more are joined by a shuffle.
 SMALL = 200_000
@@ -164,15 +164,20 @@ def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.drop("__changed")
 
 
+# DuckDB's levenshtein counts bytes, of which a character has four at most; characters are compared after it.
 SQL = r"""
 WITH l AS (SELECT doc_id, k, lines[k] AS line, len(lines) AS n_lines FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))),
 w AS (SELECT doc_id, k, line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 f AS (SELECT doc_id, k, line, row_number() OVER (PARTITION BY line ORDER BY doc_id, k) AS r FROM w),
 d AS (SELECT doc_id, k, line FROM f WHERE r = 1),
-b AS (SELECT * FROM d WHERE length(line) >= 20),
-p AS (SELECT x.line, y.line AS other, y.doc_id, y.k, x.doc_id AS xd, x.k AS xk FROM b x JOIN b y ON left(x.line, 10) = left(y.line, 10) WHERE abs(length(x.line) - length(y.line)) <= 1
+b AS (SELECT * FROM d),
+s AS (SELECT * FROM d WHERE length(line) <= 20),
+p AS (SELECT x.line, y.line AS other, y.doc_id, y.k, x.doc_id AS xd, x.k AS xk FROM s x JOIN s y ON abs(length(x.line) - length(y.line)) <= 1
+  UNION SELECT x.line, y.line, y.doc_id, y.k, x.doc_id, x.k FROM b x JOIN b y ON left(x.line, 10) = left(y.line, 10) WHERE abs(length(x.line) - length(y.line)) <= 1
   UNION SELECT x.line, y.line, y.doc_id, y.k, x.doc_id, x.k FROM b x JOIN b y ON right(x.line, 10) = right(y.line, 10) WHERE abs(length(x.line) - length(y.line)) <= 1),
-n AS (SELECT DISTINCT line FROM p WHERE (doc_id, k) < (xd, xk) AND levenshtein(line, other) <= 1),
+q AS (SELECT line, other, CASE WHEN length(line) < length(other) THEN line ELSE other END AS short, CASE WHEN length(line) < length(other) THEN other ELSE line END AS long FROM p WHERE (doc_id, k) < (xd, xk) AND levenshtein(line, other) <= 4),
+n AS (SELECT DISTINCT line FROM q WHERE CASE WHEN length(short) = length(long) THEN len(list_filter(range(1, length(long) + 1), lambda i: short[i] <> long[i])) <= 1
+  ELSE len(list_filter(range(length(long)), lambda i: left(long, i) || substr(long, i + 2) = short)) > 0 END),
 g AS (SELECT doc_id, k FROM f WHERE r > 1 UNION SELECT d.doc_id, d.k FROM d JOIN n ON d.line = n.line)
 SELECT o.doc_id, coalesce(count(l.k), 0) AS n_lines, count(g.k) AS n_dropped,
   sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.k) FILTER (WHERE g.k IS NULL), '')) AS kept_sha256

@@ -51,7 +51,7 @@ def test_line_dedup(kept):
             if not re.search(r"\S", line):
                 stay.append(line)
                 continue
-            near = line in seen or (len(line) >= op2.FUZZY_FROM and any(abs(len(x) - len(line)) <= 1 and (x[:10] == line[:10] or x[-10:] == line[-10:]) and one_edit(x, line) for x in long))
+            near = line in seen or (len(line) >= op2.FUZZY_FROM and any(abs(len(x) - len(line)) <= 1 and (len(line) < 21 or x[:10] == line[:10] or x[-10:] == line[-10:]) and one_edit(x, line) for x in long))
             seen.add(line)
             if len(line) >= op2.FUZZY_FROM:
                 long.append(line)
