@@ -144,3 +144,11 @@ def test_packing_covers_all_kept_documents(kept):
 
 def test_run(spark, kept):
     assert corpus_pipeline.run(spark, SF).count() == kept[-1].count()
+
+
+def test_an_empty_table_gives_no_pieces(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "sequence_id" in out.columns
