@@ -14,7 +14,8 @@ register with a probability close to their Jaccard similarity J.
    the full sets; then all pairs between what is not yet connected, in rounds, with new
    stars between the components that share a bucket.
 4. Components that still share a bucket meet in a prefix-filtered join of their classes'
-   full sets: what a star's heads missed is found, and nothing is tried within a component.
+   full sets, by blocks of members with the same holders and the weight that two prefixes
+   share: what a star's heads missed is found, and nothing is tried within a component.
 5. Components of the verified links give each document its group.
 
 With BANDS bands of ROWS registers a pair at J = 0.85 misses all bands with a
@@ -245,28 +246,31 @@ def shared_items(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 def missed_pairs(grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of classes that may be linked, of components that share a bucket and that no star has tried.
 
-    A prefix-filtered join of the full sets. A set's members are in order of how many sets hold
-    them, rarest first; a linked pair shares one of the first n - ceil(t n) + 1 members of the
-    larger set and of the first n - ceil(2 t / (1 + t) n) + 1 of the smaller (t: the threshold),
-    with enough members left after it. Texts that have a common part only, however many there
-    are, begin with members of their own and meet nobody: no pairs are made within a bucket.
+    A prefix-filtered join of the full sets with weights. Members that the same sets hold are
+    one block, told by its holders' count and the XOR of their hashes; its weight is the number
+    of its members. A set's blocks are in order of how many sets hold them, rarest first, after
+    the members that one component alone holds. The prefix is what begins among its first
+    n - ceil(t n) + 1 members (t: the threshold). Let it reach to member r: of a pair that
+    shares i members at most n - i of them are not shared, so its first shared blocks, those in
+    both prefixes, weigh at least i plus the lesser r - n of the two. Texts that share some parts
+    only are told apart by that sum, texts with a common part and words of their own meet nobody.
     """
     mixed = written(grouped.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("key"), "mixed")
     nodes = grouped.join(mixed, "key", "left_semi").select("node", "group").distinct()
     items = written(shared_items(sets, nodes), "items")
-    held = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("group").alias("g0"), F.max("group").alias("g1"))
-    held = written(held.where("g0 <> g1").select("item", "c"), "held")  # what one component alone holds makes no pair
-    inside = items.join(held, "item")
-    own = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node"))  # these come first
-    place = own + F.row_number().over(Window.partitionBy("node").orderBy("c", "item")) - 1
-    prefix = inside.withColumn("place", place)
-    prefix = prefix.where(f"place < n - ceil({percent} * n / 100) + 1").withColumn("first", F.expr(f"place < n - ceil({2 * percent} * n / {100 + percent}) + 1"))
-    prefix = written(prefix.select("item", "node", "n", "group", "place", "first"), "prefix")
-    short = prefix.where("first").select("item", F.col("node").alias("s"), F.col("n").alias("ns"), F.col("group").alias("gs"), F.col("place").alias("ps"))
-    long = prefix.select("item", F.col("node").alias("l"), F.col("n").alias("nl"), F.col("group").alias("gl"), F.col("place").alias("pl"))
-    met = short.join(long, "item").where(f"gs <> gl AND (ns < nl OR (ns = nl AND s < l)) AND 100 * ns >= {percent} * nl")
-    met = met.where(f"{100 + percent} * least(ns - ps, nl - pl) >= {percent} * (ns + nl)")
-    return met.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
+    held = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("group").alias("g0"), F.max("group").alias("g1"), F.bit_xor(F.xxhash64("node")).alias("holders"))
+    held = written(held.where("g0 <> g1").select("item", "c", "holders"), "held")  # what one component alone holds makes no pair
+    blocks = items.join(held, "item").repartition("node").groupBy("node", "n", "group", "c", "holders").agg(F.count(F.lit(1)).alias("w"), F.min("item").alias("block"))
+    of = Window.partitionBy("node")
+    before = F.sum("w").over(of.orderBy("c", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")
+    prefix = blocks.withColumn("place", F.col("n") - F.sum("w").over(of) + before)
+    prefix = prefix.where(f"place < n - ceil({percent} * n / 100) + 1").withColumn("reach", F.max(F.expr("place + w")).over(of))
+    prefix = written(prefix.select("block", "node", "n", "group", "w", "reach"), "prefix")
+    short = prefix.select("block", "w", F.col("node").alias("s"), F.col("n").alias("ns"), F.col("group").alias("gs"), F.expr("reach - n").alias("ms"))
+    long = prefix.select("block", F.col("node").alias("l"), F.col("n").alias("nl"), F.col("group").alias("gl"), F.expr("reach - n").alias("ml"))
+    met = short.join(long, "block").where(f"gs <> gl AND (ns < nl OR (ns = nl AND s < l)) AND 100 * ns >= {percent} * nl")
+    weights = met.groupBy(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).agg(F.sum("w").alias("w"), F.any_value(F.expr("ns + nl")).alias("both"), F.any_value(F.least("ms", "ml")).alias("m"))
+    return weights.where(f"{100 + percent} * (w - m) >= {percent} * both").select("a", "b")
 
 
 def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:

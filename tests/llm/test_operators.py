@@ -654,6 +654,38 @@ def test_op7_makes_few_pairs_of_texts_with_a_common_part(spark, n, common, own,
     assert sum(counts) <= 30 * n
 
 
+def assembled(kind, n, seed):
+    """Texts put together from shared parts: 12 sections of three variants, or forms of 20 sections of which four vary."""
+    rng = random.Random(seed)
+    part = lambda *name: [f"p{'-'.join(map(str, name))}-{k}" for k in range(25)]
+    if kind == "sections":
+        return [sum((part(s, rng.randrange(3)) for s in range(12)), []) for _ in range(n)]
+    return [sum((part(s, rng.randrange(20) if s % 5 == 2 else 0) for s in range(20)), []) for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind, share", [("sections", 0.01), ("forms", 0.03)])
+def test_op7_tries_few_pairs_of_texts_put_together_from_shared_parts(spark, kind, share, monkeypatch):
+    n, rng = 400, random.Random(29)
+    rows = list(enumerate(" ".join(w) for w in assembled(kind, n, 23)))
+    rows += [(n + k, rows[k][1].replace("-12 ", f"-12x{rng.randint(0, 99)} ", 2)) for k in range(20)]
+    counts = []
+
+    def counted(*args, real=op7.missed_pairs):
+        out = op7.written(real(*args), "counted")
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(op7, "missed_pairs", counted)
+    got = {r["doc_id"]: r["component_id"] for r in op7.groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    sets, least = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+    links = [(x, y) for x in range(len(rows)) for y in range(x) if 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y])]
+    for _ in rows:
+        for x, y in links:
+            least[x] = least[y] = min(least[x], least[y])
+    assert got == dict(enumerate(least)) and len(links) >= 20
+    assert sum(counts) <= share * n * n / 2
+
+
 def test_op7_tells_apart_structured_words(spark):
     t = thue_morse(1024)
     u = t.translate(str.maketrans("ab", "ba"))
