@@ -82,7 +82,10 @@ def v_7_report_tree_rows(s, d):
     nested = nested.select("project_id", F.concat_ws("; ", line).alias("tasks"))
     r = rollup_with_area(s, d).select("area_id", "project_id", "code", "status", "health", "percent_complete", "task_count", "overdue_count").join(nested, "project_id", "left")
     t = E.targets(s, d).select("area_id", "target_numeric", "current_numeric")
-    out = E.focus_areas(s, d).join(t, "area_id", "left").join(r, "area_id", "left")
+    areas = E.focus_areas(s, d).join(t, "area_id", "left")
+    # the projects stay where they are: dealt by area they would reach as many tasks as there are areas
+    empty = areas.join(E.projects_with_area(s, d).select("area_id").distinct(), "area_id", "left_anti")
+    out = r.join(F.broadcast(areas), "area_id").unionByName(empty, allowMissingColumns=True)
     return out.select("area_id", "area_name", "target_numeric", "current_numeric", F.when(F.col("target_numeric") > 0, X.percent(F.col("current_numeric"), F.col("target_numeric"))).alias("attainment"), *r.columns[2:], "project_id")
 
 
