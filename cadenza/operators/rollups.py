@@ -119,11 +119,12 @@ def snapshot(areas: DataFrame, projects: DataFrame, tasks: DataFrame, now: Colum
     return out.select("area_name", "projects", "tasks", "complete", "overdue", F.when(F.col("tasks") == 0, F.lit(0).cast("bigint")).otherwise(X.round_half_up(F.col("p") / F.col("tasks"))).alias("percent_complete"))
 
 
-def parent_rollup(children: DataFrame) -> DataFrame:
-    """A-17: percent and status of each parent from its children; columns parent_id, status, percent_complete."""
+def parent_rollup(children: DataFrame, *more: Column) -> DataFrame:
+    """A-17: percent and status of each parent from its children; columns parent_id, status, percent_complete and more, other aggregates with names."""
     s = F.col("status")
-    by = children.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(s == "Blocked").alias("b"), F.count_if(s == "Complete").alias("c"), F.count_if(X.active_status(s)).alias("a"), F.avg("percent_complete").alias("p"))
-    return by.select("parent_id", X.round_half_up(F.col("p")).alias("percent_complete"), X.parent_status(F.col("n"), F.col("b"), F.col("c"), F.col("a")).alias("status"))
+    by = children.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(s == "Blocked").alias("b"), F.count_if(s == "Complete").alias("c"), F.count_if(X.active_status(s)).alias("a"), F.avg("percent_complete").alias("p"), *more)
+    kept = by.columns[by.columns.index("p") + 1 :]
+    return by.select("parent_id", X.round_half_up(F.col("p")).alias("percent_complete"), X.parent_status(F.col("n"), F.col("b"), F.col("c"), F.col("a")).alias("status"), *kept)
 
 
 def pipeline_by_stage(opportunities: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ HEAD = ["task_id", "actor_id", "actor_role", "given"]
 def patch_tasks(tasks: DataFrame, patches: DataFrame, approvers: list[str], now: Column) -> tuple[DataFrame, DataFrame]:
     """(tasks afterwards, verdicts by task_id). patches: HEAD and new values; `given` names the fields that a patch sets, to null too.
 
-    tasks: task_id, parent_task_id, is_group_parent, assignee_id, status, percent_complete, completed_at and any fields. A member
+    tasks: task_id (a key), parent_task_id, is_group_parent, assignee_id, status, percent_complete, completed_at and any fields. A member
     edits own tasks only and hands none on. Complete by a role that may not approve becomes Pending Review. The stamp of
     completion comes and goes with the status. All patches first; then description and due date of a patched parent reach its
     children that aren't complete; then parents of patched children are counted anew (A-17), their stamps left as they are.
@@ -38,15 +38,16 @@ def patch_tasks(tasks: DataFrame, patches: DataFrame, approvers: list[str], now:
         value["completed_at"] = F.when(set_ & is_ & ~was, now).when(set_ & ~is_ & was, None).otherwise(F.col("completed_at"))
     patched = met.select(*(value[c].alias(c) if c in value else F.col(c) for c in tasks.columns), "__ok", *(F.coalesce(F.col("__ok") & F.col("is_group_parent") & given(c), F.lit(False)).alias(f"__pass_{c}") for c in ("description", "due_date") if c in fields))
     passed = [c for c in ("description", "due_date") if c in fields]
+    # what follows is found for narrow rows and meets the tasks by their own id, so that whole rows are dealt once
     out = patched
     if passed:
-        handed = patched.where(" OR ".join(f"__pass_{c}" for c in passed)).select(F.col("task_id").alias("parent_task_id"), *(F.struct(F.col(f"__pass_{c}").alias("set"), F.col(c).alias("value")).alias(f"__from_{c}") for c in passed))
-        out = out.join(handed, "parent_task_id", "left")
+        handed = patched.where("is_group_parent").where(" OR ".join(f"__pass_{c}" for c in passed)).select(F.col("task_id").alias("parent_task_id"), *(F.struct(F.col(f"__pass_{c}").alias("set"), F.col(c).alias("value")).alias(f"__from_{c}") for c in passed))
+        heirs = tasks.select("task_id", "parent_task_id").join(handed, "parent_task_id").groupBy("task_id").agg(*(F.first(f"__from_{c}").alias(f"__from_{c}") for c in passed))
+        out = out.join(heirs, "task_id", "left")
         open_ = F.col("status").isin([v for v in X.TASK_STATUS if v != "Complete"])
         out = out.withColumns({c: F.when(open_ & F.coalesce(F.col(f"__from_{c}.set"), F.lit(False)), F.col(f"__from_{c}.value")).otherwise(F.col(c)) for c in passed})
-    moved = patched.where("__ok AND parent_task_id IS NOT NULL").select("parent_task_id").distinct()
-    counted = parent_rollup(patched.join(moved, "parent_task_id", "left_semi").select(F.col("parent_task_id").alias("parent_id"), "status", "percent_complete"))
-    counted = counted.select(F.col("parent_id").alias("task_id"), F.col("percent_complete").alias("__p"), F.col("status").alias("__s"))
+    children = patched.where("parent_task_id IS NOT NULL").select(F.col("parent_task_id").alias("parent_id"), "status", "percent_complete", "__ok")
+    counted = parent_rollup(children, F.max("__ok").alias("moved")).where("moved").select(F.col("parent_id").alias("task_id"), F.col("percent_complete").alias("__p"), F.col("status").alias("__s"))
     out = out.join(counted, "task_id", "left").withColumns({"percent_complete": F.coalesce(F.col("__p").cast(tasks.schema["percent_complete"].dataType), "percent_complete"), "status": F.coalesce("__s", "status")})
     said = patches.select("task_id").join(met.select("task_id", "verdict"), "task_id", "left").select("task_id", F.coalesce("verdict", F.lit("not found")).alias("verdict"))
     return out.select(*tasks.columns), said

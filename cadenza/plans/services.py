@@ -446,7 +446,9 @@ def task_patches(s, d) -> DataFrame:
     handed = t.where(part % 6 == 1).select(key, (F.col("assignee_id") + part % 4 - 1).alias("actor_id"), F.lit("member").alias("actor_role"), *row("assignee_id", assignee_id=F.col("assignee_id") + part % 2))
     dated = E.projects(s, d).where("project_id % 10 = 0").select(F.concat(F.lit("P"), "project_id").alias("task_id"), F.lit(1).cast("bigint").alias("actor_id"), F.lit("lead").alias("actor_role"), *row("description", "due_date", description=F.lit("changed"), due_date=F.lit(E.AS_OF)))
     gone = s.range(1).select(F.lit("none").alias("task_id"), F.lit(1).cast("bigint").alias("actor_id"), F.lit("lead").alias("actor_role"), *row("status"))
-    return reduce(DataFrame.unionByName, [status, handed, dated, gone]).dropDuplicates(["task_id"])
+    all_ = reduce(DataFrame.unionByName, [status, handed, dated, gone])
+    # one of each task, as a struct: all uses ask for the same columns and share one exchange
+    return all_.groupBy("task_id").agg(F.first(F.struct(*all_.columns[1:])).alias("one")).select("task_id", "one.*")
 
 
 def patched(s, d) -> tuple[DataFrame, DataFrame]:

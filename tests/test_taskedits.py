@@ -1,9 +1,12 @@
 """Updates of tasks: who may, what a status brings with it, what parents and children take."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators.taskedits import patch_tasks
+from cadenza.plans import services
 
 TASKS = "task_id string, parent_task_id string, is_group_parent boolean, assignee_id int, status string, percent_complete int, due_date string, description string, completed_at string, note string"
 PATCH = "task_id string, actor_id int, actor_role string, given array<string>, status string, percent_complete int, assignee_id int, description string, due_date string"
@@ -56,3 +59,18 @@ def test_a_patch_without_fields_counts_its_parent_anew(spark):
     after, _ = run(spark, patch("a", 1, "member"))
     assert (after["g"]["status"], after["g"]["percent_complete"]) == ("In Progress", 75)
     assert run(spark)[1] == {}
+
+
+def test_whole_tasks_are_dealt_once(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plan = services.m_3_patched_tasks(spark, "/root/testdata/sf0.001")
+        text = spark._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "formatted")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    dealt = re.findall(r"\n\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", text)
+    assert len(dealt) > 2 and sum("completed_at" in columns for columns in dealt) == 1
