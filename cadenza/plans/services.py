@@ -492,12 +492,13 @@ SHEET_COLUMNS = {
 }
 
 
-def workbook(s, d) -> dict[str, DataFrame]:
-    """The five sheets with all rows and columns, as sinks.write_sheets takes them."""
-    return {name: of(s, d).select(*SHEET_COLUMNS[name]) for name, of in SHEETS.items()}
+def workbook(s, d, ordered: bool = True) -> dict[str, DataFrame]:
+    """The five sheets with all rows and columns, as sinks.write_sheets takes them; unless ordered, the drill-down isn't sorted."""
+    sheets = SHEETS if ordered else SHEETS | {"drill_down": views.drill_down_lines}
+    return {name: of(s, d).select(*SHEET_COLUMNS[name]) for name, of in sheets.items()}
 
 
 @query(" UNION ALL ".join(f"SELECT '{name}' AS sheet, CAST(to_json({{{', '.join(f'{chr(39)}{c}{chr(39)}: {c}' for c in SHEET_COLUMNS[name])}}}) AS VARCHAR) AS cells FROM ({(W.SQL | views.SQL)[of.__name__]})" for name, of in SHEETS.items()), base=False)
 def k_3_workbook_rows(s, d):
-    """Every row of the five sheets."""
-    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("sheet"), T.json_text(F.struct(*df.columns)).alias("cells")) for name, df in workbook(s, d).items()])
+    """Every row of the five sheets, in no order."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("sheet"), T.json_text(F.struct(*df.columns)).alias("cells")) for name, df in workbook(s, d, ordered=False).items()])

@@ -127,6 +127,13 @@ def v_15_drill_down_rows(s, d):
     The tables have no goals, project names, descriptions or notes: a project is named by its
     code, a task by project and line, and its notes name who blocks it.
     """
+    late = F.when(F.col("due") == "", "9999").otherwise(F.col("due"))
+    columns = ["level", "area_id", "project_key", "line_no", "part_id", "name", "owner", "status", "priority", "due", "completed", "percent", "notes"]
+    return drill_down_lines(s, d).orderBy("sort_order", "area_id", "project_key", "level", late, "line_no", "part_id").select(columns)
+
+
+def drill_down_lines(s, d) -> DataFrame:
+    """The outline's rows in no order."""
     text = lambda v="": F.lit(v)
     areas = E.focus_areas(s, d).select("area_id", "sort_order")
     keyed = rollup_with_area(s, d).join(areas, "area_id").withColumn("project_key", X.natural_key(F.col("code")))
@@ -147,10 +154,7 @@ def v_15_drill_down_rows(s, d):
         F.coalesce("owner", F.col("assignee_id").cast("string")).alias("owner"), "status", "priority", F.coalesce(F.col("due_date").cast("string"), text()).alias("due"),
         F.coalesce(F.col("completed_at").cast("date").cast("string"), text()).alias("completed"), (F.col("percent_complete") / 100).alias("percent"), X.notes(F.col("blocked_by_id").cast("string"), none, none).alias("notes"),
     )
-    out = top.unionByName(tactics).unionByName(tasks, allowMissingColumns=True)
-    late = F.when(F.col("due") == "", "9999").otherwise(F.col("due"))
-    columns = ["level", "area_id", "project_key", "line_no", "part_id", "name", "owner", "status", "priority", "due", "completed", "percent", "notes"]
-    return out.orderBy("sort_order", "area_id", "project_key", "level", late, "line_no", "part_id").select(columns)
+    return top.unionByName(tactics).unionByName(tasks, allowMissingColumns=True)
 
 
 @query("SELECT '<tr><td>' || area_id || '</td><td>' || area_name || '</td></tr>' AS row FROM areas")

@@ -3,7 +3,7 @@
 import collections
 import re
 
-from cadenza.plans import views, whole
+from cadenza.plans import services, views, whole
 from cadenza.sources import sinks
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +58,9 @@ def test_created_definitions_are_never_presets(spark):
     out = whole.rs_15_created(spark, SF)
     assert out.where("created = '1998-06-01' AND is_preset AND name NOT LIKE 'definition %'").count() == 0
     assert out.count() == sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("orders", "part"))
+
+
+def test_the_workbooks_rows_are_not_sorted(spark):
+    rows = services.k_3_workbook_rows(spark, SF)
+    assert "Sort [" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [" in services.workbook(spark, SF)["drill_down"]._jdf.queryExecution().optimizedPlan().toString()
