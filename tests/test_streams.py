@@ -129,3 +129,17 @@ def test_no_edit_is_lost(spark, events, tmp_path, n):
     assert got.count() == edited.count() + 3
     want = dict(D.first_of_each(D.judged(edited, over)).groupBy(F.coalesce("reason", F.lit("accepted"))).count().collect())
     assert by == {**want, "duplicate": want["duplicate"] + 1, "late": 1, "accepted": want["accepted"] + 1}
+
+
+def test_sessions_of_a_stream_call_no_python_by_key(spark, tmp_path):
+    K.with_state_store(spark)
+    at = F.col("at")
+    rows = spark.createDataFrame([("a", 0), ("a", 100), ("a", 201), ("b", 5), ("b", 5), ("c", 300_000), ("d", 299_900), ("e", 298_000)], "sid string, at bigint")
+    rows.withColumn("ts", F.timestamp_micros(at)).coalesce(1).write.parquet(str(tmp_path / "in"))
+    schema = "sid string, at bigint, ts timestamp"
+    flow = lambda t: K.session_stream(t, ttl=100)
+    plan = flow(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))._jdf.queryExecution().analyzed().toString()
+    assert "InPandas" not in plan and "session_window" in plan
+    got = play(spark, str(tmp_path / "in"), lambda t: t, flow, schema, str(tmp_path / "out"), str(tmp_path / "ck"))
+    # a touch at the end moves it; what ends at the newest touch or later is open
+    assert counted(got.select("sid", "started_at", "expired_at", "touches")) == {("a", 0, 200, 2): 1, ("a", 201, 301, 1): 1, ("b", 5, 105, 2): 1, ("e", 298_000, 298_100, 1): 1}
