@@ -13,9 +13,9 @@ register with a probability close to their Jaccard similarity J.
    pairs that can't reach the threshold go. The best pair of each class is verified on
    the full sets; then all pairs between what is not yet connected, in rounds, with new
    stars between the components that share a bucket.
-4. Components that still share a bucket meet in a prefix-filtered join of their classes'
-   full sets, by blocks of members with the same holders and the weight that two prefixes
-   share: what a star's heads missed is found, and nothing is tried within a component.
+4. Components that still share a bucket meet in a prefix-filtered join of how the full sets
+   of their classes differ from the bucket's head, by blocks of differences that the same
+   classes have: what a star's heads missed is found, and nothing is tried within a component.
 5. Components of the verified links give each document its group.
 
 With BANDS bands of ROWS registers a pair at J = 0.85 misses all bands with a
@@ -228,49 +228,80 @@ def with_groups(bands: DataFrame, label: DataFrame | None) -> DataFrame:
     return bands.join(label, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label")
 
 
-def shared_items(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """item, node, n (set size), group (64 bits of the component) of each member of the nodes' sets. nodes: node, group."""
+def deltas(grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """h, node, n, group (64 bits of the component), nh, i, items: how each class differs from the heads of its buckets.
+
+    Of each bucket with more than one component the class that meets most others is the head, h, itself included
+    in the rows; nh is its size, i the members that both hold, items those that one of the two holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, group, raw = b.column(0), b.column(1), b.column(2)
-            sizes = np.array([len(x) // 8 for x in raw.to_pylist()], np.int64)
-            take = pa.array(np.repeat(np.arange(b.num_rows), sizes))
-            items = np.frombuffer(b"".join(raw.to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(items), node.take(take), pa.array(np.repeat(sizes, sizes)), group.take(take)], names=["item", "node", "n", "group"])
-
-    rows = sets.join(nodes.select("node", F.xxhash64("group").alias("group")), "node").select("node", "group", "items")
-    return rows.mapInArrow(run, "item bigint, node binary, n bigint, group bigint")
+            shared, parts = [], []
+            for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                parts.append(np.setxor1d(p, q, assume_unique=True))
+                shared.append((len(p) + len(q) - len(parts[-1])) // 2)
+            items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()), pa.array(np.concatenate(parts or [np.zeros(0, np.int64)])))
+            sizes = [pa.array([len(x) // 8 for x in b.column(k).to_pylist()], pa.int64()) for k in (4, 5)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], sizes[0], b.column(2), sizes[1], pa.array(shared, pa.int64()), items], names=["h", "node", "n", "group", "nh", "i", "items"])
+
+    heads = grouped.groupBy("key").agg(F.min_by("node", F.struct(-F.col("mates"), "node")).alias("h"), F.min("group").alias("g0"), F.max("group").alias("g1"))
+    heads = written(heads.where("g0 <> g1").select("key", "h"), "heads")
+    near = grouped.join(heads, "key").select("h", "node", F.xxhash64("group").alias("group")).distinct()
+    rows = near.join(sets.select("node", "items"), "node").join(sets.select(F.col("node").alias("h"), F.col("items").alias("head")), "h")
+    return rows.select("h", "node", "group", F.lit(0), "items", "head").mapInArrow(run, "h binary, node binary, n bigint, group bigint, nh bigint, i bigint, items array<bigint>")
 
 
 def missed_pairs(grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of classes that may be linked, of components that share a bucket and that no star has tried.
 
-    A prefix-filtered join of the full sets with weights. Members that the same sets hold are
-    one block, told by its holders' count and the XOR of their hashes; its weight is the number
-    of its members. A set's blocks are in order of how many sets hold them, rarest first, after
-    the members that one component alone holds. The prefix is what begins among its first
-    n - ceil(t n) + 1 members (t: the threshold). Let it reach to member r: of a pair that
-    shares i members at most n - i of them are not shared, so its first shared blocks, those in
-    both prefixes, weigh at least i plus the lesser r - n of the two. Texts that share some parts
-    only are told apart by that sum, texts with a common part and words of their own meet nobody.
+    Classes of one bucket are told by how they differ from its head h, not by what they have
+    in common with it. Let x share i members with h and differ from it in d; x and y share
+    o = nh - ix - iy + |x & y| of their differences, so they are linked if o is at least
+    need = nh - ix - iy + ceil(t / (1 + t) (nx + ny)) (t: the threshold). With
+    q = t / (1 + t) n - i this is nh + qx + qy, rounded up.
+
+    - need <= 0: linked, whatever they share. Let c be the class of least q: then need(x, c) and
+      need(y, c) are 0 or less too. So those with need(x, c) <= 0, the core, are paired with c only.
+    - Else they share a difference, and one of them, y, is not of the core: need > qx - qc. The
+      differences are in order of how many classes of the head have them, rarest first, after
+      those that one component alone has; what begins at place p may be the first shared one of a
+      pair with d - p >= need. That bounds what a class of the core and what others offer.
+
+    Copies of one text with changes of their own, however many there are, offer such changes, which
+    few share. What meets is asked for the weight that prefixes of twice that length share: beyond
+    them two classes share no more than the greater rest. Differences that the same classes have
+    are one block, told by their count and the XOR of their hashes, that begins at its first place.
     """
-    mixed = written(grouped.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("key"), "mixed")
-    nodes = grouped.join(mixed, "key", "left_semi").select("node", "group").distinct()
-    items = written(shared_items(sets, nodes), "items")
+    whole = 100 + percent
+    rows = written(deltas(grouped, sets).withColumn("q", F.expr(f"{percent} * n - {whole} * i")), "deltas")
+    core = written(rows.groupBy("h").agg(F.min_by(F.struct("node", "group", "q"), F.struct("q", "node")).alias("c")), "core")
+    rows = rows.join(core, "h").withColumn("core", F.expr(f"node = c.node OR {whole} * nh + q + c.q <= 0"))
+    stars = rows.where("core AND group <> c.group").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
+    least = F.expr(f"nh - 2 * i + ceil({2 * percent - 100} * n / {percent})")  # as y differs from x in no more than the threshold allows
+    first = F.greatest(F.expr(f"floor((q - c.q) / {whole}) + 1"), least)
+    offer = F.when(F.col("core"), first).otherwise(F.greatest(F.expr(f"ceil(({whole} * nh + q + c.q) / {whole})"), least))
+    rows = rows.select("h", "node", "n", "group", "nh", "i", "core", F.expr("n + nh - 2 * i").alias("d"), first.alias("first"), offer.alias("offer"), "items").where("d >= offer")
+    items = written(rows.select("*", F.explode("items").alias("of")).drop("items").withColumn("item", F.xxhash64("h", "of")).drop("of"), "items")
     held = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("group").alias("g0"), F.max("group").alias("g1"), F.bit_xor(F.xxhash64("node")).alias("holders"))
-    held = written(held.where("g0 <> g1").select("item", "c", "holders"), "held")  # what one component alone holds makes no pair
-    blocks = items.join(held, "item").repartition("node").groupBy("node", "n", "group", "c", "holders").agg(F.count(F.lit(1)).alias("w"), F.min("item").alias("block"))
-    of = Window.partitionBy("node")
-    before = F.sum("w").over(of.orderBy("c", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")
-    prefix = blocks.withColumn("place", F.col("n") - F.sum("w").over(of) + before)
-    prefix = prefix.where(f"place < n - ceil({percent} * n / 100) + 1").withColumn("reach", F.max(F.expr("place + w")).over(of))
-    prefix = written(prefix.select("block", "node", "n", "group", "w", "reach"), "prefix")
-    short = prefix.select("block", "w", F.col("node").alias("s"), F.col("n").alias("ns"), F.col("group").alias("gs"), F.expr("reach - n").alias("ms"))
-    long = prefix.select("block", F.col("node").alias("l"), F.col("n").alias("nl"), F.col("group").alias("gl"), F.expr("reach - n").alias("ml"))
-    met = short.join(long, "block").where(f"gs <> gl AND (ns < nl OR (ns = nl AND s < l)) AND 100 * ns >= {percent} * nl")
-    weights = met.groupBy(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).agg(F.sum("w").alias("w"), F.any_value(F.expr("ns + nl")).alias("both"), F.any_value(F.least("ms", "ml")).alias("m"))
-    return weights.where(f"{100 + percent} * (w - m) >= {percent} * both").select("a", "b")
+    held = written(held.where("g0 <> g1").select("item", "c", "holders"), "held")  # what one component alone has makes no pair
+    whose = ["h", "node", "n", "group", "nh", "i", "core", "d", "first", "offer"]
+    blocks = items.join(held, "item").repartition("h", "node").groupBy(*whose, "c", "holders").agg(F.count(F.lit(1)).alias("w"), F.min("item").alias("block"))
+    of = Window.partitionBy("h", "node")
+    left = F.sum("w").over(of.orderBy(F.desc("c"), F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    prefix = blocks.withColumn("left", left).where("left >= 2 * offer - d").withColumn("beyond", F.min(F.expr("left - w")).over(of))  # left: d - p
+    prefix = written(prefix.drop("c", "holders", "d"), "prefix")
+    side = lambda k, *names: [F.col(c).alias(f"{c}{k}") for c in names]
+    met = prefix.where("left >= first").select("block", "h", "nh", *side("x", "node", "n", "group", "i", "core", "left"))
+    met = met.join(prefix.where("NOT core AND left >= offer").select("block", *side("y", "node", "n", "group", "i", "left", "first")), "block")
+    met = met.where(f"groupx <> groupy AND (corex OR (lefty >= firsty AND nodex < nodey)) AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    met = met.where(f"{whole} * (least(leftx, lefty) + ix + iy - nh) >= {percent} * (nx + ny)")
+    met = written(met.select("h", "nodex", "nodey").distinct(), "met")
+    both = met.join(prefix.select("h", "nh", "block", "w", *side("x", "node", "n", "i", "beyond")), ["h", "nodex"]).join(prefix.select("h", "block", *side("y", "node", "n", "i", "beyond")), ["h", "nodey", "block"])
+    most = F.any_value(F.expr("greatest(beyondx, beyondy) + ix + iy - nh"))  # without what both prefixes hold
+    both = both.groupBy("h", "nodex", "nodey").agg((F.sum("w") + most).alias("most"), F.any_value(F.expr("nx + ny")).alias("n")).where(f"{whole} * most >= {percent} * n")
+    return both.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).unionByName(stars).distinct()
 
 
 def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:

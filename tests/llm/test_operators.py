@@ -686,6 +686,42 @@ def test_op7_tries_few_pairs_of_texts_put_together_from_shared_parts(spark, kind
     assert sum(counts) <= share * n * n / 2
 
 
+def joined_rows(store, first, on):
+    """Rows that each join over keys like on made, of the executions from the first."""
+    out = []
+    seq = lambda s: [s.apply(k) for k in range(s.size())]
+    for e in seq(store.executionsList())[first:]:
+        values = store.executionMetrics(e.executionId())
+        for node in seq(store.planGraph(e.executionId()).allNodes()):
+            if "Join" in node.name() and re.search(on, node.desc()):
+                for m in seq(node.metrics()):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        out.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return out
+
+
+def test_op7_compares_few_of_many_near_copies(spark):
+    """Copies of one text with one to six words of their own: those past the threshold share nearly all with hundreds of linked ones."""
+    n, rng = 500, random.Random(41)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for k in range(n):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 6)):
+            words[at : at + rng.choice((0, 1, 1, 1))] = [f"o{rng.randint(0, 10**9)}"] * rng.choice((0, 1, 1, 1))
+        rows.append((k, " ".join(words)))
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran = store.executionsCount()
+    got = {r["doc_id"]: r["component_id"] for r in op7.groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    sets, least = [shingle_set(t) for _, t in rows], list(range(n))
+    links = [(x, y) for x in range(n) for y in range(x) if 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y])]
+    for _ in range(20):
+        for x, y in links:
+            least[x] = least[y] = min(least[x], least[y])
+    assert got == dict(enumerate(least)) and len(set(least)) > 50
+    made = joined_rows(store, ran, r"\[block")
+    assert made and max(made) <= 20 * n
+
+
 def test_op7_tells_apart_structured_words(spark):
     t = thue_morse(1024)
     u = t.translate(str.maketrans("ab", "ba"))
